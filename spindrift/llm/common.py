@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  makes pa.compute
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +60,66 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20
             end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(start, end - start)
             start = end
+
+
+class WordHasher:
+    """64-bit hashes of a text's words; remembers a bounded number of words."""
+
+    MOST = 400_000
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = _Known()
+
+    def __call__(self, data: bytes) -> np.ndarray:
+        words = data.split()
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+
+
+class _Known(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit finalizer: spreads every input bit over the output."""
+    x = x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sequence_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """A hash of each run of n consecutive words."""
+    m = len(words) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    factors = mix(np.arange(n, dtype=np.uint64), seed + 1) | np.uint64(1)
+    total = np.zeros(m, np.uint64)
+    for j in range(n):
+        total += words[j : j + m] * factors[j]
+    return mix(total, seed)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that each id in edges (a, b) reaches.
+
+    Alternating large-star and small-star steps, each cut by a written table, until the edges stay the same.
+    """
+    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    before = None
+    while True:
+        seen = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+        if seen == before or not seen[0]:
+            break
+        before = seen
+        both = now.union(now.select("v", "u")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
+        now = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v")).distinct()
