@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, partenum
+from . import langid, media, partenum, phrases
 from .common import table, utf8
 
 
@@ -39,6 +39,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeated(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(table(spark, sf_dir, "documents"), partenum.Threshold(3, 9, 10))
 
@@ -46,6 +50,26 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_language": op2_language,
+    "op3_repeats": op3_repeats,
     "op9_jaccard": op9_jaccard,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_repeats": """
+        WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM docs),
+        windows AS (
+            SELECT doc_id, i, string_agg(word, ' ') OVER o AS seq, count(*) OVER o AS n
+            FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+        hashed AS (SELECT doc_id, i, md5(seq) AS h FROM windows WHERE n = 35),
+        again AS (SELECT h FROM hashed GROUP BY h HAVING count(*) > 1),
+        starts AS (SELECT doc_id, i FROM hashed WHERE h IN (SELECT h FROM again)),
+        marked AS (
+            SELECT w.doc_id, w.i, w.word, count(s.i) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS gone
+            FROM words w LEFT JOIN starts s ON s.doc_id = w.doc_id AND s.i = w.i),
+        kept AS (
+            SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+                   coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept
+            FROM marked GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+        FROM docs d LEFT JOIN kept k USING (doc_id)""",
+}
