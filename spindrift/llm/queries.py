@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, partenum, phrases
+from . import langid, media, mixing, partenum, phrases, pii, topk
 from .common import table, utf8
 
 
@@ -43,6 +43,24 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeated(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.find(table(spark, sf_dir, "documents"))
+
+    def count(k: int):
+        return F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+
+    counts = [count(k) for k in range(len(pii.KINDS))]
+    return spans.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.inner_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(table(spark, sf_dir, "documents"), partenum.Threshold(3, 9, 10))
 
@@ -51,6 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_language": op2_language,
     "op3_repeats": op3_repeats,
+    "op4_pii": op4_pii,
+    "op6_mixing": op6_mixing,
+    "op7_topk": op7_topk,
     "op9_jaccard": op9_jaccard,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -72,4 +93,11 @@ ORACLE_SQL: dict[str, str] = {
             FROM marked GROUP BY doc_id)
         SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
         FROM docs d LEFT JOIN kept k USING (doc_id)""",
+    "op7_topk": """
+        WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
 }
