@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, partenum, phrases, pii, topk
+from . import langid, media, mixing, partenum, phrases, pii, topk, toxicity
 from .common import table, utf8
 
 
@@ -53,6 +53,13 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket(5) == 0).select("doc_id", "held_out", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(bucket(5) != 0)
+    model = toxicity.train(docs.join(labels, "doc_id"))
+    return toxicity.predict(docs, model).drop("text")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -70,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_repeats": op3_repeats,
     "op4_pii": op4_pii,
+    "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_topk": op7_topk,
     "op9_jaccard": op9_jaccard,
