@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, partenum, phrases, pii, topk, toxicity
+from . import langid, media, mixing, partenum, phrases, pii, topk, toxicity, urlfilter, viterbi
 from .common import table, utf8
 
 
@@ -72,6 +72,38 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(table(spark, sf_dir, "documents"), partenum.Threshold(3, 9, 10))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return viterbi.encode_checked(docs, viterbi.load()).drop("text")
+
+
+# The pages have neither fetch times nor lists. A page is fetched on a day that its id gives; list entries are the pages'
+# hosts and first path parts, with dates and categories that their hashes give.
+DAYS = 360
+CATEGORIES = ("adult", "malware", "spam")
+
+
+def list_log(pages: DataFrame) -> DataFrame:
+    """The dated list: three in eight keys are added, half of these are removed and some added once more."""
+    host, first = urlfilter.host(F.col("url")), F.regexp_extract(urlfilter.path(F.col("url")), "^/*([^/]+)", 1)
+    keyed = pages.select(F.explode(F.array(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), host, F.concat(host, F.lit("/"), first))).alias("key")).where("key is not null and key <> ''").distinct()
+    h = F.md5("key")
+
+    def digits(start: int) -> F.Column:
+        return F.conv(F.substring(h, start, 4), 16, 10).cast("int")
+
+    category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (digits(1) % 3 + 1).cast("int"))
+    steps = [(digits(5) % 8 < 3, "add", digits(9) % 120), (digits(5) % 16 < 6, "remove", 120 + digits(13) % 120), (digits(5) % 32 < 6, "add", 240 + digits(17) % 120)]
+    rows = F.array(*[F.when(chosen, F.struct(F.lit(action).alias("action"), day.alias("at"))) for chosen, action, day in steps])
+    return keyed.withColumn("category", category).withColumn("x", F.explode(rows)).where("x is not null").select("key", "category", "x.action", "x.at")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") * 7 % DAYS).cast("int").alias("fetched_at"))
+    found = urlfilter.evaluate(pages, list_log(pages))
+    return found.select("page_id", "url", "fetched_at", "blocked", F.array_join("categories", ",").alias("categories"), F.array_join("matched", ",").alias("matched"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_language": op2_language,
@@ -80,7 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_topk": op7_topk,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_jaccard": op9_jaccard,
+    "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_repeats": """
