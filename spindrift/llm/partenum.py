@@ -5,9 +5,9 @@ most k features, k set by the band. The feature domain is dealt into n1 first-le
 at most k2 differences, and each of those into n2 cells; a signature is a hash of what a set has in n2 - k2 of the cells.
 Similar sets therefore share a signature, and nothing similar is lost. Equal sets are joined to one class first.
 
-Signatures that many classes share are not paired: their classes get a second, far more selective PartEnum instance.
-Pairs are then kept few by connecting before comparing: each class is first checked against one other, and only pairs
-that still lie in different components are checked afterwards, with an exact lower bound on the differences (from 256
+Classes that meet many others get a second, far more selective PartEnum instance, which decides the pairs among them.
+Pairs are then kept few by connecting before comparing: each class is first checked against a few others, those it shares
+most signatures with, and only pairs that still lie in different components are checked afterwards, with an exact lower bound on the differences (from 64
 counts of features) before the sets themselves.
 
 Defined results: null and empty texts and texts without words have an empty set, are linked with nothing and are
@@ -25,25 +25,29 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WordHasher, by_bytes, components, materialize, mix, sequence_hashes, utf8
 
-CELLS = 256
-"""Counts of the bound on differences."""
-CROWD = 50
-"""Signatures of more classes than this are resolved by the stronger instance."""
+CELLS = 64
+"""Counts of features of which the bound on differences is made."""
+CROWD = 30
+"""Classes that meet more others than this under one signature are told apart by the sharper instance."""
+DIFFUSE = 12
+"""Likewise classes that meet more than this many different ones next to them under all their signatures."""
+FIRST = 4
+"""Others that a class is checked against before components are known; the rest are checked after."""
 
 
 @dataclass(frozen=True)
 class Scheme:
     """A PartEnum instance: cells and tolerated differences of a first-level partition, and spare partitions."""
 
-    n2: int = 1
-    k2: int = 0
-    spare: int = 8
+    n2: int = 3
+    k2: int = 1
+    spare: int = 0
     seed: int = 0
 
 
@@ -101,16 +105,16 @@ def band(size: int, num: int, den: int) -> tuple[int, int, int]:
         low, i = high + 1, i + 1
 
 
-def counts(features: np.ndarray) -> bytes:
-    """Features by cell, 255 at most: their distance bounds the differences of two sets from below."""
-    return np.minimum(np.bincount((mix(features, 9) >> np.uint64(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+def counts(features: np.ndarray) -> np.ndarray:
+    """Features by cell, 127 at most: their distance bounds the differences of two sets from below."""
+    return np.minimum(np.bincount((mix(features, 9) >> np.uint64(58)).astype(np.int64), minlength=CELLS), 127).astype(np.int8)
 
 
 def signatures(features: np.ndarray, threshold: Threshold, scheme: Scheme) -> np.ndarray:
     """64-bit signatures of a set under its own and the next size band.
 
-    A band with k = 0 has none, as equal sets are one class. With spare partitions, more than `spare` of them are free of
-    differences, so a set with `spare` empty partitions at most leaves the empty ones' signatures out.
+    A band with k = 0 has none, as equal sets are one class. With spare partitions, more than `spare` of them have k2
+    differences at most, so a set that fills only k2 cells in `spare` partitions at most leaves empty signatures out.
     """
     number, high, beyond = band(len(features), threshold.num, threshold.den)
     place, value = mix(features, 3 + 2 * scheme.seed), mix(features, 4 + 2 * scheme.seed)
@@ -126,13 +130,13 @@ def signatures(features: np.ndarray, threshold: Threshold, scheme: Scheme) -> np
         np.add.at(sums, cell, value)
         filled = np.bincount(cell.astype(np.int64), minlength=cells)
         sums, filled = sums.reshape(n1, scheme.n2), filled.reshape(n1, scheme.n2)
+        few = scheme.spare and ((filled > 0).sum(axis=1) <= scheme.k2).sum() <= scheme.spare
         subsets = list(combinations(range(scheme.n2), scheme.n2 - scheme.k2))
         for s, subset in enumerate(subsets):
             total = sums[:, subset].sum(axis=1, dtype=np.uint64)
             tag = np.arange(n1, dtype=np.uint64) * np.uint64(len(subsets)) + np.uint64(s) + np.uint64(i << 40)
             keys = mix(total ^ mix(tag, 5), 6)
-            empty = ~filled[:, subset].any(axis=1)
-            out.append(keys[~empty] if scheme.spare and empty.sum() <= scheme.spare else keys)
+            out.append(keys[filled[:, subset].any(axis=1)] if few else keys)
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
@@ -170,28 +174,28 @@ def counted(df: DataFrame, threshold: Threshold) -> DataFrame:
         sets = Sets(threshold.n)
         for batch in by_bytes(batches, "text"):
             found = [sets(x.as_buffer().to_pybytes()) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in found], pa.int64()), pa.array([counts(s) for s in found], pa.binary())], ["id", "n", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in found], pa.int64()), pa.array([counts(s) for s in found], pa.list_(pa.int8()))], ["id", "n", "counts"])
 
-    return df.mapInArrow(apply, "id long, n long, counts binary")
+    return df.mapInArrow(apply, "id long, n long, counts array<tinyint>")
 
 
 def crowded(sigs: DataFrame) -> DataFrame:
-    """Signature rows that another class has too, with the number and the least id of the classes that have it."""
+    """Signature rows that another class has too, with the number and the least id of the classes that have it, and the id before."""
     w = W.partitionBy("sig")
-    return sigs.select("sig", "id", F.count("*").over(w).alias("n"), F.min("id").over(w).alias("center")).where("n > 1")
+    return sigs.select("sig", "id", F.count("*").over(w).alias("n"), F.min("id").over(w).alias("center"), F.lag("id").over(w.orderBy("id")).alias("last")).where("n > 1")
 
 
-def near_pairs(pairs: DataFrame, bounds: DataFrame, texts: DataFrame, threshold: Threshold) -> DataFrame:
-    """Those of the distinct pairs (a, b) that are similar enough."""
+def possible(threshold: Threshold) -> Column:
+    """Whether classes a and b, with sizes na, nb and counts ca, cb, can be similar enough."""
+    most = F.floor((F.col("na") + F.col("nb")) * (threshold.den - threshold.num) / (threshold.den + threshold.num) + 1e-9)
+    apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda a, x: a + x)
+    return (F.abs(F.col("na") - F.col("nb")) <= most) & (apart <= most)
+
 
-    def possible(na: pd.Series, nb: pd.Series, ca: pd.Series, cb: pd.Series) -> pd.Series:
-        if not len(na):
-            return pd.Series([], dtype=bool)
-        x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, CELLS).astype(np.int32) for c in (ca, cb))
-        most = ((na + nb) * (threshold.den - threshold.num) // (threshold.den + threshold.num)).to_numpy()
-        return pd.Series(np.abs(x - y).sum(axis=1) <= most)
+def verified(pairs: DataFrame, texts: DataFrame, threshold: Threshold) -> DataFrame:
+    """Those of the distinct pairs (a, b) that are similar enough."""
 
-    def verified(ta: pd.Series, tb: pd.Series) -> pd.Series:
+    def similar(ta: pd.Series, tb: pd.Series) -> pd.Series:
         sets, last = Sets(threshold.n), (None, None)
         out = []
         for a, b in zip(ta, tb, strict=True):
@@ -200,11 +204,8 @@ def near_pairs(pairs: DataFrame, bounds: DataFrame, texts: DataFrame, threshold:
             out.append(threshold.similar(last[1], sets(bytes(b))))
         return pd.Series(out, dtype=bool)
 
-    left, right = (bounds.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}")) for k in "ab")
-    some = pairs.join(left, "a").join(right, "b")
-    some = materialize(some.where(F.pandas_udf(possible, "boolean")("na", "nb", "ca", "cb")).select("a", "b"), "candidates")
     ta, tb = (texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
-    return some.join(ta, "a").join(tb, "b").where(F.pandas_udf(verified, "boolean")("ta", "tb")).select("a", "b")
+    return pairs.join(ta, "a").join(tb, "b").where(F.pandas_udf(similar, "boolean")("ta", "tb")).select("a", "b")
 
 
 def jaccard_components(df: DataFrame, threshold: Threshold = Threshold(), id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,22 +217,33 @@ def jaccard_components(df: DataFrame, threshold: Threshold = Threshold(), id: st
     again = every.join(classes.where("copies > 1"), ["h1", "h2"]).where("id <> rep").select("id")
     texts = docs.join(again.union(every.where("n = 0").select("id")), "id", "left_anti")
 
-    buckets = materialize(crowded(signed(texts, threshold, WIDE)), "buckets")
-    sharp = signed(texts.join(buckets.where(F.col("n") > CROWD).select("id").distinct(), "id", "left_semi"), threshold, SHARP)
-    buckets = materialize(buckets.where(F.col("n") <= CROWD).union(crowded(sharp)), "buckets")
+    wide = materialize(crowded(signed(texts, threshold, WIDE)), "buckets")
+    dense = wide.groupBy("id").agg(F.max("n").alias("n"), F.countDistinct("last").alias("d")).where((F.col("n") > CROWD) | (F.col("d") > DIFFUSE)).select("id")
+    dense = materialize(dense, "dense")
+    # Pairs of two dense classes share a sharp signature too; the wide ones serve the other pairs.
+    sharp = crowded(signed(texts.join(dense, "id", "left_semi"), threshold, SHARP)).withColumn("dense", F.lit(False))
+    wide = wide.join(dense.withColumn("dense", F.lit(True)), "id", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
+    some = wide.groupBy("sig").agg(F.min("dense").alias("all")).where("not all").select("sig")
+    columns = ["sig", "id", "center", "last", "dense"]
+    buckets = materialize(wide.join(some, "sig").select(*columns).union(sharp.select(*columns)), "buckets")
     met = materialize(texts.join(buckets.select("id").distinct(), "id", "left_semi"), "texts")
     bounds = materialize(counted(met, threshold), "bounds")
+    left, right = (bounds.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}")) for k in "ab")
 
-    first = buckets.where("id <> center").groupBy("id").agg(F.min("center").alias("a")).select("a", F.col("id").alias("b"))
-    first = materialize(first, "pairs")
-    links = materialize(near_pairs(first, bounds, met, threshold), "links")
+    first = buckets.select(F.explode(F.array("center", "last")).alias("a"), F.col("id").alias("b")).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    place = F.row_number().over(W.partitionBy("b").orderBy(F.col("shared").desc(), "a"))
+    first = materialize(first.withColumn("place", place).where(F.col("place") <= FIRST).select("a", "b"), "pairs")
+    hopeful = first.join(left, "a").join(right, "b").where(possible(threshold)).select("a", "b")
+    links = materialize(verified(hopeful, met, threshold), "links")
     label = components(links)
-    placed = buckets.select("sig", "id").join(label, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
+
+    placed = buckets.select("sig", "id", "dense").join(label, "id", "left").select("sig", "id", "dense", F.coalesce("component", "id").alias("c"))
     apart = placed.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("sig")
-    placed = materialize(placed.join(apart, "sig"), "placed")
-    x, y = (placed.select("sig", F.col("id").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
-    rest = x.join(y, "sig").where("a < b and ca <> cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    links = links.union(near_pairs(materialize(rest, "pairs"), bounds, met, threshold))
+    placed = materialize(placed.join(apart, "sig").join(bounds, "id"), "placed")
+    x, y = (placed.select("sig", *[F.col(c).alias(f"{c}{k}") for c in ("id", "dense", "c", "n", "counts")]).withColumnsRenamed({f"id{k}": k, f"c{k}": f"label{k}", f"counts{k}": f"c{k}"}) for k in "ab")
+    meet = (F.col("a") < F.col("b")) & (F.col("labela") != F.col("labelb")) & ~(F.col("densea") & F.col("denseb")) & possible(threshold)
+    rest = x.withColumnRenamed("sig", "sigx").join(y, (F.col("sigx") == F.col("sig")) & meet).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    links = links.union(verified(materialize(rest, "pairs"), met, threshold))
     label = components(materialize(links, "links"))
 
     classes = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))

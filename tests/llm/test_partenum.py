@@ -50,9 +50,10 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize(("n", "num", "den", "seed"), [(3, 9, 10, 1), (5, 4, 5, 2)])
-@pytest.mark.parametrize("crowd", [50, 2])
+@pytest.mark.parametrize("crowd", [30, 2])
 def test_components_equal_brute_force(spark, monkeypatch, n, num, den, seed, crowd):
     monkeypatch.setattr(partenum, "CROWD", crowd)
+    monkeypatch.setattr(partenum, "DIFFUSE", min(12, crowd))
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, sig int, component_id string")
     got = {r[0]: (r[1], r[2]) for r in partenum.jaccard_components(df, partenum.Threshold(n, num, den)).collect()}
