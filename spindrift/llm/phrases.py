@@ -130,11 +130,11 @@ def covered(x: Words, texts: pa.Array, repeated: np.ndarray, window: int, seed:
         return out
     # Passages: neighbouring repeated windows of one text.
     new = np.r_[True, (np.diff(repeated) != 1) | (x.row[repeated[1:]] != x.row[repeated[:-1]])]
-    low = repeated[new][np.cumsum(new) - 1]
-    last = np.r_[np.flatnonzero(new)[1:] - 1, len(repeated) - 1]
-    high = repeated[last][np.cumsum(new) - 1] + window
-    at, first = np.unique(x.picked[repeated], return_index=True)
-    low, high = low[first], high[first]
+    passage = np.cumsum(new) - 1
+    low, high = repeated[new], repeated[np.r_[np.flatnonzero(new)[1:] - 1, len(repeated) - 1]] + window
+    # A phrase is a seed of every passage that has a window which picks it.
+    at, of = np.divmod(np.unique(x.picked[repeated] * len(low) + passage), len(low))
+    low, high = low[of], high[of]
     seeds: dict[str, list[int]] = {}
     memo: dict[int, list[bytes]] = {}
     for i, a in enumerate(at.tolist()):
