@@ -5,9 +5,13 @@ piece has characters, stay alive; as soon as the best paths to all of them pass
 committed and forgotten. Where no piece of the vocabulary can cross a boundary, as before a word's space mark, that is so
 by itself, so the search runs from one such boundary to the next, and short stretches are remembered.
 
-Defined results: the best segmentation has the largest sum of piece scores; of equal ones the last piece that differs is
-the longer one; characters without a piece become their UTF-8 bytes' pieces, or the unknown piece if the model has no
-byte pieces. Null texts have null ids, empty texts no ids. Decoding gives the encoded text; U+2581, which stands for a
+A model of scores (unigram) takes the segmentation with the largest sum of piece scores. A model of merges (BPE) has one
+segmentation of each prefix, and that is known by its neighbours: a sequence of pieces is what merging gives if and only
+if merging gives back each two neighbours of it. So there is one path to each boundary, along the only piece whose
+predecessor it can follow, and the search needs no other change. Both give the ids of the sentencepiece library.
+
+Defined results: of equal sums the last piece that differs is the longer one; characters without a piece become their
+UTF-8 bytes' pieces, or the unknown piece if the model has no byte pieces. Null texts have null ids, empty texts no ids. Decoding gives the encoded text; U+2581, which stands for a
 space inside the model, decodes as a space. The model must leave texts as they are (identity normalization).
 """
 
@@ -40,6 +44,7 @@ class Vocabulary:
     bytes: tuple[int, ...]
     unknown: int
     prefix: bool = True
+    merges: bool = False
 
     @property
     def longest(self) -> int:
@@ -56,7 +61,10 @@ def load(path: str = MODEL) -> Vocabulary:
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = [i for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
     by_byte = {int(m.id_to_piece(i)[1:-1], 16): i for i in range(m.get_piece_size()) if m.is_byte(i)}
-    return Vocabulary({m.id_to_piece(i): (i, m.get_score(i)) for i in plain}, tuple(by_byte[b] for b in range(256)) if len(by_byte) == 256 else (), m.unk_id())
+    pieces = {m.id_to_piece(i): (i, m.get_score(i)) for i in plain}
+    # The scores of merges are their negated ranks, those of a unigram model logarithms.
+    merges = all(s == int(s) for _, s in pieces.values())
+    return Vocabulary(pieces, tuple(by_byte[b] for b in range(256)) if len(by_byte) == 256 else (), m.unk_id(), merges=merges)
 
 
 class Encoder:
@@ -70,12 +78,42 @@ class Encoder:
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in vocabulary.pieces)
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}]*")
         self.known: dict[str, bytes] = {}
+        self.neighbours: dict[tuple[str, str], bool] = {}
         #: Every beginning of a piece; those that are pieces with id and score.
         self.begun = {p[:n]: None for p in vocabulary.pieces for n in range(1, len(p))} | dict(vocabulary.pieces)
 
     def fallback(self, char: str) -> Iterable[int]:
         return (self.v.bytes[b] for b in char.encode()) if self.v.bytes else (self.v.unknown,)
 
+    def merged(self, text: str) -> list[str]:
+        """What merging makes of a short text: of all neighbours that join to a piece, the one of best score first."""
+        parts = list(text)
+        while len(parts) > 1:
+            scores = [piece[1] if (piece := self.v.pieces.get(a + b)) else -np.inf for a, b in zip(parts, parts[1:], strict=False)]
+            if (best := max(scores)) == -np.inf:
+                break
+            at = scores.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def follows(self, before: str, piece: str) -> bool:
+        """Whether a piece can come after another one, or first, where `before` is empty."""
+        key = (before, piece)
+        if (known := self.neighbours.get(key)) is None:
+            if len(self.neighbours) > self.MOST:
+                self.neighbours.clear()
+            known = self.neighbours[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        return known
+
+    def only(self, text: str, back: list[int], before: str) -> int:
+        """Where the last piece of a text begins by merging; `before` is the piece before the text."""
+        e = len(text)
+        for s in range(max(0, e - self.longest), e):
+            if text[s:] in self.v.pieces or s == e - 1:
+                if self.follows(text[back[s] : s] if s else before, text[s:]):
+                    return s
+        raise AssertionError("merging has a last piece for every text")
+
     def stream(self, chars: Iterable[str], window: int | None = None) -> Iterator[int]:
         """Ids of the best path, each committed once no path that is alive avoids it.
 
@@ -84,16 +122,19 @@ class Encoder:
         """
         pieces, longest, lost = self.v.pieces, self.longest, self.lost
         window = longest if window is None else window
-        text, best, back = "", [0.0], [0]
+        text, best, back, before = "", [0.0], [0], ""
         for char in chars:
             text += char
             e = len(text)
             score, origin = -np.inf, e - 1
-            for s in range(max(0, e - longest), e):
-                if (piece := pieces.get(text[s:e])) is not None and best[s] + piece[1] > score:
-                    score, origin = best[s] + piece[1], s
-            if char not in pieces and best[e - 1] + lost > score:
-                score, origin = best[e - 1] + lost, e - 1
+            if self.v.merges:
+                origin = self.only(text, back, before)
+            else:
+                for s in range(max(0, e - longest), e):
+                    if (piece := pieces.get(text[s:e])) is not None and best[s] + piece[1] > score:
+                        score, origin = best[s] + piece[1], s
+                if char not in pieces and best[e - 1] + lost > score:
+                    score, origin = best[e - 1] + lost, e - 1
             best.append(score)
             back.append(origin)
             if e >= longest + window:
@@ -105,6 +146,7 @@ class Encoder:
                     alive.add(back[last])
                 if met := alive.pop():
                     yield from self.ids(text, back, met)
+                    before = text[back[met] : met]
                     text, best, back = text[met:], best[met:], [max(0, b - met) for b in back[met:]]
         yield from self.ids(text, back, len(text))
 
@@ -121,6 +163,18 @@ class Encoder:
     def short(self, text: str) -> list[int]:
         """As `stream`, for a text that needs no window."""
         begun, n = self.begun, len(text)
+        if self.v.merges:
+            origin: list[int | None] = [None] * (n + 1)
+            last = [""] * (n + 1)
+            for s in range(n):
+                for e in range(s + 1, n + 1):
+                    token = text[s:e]
+                    piece = begun.get(token, 0)
+                    if (piece or e == s + 1) and origin[e] is None and self.follows(last[s], token):
+                        origin[e], last[e] = s, token
+                    if piece == 0:
+                        break
+            return self.ids(text, origin, n)
         best, back = [-np.inf] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
         for s in range(n):

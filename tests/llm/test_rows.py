@@ -6,6 +6,7 @@ import random
 import zlib
 
 import pytest
+import sentencepiece
 import zstandard
 from pyspark.sql import functions as F
 
@@ -143,6 +144,22 @@ def test_streaming_search_is_optimal_for_any_window():
         assert sum(back[i][1] if i in back else e.lost for i in want) == best_score(v, marked, e.lost)
 
 
+def test_merges_equal_those_of_the_library_for_any_window():
+    v, library = viterbi.load(), sentencepiece.SentencePieceProcessor(model_file=viterbi.MODEL)
+    assert v.merges
+    rng, e = random.Random(9), viterbi.Encoder(v)
+    alphabets = ["ab", "aeinrst", "etaoinshrdlu   ", "=-_/\\*0189", "äöüß éàç", "漢字かなの", "  \n\t.,", "😀\u0301x"]
+    texts = [t or "" for _, t in ODD] + ["".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(1, 120))) for _ in range(150)]
+    texts += ["".join(rng.choice(a) for _ in range(rng.randint(1, 200))) for a in alphabets for _ in range(25)]
+    for text in texts:
+        want = library.encode(text)
+        assert e.encode(text).tolist() == want, text
+        if text:
+            marked = viterbi.SPACE + text.replace(" ", viterbi.SPACE)
+            for window in (0, 5, None):
+                assert list(e.stream(marked, window)) == want
+
+
 def test_round_trip_with_the_public_model(spark):
     v = viterbi.load()
     df = spark.createDataFrame(ODD + [(7, "tabs\tand\nlines  ▁ é 漢字 \U0001f600")], "doc_id long, text string").withColumn("ids", F.lit("old"))
