@@ -21,7 +21,9 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -36,7 +38,7 @@ UNKNOWN_PENALTY = 10.0
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Vocabulary:
     """Pieces with id and score, and what characters without a piece become."""
 
@@ -79,8 +81,14 @@ class Encoder:
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}]*")
         self.known: dict[str, bytes] = {}
         self.neighbours: dict[tuple[str, str], bool] = {}
-        #: Every beginning of a piece; those that are pieces with id and score.
-        self.begun = {p[:n]: None for p in vocabulary.pieces for n in range(1, len(p))} | dict(vocabulary.pieces)
+        if vocabulary.merges:
+            self.automaton = ahocorasick.Automaton()
+            for p in vocabulary.pieces:
+                self.automaton.add_word(p, p)
+            self.automaton.make_automaton()
+        else:
+            #: Every beginning of a piece; those that are pieces with id and score.
+            self.begun = {p[:n]: None for p in vocabulary.pieces for n in range(1, len(p))} | dict(vocabulary.pieces)
 
     def fallback(self, char: str) -> Iterable[int]:
         return (self.v.bytes[b] for b in char.encode()) if self.v.bytes else (self.v.unknown,)
@@ -162,19 +170,9 @@ class Encoder:
 
     def short(self, text: str) -> list[int]:
         """As `stream`, for a text that needs no window."""
-        begun, n = self.begun, len(text)
         if self.v.merges:
-            origin: list[int | None] = [None] * (n + 1)
-            last = [""] * (n + 1)
-            for s in range(n):
-                for e in range(s + 1, n + 1):
-                    token = text[s:e]
-                    piece = begun.get(token, 0)
-                    if (piece or e == s + 1) and origin[e] is None and self.follows(last[s], token):
-                        origin[e], last[e] = s, token
-                    if piece == 0:
-                        break
-            return self.ids(text, origin, n)
+            return self.path(text)
+        begun, n = self.begun, len(text)
         best, back = [-np.inf] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
         for s in range(n):
@@ -190,6 +188,29 @@ class Encoder:
                     break
         return self.ids(text, back, n)
 
+    def path(self, text: str) -> list[int]:
+        """As `stream`, for merges: each boundary takes the one piece ending there that can follow the piece before it."""
+        last: list[str | None] = ["", *[None] * len(text)]
+        known = self.neighbours
+        for end, piece in self.automaton.iter(text):
+            if last[end + 1] is None:
+                s = end + 1 - len(piece)
+                before = last[s]
+                if before is None:  # no piece ends here: a character without one
+                    before = last[s] = text[s - 1]
+                if (fits := known.get((before, piece))) is None:
+                    fits = self.follows(before, piece)
+                if fits:
+                    last[end + 1] = piece
+        out: list[list[int]] = []
+        e = len(text)
+        while e:
+            token = last[e] or text[e - 1]
+            piece = self.v.pieces.get(token)
+            out.append([piece[0]] if piece else list(self.fallback(token)))
+            e -= len(token)
+        return [i for x in reversed(out) for i in x]
+
     def encode(self, text: str) -> np.ndarray:
         text = text.replace(" ", SPACE)
         if self.v.prefix and text:
@@ -222,6 +243,12 @@ class Decoder:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+@lru_cache(maxsize=2)
+def coders(vocabulary: Vocabulary) -> tuple[Encoder, Decoder]:
+    """Made once in each Python worker: its tasks share the broadcast vocabulary, and so what the encoder remembers."""
+    return Encoder(vocabulary), Decoder(vocabulary)
+
+
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
     """df with the ids of column text as array<int>; row by row, without a shuffle. A column named out is replaced."""
     return _map(df, vocabulary, text, [(out, "array<int>")], lambda column, coder, _: [pa.array([None if x is None else coder.encode(x) for x in column.to_pylist()], pa.list_(pa.int32()))])
@@ -250,7 +277,7 @@ def _map(df: DataFrame, vocabulary: Vocabulary, column: str, new: list[tuple[str
     source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`").alias("__column"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        encoder, decoder = coders(shared.value)
         for batch in by_bytes(batches, "__column", 2 << 20) if pa.types.is_string(source_type) else _halves(batches):
             cells = apply(batch.column("__column"), encoder, decoder)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cells], [*rest, *[n for n, _ in new]])
