@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import langid, mixing, partenum, pii, viterbi
-from spindrift.llm.common import materialize, table
+from spindrift.llm.common import materialize, table, word_count
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +38,14 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents that it doesn't take go."""
-    taken = mixing.mix(docs).select("doc_id", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int").alias("copies"))
-    again = docs.join(taken.where("copies > 0"), "doc_id")
-    return again.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Each document as often as the mix takes it; documents that it doesn't take go.
+
+    Rows that have an id and a size in common, null ids too, all come as often as the one that is taken most.
+    """
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max(copies).alias("__copies")).where("__copies > 0")
+    again = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (word_count(F.col("text")) == F.col("__size")))
+    return again.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
