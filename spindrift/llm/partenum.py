@@ -43,16 +43,25 @@ FIRST = 4
 
 @dataclass(frozen=True)
 class Scheme:
-    """A PartEnum instance: cells and tolerated differences of a first-level partition, and spare partitions."""
+    """A PartEnum instance: cells and tolerated differences of a first-level partition, and whether some are spare."""
 
     n2: int = 3
     k2: int = 1
-    spare: int = 0
+    spares: bool = False
     seed: int = 0
 
+    def partitions(self, k: int) -> tuple[int, int]:
+        """(first-level partitions for k differences, how many of them are spare)."""
+        n1 = k // (self.k2 + 1) + 1
+        spare = 1 + n1 // 20 if self.spares else 0
+        return n1 + spare, spare
+
 
 WIDE = Scheme()
-SHARP = Scheme(n2=8, k2=3, spare=0, seed=1)
+ROOMY = Scheme(spares=True)
+"""Instead of WIDE where a signature covers few features, so that many would be empty and shared by unlike sets."""
+FEW = 10
+SHARP = Scheme(n2=8, k2=3, seed=1)
 
 
 @dataclass(frozen=True)
@@ -67,6 +76,10 @@ class Threshold:
         """Most elements in just one of two similar sets whose sizes sum to total."""
         return total * (self.den - self.num) // (self.den + self.num)
 
+    def scheme(self) -> Scheme:
+        """By the features of a signature: two of three cells of n / (k / 2) features, where k is 2 n (1 - t) / (1 + t)."""
+        return ROOMY if 2 * (self.den + self.num) < 3 * FEW * (self.den - self.num) else WIDE
+
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         """Whether two sorted sets are similar enough; empty sets never are."""
         if not len(a) or not len(b):
@@ -123,14 +136,14 @@ def signatures(features: np.ndarray, threshold: Threshold, scheme: Scheme) -> np
         k = threshold.differences(2 * most)
         if not k:
             continue
-        n1 = k // (scheme.k2 + 1) + 1 + scheme.spare
+        n1, spare = scheme.partitions(k)
         cells = n1 * scheme.n2
         cell = ((place >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
         sums = np.zeros(cells, np.uint64)
         np.add.at(sums, cell, value)
         filled = np.bincount(cell.astype(np.int64), minlength=cells)
         sums, filled = sums.reshape(n1, scheme.n2), filled.reshape(n1, scheme.n2)
-        few = scheme.spare and ((filled > 0).sum(axis=1) <= scheme.k2).sum() <= scheme.spare
+        few = spare and ((filled > 0).sum(axis=1) <= scheme.k2).sum() <= spare
         subsets = list(combinations(range(scheme.n2), scheme.n2 - scheme.k2))
         for s, subset in enumerate(subsets):
             total = sums[:, subset].sum(axis=1, dtype=np.uint64)
@@ -217,7 +230,7 @@ def jaccard_components(df: DataFrame, threshold: Threshold = Threshold(), id: st
     again = every.join(classes.where("copies > 1"), ["h1", "h2"]).where("id <> rep").select("id")
     texts = docs.join(again.union(every.where("n = 0").select("id")), "id", "left_anti")
 
-    wide = materialize(crowded(signed(texts, threshold, WIDE)), "buckets")
+    wide = materialize(crowded(signed(texts, threshold, threshold.scheme())), "buckets")
     dense = wide.groupBy("id").agg(F.max("n").alias("n"), F.countDistinct("last").alias("d")).where((F.col("n") > CROWD) | (F.col("d") > DIFFUSE)).select("id")
     dense = materialize(dense, "dense")
     # Pairs of two dense classes share a sharp signature too; the wide ones serve the other pairs.
