@@ -56,7 +56,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket(5) == 0).select("doc_id", "held_out", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(bucket(5) != 0)
-    model = toxicity.train(docs.join(labels, "doc_id"))
+    model = toxicity.train(toxicity.labelled(docs, labels))
     return toxicity.predict(docs, model).drop("text")
 
 

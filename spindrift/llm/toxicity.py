@@ -142,17 +142,34 @@ def linear(x: Terms, posterior: np.ndarray, used: np.ndarray, l2: float = L2, ro
     return ToxicityModel({x.names[used[i]]: float(w[i]) for i in np.flatnonzero(w)}, float(bias))
 
 
+def _chosen(rows: DataFrame, counts: dict[int, int], sample: int, seed: int) -> DataFrame:
+    """Of rows (id, y) about `sample` of each label, by a seeded hash of their ids."""
+    share = F.when(F.col("y") == 1, F.lit(min(1.0, sample / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, sample / max(1, counts.get(0, 0)))))
+    unit = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.where(unit < share)
+
+
+def _counts(rows: DataFrame) -> dict[int, int]:
+    return {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+
+
+def labelled(docs: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE, seed: int = 5) -> DataFrame:
+    """The sampled labels with their documents. Labels are sampled before they meet a text: of each label about `sample`
+    different ids, which bounds what is broadcast, and no text is shuffled. Repeated equal labels of an id count once."""
+    rows = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").distinct()
+    few = _chosen(rows, _counts(rows), sample, seed).select(F.col("id").alias(id), F.col("y").alias(label))
+    return docs.drop(label).join(F.broadcast(few), id)
+
+
 def train(labelled: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, seed: int = 5) -> ToxicityModel:
     """A model from rows with text and label 0 or 1; rows without either are left out."""
     rows = labelled.select(F.col(id).alias("id"), letters(F.col(text)).alias("text"), F.col(label).cast("int").alias("y")).where("text is not null and y in (0, 1)")
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    counts = _counts(rows)
     total = sum(counts.values())
     if len(counts) < 2:
         share = counts.get(1, 0) / total if total else 0.0
         return ToxicityModel(bias=float(np.log((share + 1e-13) / (1 - share + 1e-13))))
-    share = F.when(F.col("y") == 1, F.lit(min(1.0, sample / counts[1]))).otherwise(F.lit(min(1.0, sample / counts[0])))
-    unit = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    taken = rows.where((unit < share) & (F.octet_length("text") <= SAMPLE_BYTES)).select("id", "text", "y").collect()
+    taken = _chosen(rows, counts, sample, seed).where(F.octet_length("text") <= SAMPLE_BYTES).select("id", "text", "y").collect()
     taken.sort(key=lambda r: (r["id"] is None, r["id"], r["text"]))
     y = np.array([r["y"] for r in taken])
     if len(set(y.tolist())) < 2:
