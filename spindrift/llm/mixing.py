@@ -25,7 +25,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 KNAPSACK = 1 << 16
-"""Largest budget that the knapsack fits; whole lengths are taken until as little is left."""
+"""Largest budget that the knapsack fits, where no document is longer than a quarter of it; whole lengths are taken until as
+little is left."""
 BUCKET = 500
 """Documents of one length are ranked within hash buckets of about this many."""
 
@@ -48,36 +49,51 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length to take, counts at most, so that their sum is the largest up to budget."""
+    """How many of each length to take, counts at most, so that their sum is the largest up to budget.
+
+    Each length costs one pass over the sums, whatever its count.
+    """
     taken = np.zeros(len(lengths), np.int64)
-    reached, last = np.zeros(budget + 1, bool), np.full(budget + 1, -1)
+    unit = int(np.gcd.reduce(lengths)) if len(lengths) else 0
+    if not unit:
+        return taken
+    sizes, budget = (lengths // unit).tolist(), budget // unit
+    reached, last = np.zeros(budget + 1, bool), np.full(budget + 1, -1, np.int32)
     reached[0] = True
-    for i, (length, count) in enumerate(zip(lengths.tolist(), counts.tolist(), strict=True)):
-        for _ in range(min(count, budget // length) if length else 0):
+    for i, (size, count) in enumerate(zip(sizes, counts.tolist(), strict=True)):
+        if not 0 < size <= budget or not count:
+            continue
+        if count == 1:
             new = np.zeros(budget + 1, bool)
-            new[length:] = reached[:-length]
-            new &= ~reached
-            if not new.any():
-                break
-            reached |= new
-            last[new] = i
+            new[size:] = reached[:-size]
+        else:
+            # Sums by remainder and multiple of the size: how many sizes back is the nearest sum that was reached?
+            rows = budget // size + 1
+            grid = np.zeros(rows * size, bool)
+            grid[: budget + 1] = reached
+            grid, row = grid.reshape(rows, size), np.arange(rows, dtype=np.int32)[:, None]
+            before = np.maximum.accumulate(np.where(grid, row, np.int32(-rows)), axis=0)
+            new = ((before >= 0) & (row - before <= count)).reshape(-1)[: budget + 1]
+        new &= ~reached
+        reached |= new
+        last[new] = i
         if reached[budget]:
             break
     total = int(np.flatnonzero(reached)[-1])
     while total:
         taken[last[total]] += 1
-        total -= int(lengths[last[total]])
+        total -= sizes[last[total]]
     return taken
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = KNAPSACK) -> np.ndarray:
-    """How many documents of each positive length to take so that their words sum to about budget."""
+def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int, held: int) -> np.ndarray:
+    """fit() with the shares of `held` words less than the budget."""
     total = int((lengths * counts).sum())
-    if budget >= total:
-        return counts.copy()
-    share = np.array([c * budget // total for c in counts.tolist()], np.int64)  # exact, whatever the size
+    share = np.array([c * (budget - held) // total for c in counts.tolist()], np.int64)  # exact, whatever the size
     left = budget - int((lengths * share).sum())
     for _ in range(2):
+        if left <= most:
+            break
         # One more of as many lengths as fit, those that lost most to rounding first, then the longest first.
         lost = counts * (budget / total) - share
         order = np.lexsort((lengths, -lost)) if _ == 0 else np.argsort(-lengths, kind="stable")
@@ -87,13 +103,31 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = KNAPSA
             if more > 0:
                 share[i] += more
                 left -= more * int(lengths[i])
-    if 0 < left <= most:
-        open_ = counts > share
+    open_ = (counts > share) & (lengths <= left)
+    if open_.any():  # left is at most `most` now, as a length that is still open fits no more above half of it
         order = np.flatnonzero(open_)[np.argsort(-lengths[open_], kind="stable")]
         share[order] += knapsack(lengths[order], (counts - share)[order], left)
     return share
 
 
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = KNAPSACK) -> np.ndarray:
+    """How many documents of each positive length to take so that their words sum to about budget.
+
+    The knapsack gets `most` words at most, or four times the longest document that fits the budget if that is more. If
+    it can't fill what the shares leave, as when documents are longer than that, the shares give back as much as it takes.
+    """
+    total = int((lengths * counts).sum())
+    if budget >= total:
+        return counts.copy()
+    fitting = lengths[lengths <= budget]
+    most = max(most, 4 * int(fitting.max())) if len(fitting) else most
+    share = _fit(lengths, counts, budget, most, 0)
+    if (lengths * share).sum() < budget:
+        other = _fit(lengths, counts, budget, most, min(budget, most))
+        share = max(share, other, key=lambda x: int((lengths * x).sum()))
+    return share
+
+
 def _plan(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("size")
     lengths, counts = group["size"].to_numpy(), group["n"].to_numpy()

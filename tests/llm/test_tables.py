@@ -99,6 +99,24 @@ def test_fit_reaches_every_budget_that_can_be_reached():
             assert (chosen <= counts).all() and (chosen * lengths).sum() <= budget
 
 
+def test_fit_takes_documents_longer_than_the_knapsack():
+    def sums(lengths, counts, budget):
+        return (mixing.fit(lengths := np.array(lengths), np.array(counts), budget) * lengths).sum()
+
+    assert sums([60001, 60002, 60003, 60004, 60005], [1] * 5, 150000) == 120009
+    assert sums([70000, 100000], [3, 2], 245000) == 240000
+    assert sums([100, 1000000], [1000, 1], 1050000) == 1050000  # the share of the long one is 0, and it fits no more after the others'
+    rng = random.Random(4)
+    for _ in range(20):
+        lengths, counts = sorted(rng.sample(range(33000, 200000), 6)), [rng.randint(1, 3) for _ in range(6)]
+        found = {0}
+        for n, c in zip(lengths, counts, strict=True):
+            found = {s + k * n for s in found for k in range(c + 1)}
+        for budget in rng.sample(range(max(found)), 3):
+            best, got = max(s for s in found if s <= budget), sums(lengths, counts, budget)
+            assert got <= budget and (got == best if budget <= 4 * min(lengths) else budget - got < max(lengths))
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     x = (rng.normal(size=(700, 6)) * rng.choice([0.1, 1, 5], size=(700, 1))).round(2)
