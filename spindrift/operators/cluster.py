@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .search import cluster_label, knn
+from ..functions.vector import doubles, norm
+from .search import cluster_label, knn, links_within
 
 MIN_SIZE = 10
 MIN_SAMPLES = 5
@@ -30,16 +31,26 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 def density_clusters(df: DataFrame, id: str = "vec_id", vector: str = "embedding", min_size: int = MIN_SIZE, min_samples: int = MIN_SAMPLES, quantile: float = 0.9) -> DataFrame:
     """(id, cluster_id): components of neighbours within reach of each other, largest first; -1 is noise.
 
-    A row's core distance is that to its min_samples-th neighbour; two neighbours are linked if the larger of their
-    distance and core distances is at most the given quantile of all core distances. Components of less than min_size
-    rows are noise. Labels spread along links, with jumps, until none changes.
+    A row's core distance is that to its min_samples-th neighbour; two rows are linked if the larger of their distance
+    and core distances is at most the given quantile of all core distances. Components of less than min_size rows are
+    noise. Equal vectors are one class with a count. Labels spread along links, with jumps, until none changes.
     """
-    near = _stored(knn(df, max(min_samples, 10), id, vector).withColumnRenamed(id, "id"), "knn")
-    core = near.where(F.col("rank") == min_samples).select("id", F.col("distance").alias("core"))
-    reach = core.agg(F.percentile_approx("core", quantile, 10000)).first()[0]
-    ids = df.select(F.col(id).cast("long").alias("id")).where("id is not null").distinct()
-    dense = core.where(F.col("core") <= F.lit(reach)).select("id")
-    links = near.where(F.col("distance") <= F.lit(reach)).join(dense, "id", "left_semi").join(dense.withColumnRenamed("id", "neighbor_id"), "neighbor_id", "left_semi")
+    every = df.select(F.col(id).cast("long").alias("id"), doubles(F.col(vector)).alias("v")).where("id is not null")
+    ids = every.select("id").distinct()
+    classes = every.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"))
+    classes = _stored(classes, "classes")
+    rows = _stored(every.join(classes, "v").select("id", "rep").distinct(), "rows")
+    near = knn(classes, min_samples, "rep", "v").join(classes.select(F.col("rep").alias("neighbor_id"), "copies"), "neighbor_id").select("rep", "distance", "copies")
+    # Copies are at distance 0 of each other, or 1 if they have no length; vectors that aren't finite are near nothing.
+    length = norm(F.col("v"))
+    own = classes.where(~F.isnan(length) & (length < float("inf")) & (F.col("copies") > 1)).select("rep", F.when(length > 0, 0.0).otherwise(1.0).alias("distance"), (F.col("copies") - 1).alias("copies"))
+    within = F.sum("copies").over(W.partitionBy("rep").orderBy("distance"))
+    core = near.union(own).withColumn("within", within).where(F.col("within") >= min_samples).groupBy("rep").agg(F.min("distance").alias("core"))
+    core = _stored(core, "core")
+    reach = rows.join(core, "rep").agg(F.percentile_approx("core", quantile, 10000)).first()[0]
+    dense = core.where(F.col("core") <= F.lit(reach)).select(F.col("rep").alias("id"))
+    met = classes.join(dense, F.col("rep") == F.col("id"), "left_semi")
+    links = links_within(met, -1.0 if reach is None else reach, "rep", "v").withColumnRenamed("rep", "id")
     links = _stored(links.select("id", "neighbor_id").union(links.select("neighbor_id", "id")).distinct(), "links")
     label = _stored(dense.withColumn("label", F.col("id")), "labels")
     while True:
@@ -51,6 +62,7 @@ def density_clusters(df: DataFrame, id: str = "vec_id", vector: str = "embedding
         label = new.select("id", F.col("now").alias("label"))
         if not changed:
             break
+    label = rows.join(label.withColumnRenamed("id", "rep"), "rep").select("id", "label")
     sizes = label.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
     named = sizes.withColumn("cluster_id", F.row_number().over(W.orderBy(F.col("n").desc(), "label")) - 1)
     return ids.join(label, "id", "left").join(named, "label", "left").select(F.col("id").alias(id), F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))

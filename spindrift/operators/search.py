@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +40,10 @@ def ranked(df: DataFrame, query: Sequence[float], id: str = "vec_id", vector: st
     return vector_search(df, query, id, vector, -2.0, 2**31 - 1)
 
 
-def knn(df: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(id, neighbor_id, distance, rank): the k nearest other rows by cosine distance, ties by smaller id.
+def _by_blocks(df: DataFrame, id: str, vector: str, block: int, choose: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(id, neighbor_id, distance) of the pairs that choose(ids, other ids, cosine distances) takes of each pair of blocks.
 
-    Rows are packed into blocks; each pair of blocks is one task's matrix product and sends on k candidates a row, so
-    neither all pairs of rows nor all rows are ever in one place. Rows without length are at distance 1 from all.
+    choose returns places of rows and of columns; a row's distance to itself is infinite.
     """
     rows = df.select(F.col(id).cast("long").alias("id"), doubles(F.col(vector)).alias("v")).where("v is not null")
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
@@ -67,16 +66,64 @@ def knn(df: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding
                 (a, x), (b, y) = (unit(batch.column(c)[i].as_py()) for c in ("r1", "r2"))
                 d = np.round(1 - x @ y.T, 12)
                 d[a[:, None] == b[None, :]] = np.inf
-                take = np.argsort(d, axis=1, kind="stable")[:, :k]
-                near = np.take_along_axis(d, take, 1)
-                keep = np.isfinite(near)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, take.shape[1])[keep.reshape(-1)]), pa.array(b[take][keep]), pa.array(near[keep])], ["id", "neighbor_id", "distance"])
+                row, column = choose(a, b, d)
+                yield pa.RecordBatch.from_arrays([pa.array(a[row]), pa.array(b[column]), pa.array(d[row, column])], ["id", "neighbor_id", "distance"])
+
+    return pairs.mapInArrow(apply, "id long, neighbor_id long, distance double")
 
-    found = pairs.mapInArrow(apply, "id long, neighbor_id long, distance double")
+
+def knn(df: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(id, neighbor_id, distance, rank): the k nearest other rows by cosine distance, ties by smaller id.
+
+    Rows are packed into blocks; each pair of blocks is one task's matrix product and sends on k candidates a row, so
+    neither all pairs of rows nor all rows are ever in one place. Rows without length are at distance 1 from all.
+    """
+
+    def nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        take = np.argsort(d, axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(a)), take.shape[1])
+        keep = np.isfinite(d[row, take.reshape(-1)])
+        return row[keep], take.reshape(-1)[keep]
+
+    found = _by_blocks(df, id, vector, block, nearest)
     rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "neighbor_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("id", id)
 
 
+def links_within(df: DataFrame, reach: float, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(id, neighbor_id, distance): links that connect the same rows as all pairs at most reach apart do.
+
+    Of each pair of blocks, only links that join what its earlier ones leave apart are sent on, less than it has rows.
+    """
+
+    def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = d <= reach
+        new_a, new_b = np.ones(len(a), bool), np.ones(len(b), bool)
+        rows, columns = [], []
+        if len(a) == len(b) and (a == b).all():
+            # A block with itself: rows and columns are the same rows, marked together.
+            new_b = new_a
+        for start in range(len(a)):
+            if not new_a[start]:
+                continue
+            new_a[start] = False
+            front, side = np.array([start]), 0
+            while len(front):
+                grid, open_ = (near, new_b) if side == 0 else (near.T, new_a)
+                after = []
+                for i in front.tolist():
+                    met = np.flatnonzero(grid[i] & open_)
+                    open_[met] = False
+                    after.append(met)
+                    same = np.full(len(met), i)
+                    rows.append(same if side == 0 else met)
+                    columns.append(met if side == 0 else same)
+                front, side = np.concatenate(after), 1 - side
+        return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    return _by_blocks(df, id, vector, block, forest)
+
+
 def points_view(points: DataFrame) -> DataFrame:
     return points.withColumn("x", F.try_element_at("coordinates_2d", F.lit(1))).withColumn("y", F.try_element_at("coordinates_2d", F.lit(2)))
 

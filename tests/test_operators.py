@@ -120,6 +120,37 @@ def test_planted_blobs_are_clusters(spark):
     assert len(set(main)) == 3 and -1 not in main
 
 
+def test_clusters_of_copies_within_reach_are_one(spark):
+    def at(angle):
+        return [float(np.cos(angle)), float(np.sin(angle))]
+
+    # Two groups of copies within reach of each other, and loose rows, the core distances of which make the reach.
+    x = [at(0.0)] * 15 + [at(0.01)] * 15 + [at(2 + 0.02 * i) for i in range(12)] + [[0.0, 0.0], None]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    got = dict(map(tuple, cluster.density_clusters(df, min_size=5).collect()))
+    assert len(got) == len(x) and {got[i] for i in range(30)} == {0} and got[42] == got[43] == -1
+
+
+def test_links_within_connect_what_all_pairs_do(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(80, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def roots(pairs):
+        up = list(range(len(x)))
+        for _ in up:
+            for a, b in pairs:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    want = roots([(a, b) for a in range(80) for b in range(a) if 1 - u[a] @ u[b] <= 0.02])
+    for block in (2048, 9):
+        links = [tuple(r)[:2] for r in search.links_within(df, 0.02, block=block).collect()]
+        assert roots(links) == want and len(set(want)) > 1
+        assert block == 9 or len(links) < 80
+
+
 def test_failures_are_data(spark):
     class Broken:
         def complete(self, prompts):
