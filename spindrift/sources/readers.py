@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,12 +29,89 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).withColumn("v", F.try_parse_json("line")).where("v is not null")
 
 
+_SPACE = re.compile(r"[ \t\r\n]*")
+
+
+def _constant(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def _members(text: str) -> list[tuple[int, int]]:
+    """The places in text of the rows of its JSON document; ValueError if it isn't one document."""
+    decode = json.JSONDecoder(parse_constant=_constant).raw_decode
+
+    def skip(at: int) -> int:
+        return _SPACE.match(text, at).end()
+
+    def several(at: int, close: str, keyed: bool) -> tuple[list[tuple[str | None, int, int]], int]:
+        """(key, start, end) of an array's items or an object's values, and the place after it; at is that of its bracket."""
+        found, at = [], skip(at + 1)
+        if text[at : at + 1] == close:
+            return found, at + 1
+        while True:
+            key = None
+            if keyed:
+                key, at = decode(text, at)
+                at = skip(at)
+                if not isinstance(key, str) or text[at : at + 1] != ":":
+                    raise ValueError(f"no key and colon before place {at}")
+                at = skip(at + 1)
+            start, at = at, decode(text, at)[1]
+            found.append((key, start, at))
+            at = skip(at)
+            if text[at : at + 1] == close:
+                return found, at + 1
+            if text[at : at + 1] != ",":
+                raise ValueError(f"no comma at place {at}")
+            at = skip(at + 1)
+
+    start = skip(0)
+    if text[start : start + 1] == "[":
+        found, end = several(start, "]", False)
+        rows = [x[1:] for x in found]
+    elif text[start : start + 1] == "{":
+        found, end = several(start, "}", True)
+        arrays = {k: at for k, at, _ in reversed(found) if text[at] == "["}
+        first = next((k for k in ROW_KEYS if k in arrays), None)
+        rows = [(start, end)] if first is None else [x[1:] for x in several(arrays[first], "]", False)[0]]
+    else:
+        end = decode(text, start)[1]
+        rows = [(start, end)]
+    if skip(end) != len(text):
+        raise ValueError(f"more than one value, at place {skip(end)}")
+    return rows
+
+
+def _rows_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column("value"):
+            text = (text.as_py() or "").removeprefix("\ufeff")
+            rows, error = [], None
+            try:
+                rows = _members(text) if text.strip() else []
+            except (ValueError, RecursionError) as e:
+                error = str(e) or "nested too deep"
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([error])], ["item", "error"])
+            for i in range(0, len(rows), 1000):
+                items = [text[a:b] for a, b in rows[i : i + 1000]]
+                yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.nulls(len(items), pa.string())], ["item", "error"])
+
+
+def _items(spark: SparkSession, path: str) -> DataFrame:
+    """(item, error) of the JSON texts of each file's rows, or why the file is no JSON document.
+
+    Items are cut from the text, so that only each of them, not the file, has to fit a VARIANT.
+    """
+    return spark.read.text(path, wholetext=True).mapInArrow(_rows_of_texts, "item string, error string")
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """(v) of each row of a JSON document: an array's items, the items of its first array of rows, else itself."""
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v")).where("v is not null")
-    items = F.try_variant_get("v", "$", "array<variant>")
-    inner = F.coalesce(*[F.try_variant_get("v", f"$.{k}", "array<variant>") for k in ROW_KEYS])
-    return whole.select(F.explode(F.coalesce(items, inner, F.array("v"))).alias("v"))
+    """(v) of each row of a JSON document: an array's items, the items of its first array of rows, else itself.
+
+    A file that isn't one JSON document, and a row beyond the size of a VARIANT, are errors.
+    """
+    bad = F.raise_error(F.concat(F.lit(f"not a JSON document in {path}: "), F.col("error"))).cast("string")
+    return _items(spark, path).select(F.parse_json(F.when(F.col("error").isNull(), F.col("item")).otherwise(bad)).alias("v"))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +145,7 @@ def _shape(name: str) -> Column:
 def detect(spark: SparkSession, path: str) -> DataFrame:
     """(format, confidence), best first: the share of the first lines that look like each format.
 
-    Reads the first 100 lines, and the document as a whole.
+    Reads the first 100 lines, and the document as a whole where its first line is the start of one.
     """
     sample = lines(spark, path).limit(100).withColumn("n", F.monotonically_increasing_id())
     sample = sample.withColumn("v", F.try_parse_json("line")).orderBy("n").limit(10).withColumn("at", F.row_number().over(_in_order()))
@@ -82,7 +162,16 @@ def detect(spark: SparkSession, path: str) -> DataFrame:
         F.least(F.lit(1.0), F.lit(0.5) * F.count_if(five & good & _shape("arize"))).alias("arize"),
         F.when(needed, F.lit(0.6) + F.lit(0.1) * extra).otherwise(F.lit(0.0)).alias("turn-level"),
     )
-    whole = read_json(spark, path).agg(*[F.max(F.when(_shape(n), 1.0).otherwise(0.0)).alias(n) for n in ("langfuse", "arize")])
+    top = lines(spark, path).limit(1).select("line", F.try_parse_json("line").isNotNull().alias("whole")).first()
+    if top and not top["whole"] and top["line"].lstrip("\ufeff \t")[:1] in ("{", "["):
+        document = _items(spark, path).where("error is null").select(F.parse_json("item").alias("v"))
+    else:
+        # A line that is a document: of JSONL the first one, as a parser of the whole file stops after it.
+        v = F.try_parse_json(F.lit(top["line"] if top else None).cast("string"))
+        one = spark.range(1).select(v.alias("v")).where("v is not null")
+        inner = F.coalesce(*[F.try_variant_get("v", f"$.{k}", "array<variant>") for k in ROW_KEYS])
+        document = one.select(F.explode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), inner, F.array("v"))).alias("v"))
+    whole = document.agg(*[F.max(F.when(_shape(n), 1.0).otherwise(0.0)).alias(n) for n in ("langfuse", "arize")])
     wide = scores.select(F.posexplode(F.array(*[F.struct(F.lit(n).alias("format"), F.col(f"`{n}`").alias("confidence")) for n in FORMATS])).alias("place", "x"))
     single = whole.select(F.explode(F.array(*[F.struct(F.lit(n).alias("format"), F.coalesce(F.col(n), F.lit(0.0)).alias("whole")) for n in ("langfuse", "arize")])).alias("y")).select("y.*")
     joined = wide.select("place", "x.*").join(single, "format", "left").withColumn("confidence", F.greatest("confidence", F.coalesce("whole", F.lit(0.0))))
@@ -104,12 +193,15 @@ def is_jsonl(spark: SparkSession, path: str) -> bool:
 
 
 def load(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """A flat table of the file: by its format, or by what it parses as: JSON, JSONL, else CSV."""
+    """A flat table of the file: by its format, or by what it parses as: JSON, JSONL, else CSV.
+
+    Without a format, a file is CSV if it has no row of JSON; one of several files that alone isn't JSON is an error.
+    """
     if fmt == "turn-level" or fmt == "csv":
         return read_csv(spark, path)
     by_line = fmt in ("message-centric", "langsmith", "jsonl") or fmt != "json" and is_jsonl(spark, path)
     rows = read_jsonl(spark, path).select("v") if by_line else read_json(spark, path)
-    if fmt is None and rows.isEmpty():
+    if fmt is None and (rows.isEmpty() if by_line else _items(spark, path).where("error is null").isEmpty()):
         return read_csv(spark, path)
     return flatten(observations(rows) if fmt == "langfuse" else rows, DEPTH.get(fmt or "", 5))
 

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from spindrift.sources import normalize, readers
@@ -72,6 +73,31 @@ def test_bad_lines_and_wrapped_rows(spark, tmp_path):
     assert readers.validate_lines(spark, str(bad), "message-centric").count() == 1
 
 
+def test_json_documents_are_whole_or_an_error(spark, tmp_path):
+    big = tmp_path / "big.json"
+    item = json.dumps({"a": "x" * 1_000_000, "n": [1, "]", {"b": "\\\"}"}]})
+    big.write_text('{"items": [' + ", ".join([item] * 140) + "]}")  # beyond the size of a VARIANT
+    assert readers.read_json(spark, str(big)).count() == 140
+    small = tmp_path / "small.json"
+    for text, n in (('\ufeff[1, null,\n{"a": [1]}]', 3), ('{"meta": [1], "rows": {}, "records": [{"a": 1}, 2]}', 2), ('{"a": [1, 2]}', 1), ("[]", 0), ('"text"', 1), (" \n", 0)):
+        small.write_text(text)
+        assert readers.read_json(spark, str(small)).count() == n
+    for text in ('[{"a": 1}, {"a": ', '{"a": 1} {"a": 2}', '{"a" 1}', "[1 2]", "[NaN]", "a,b\n1,2"):
+        small.write_text(text)
+        with pytest.raises(Exception, match="not a JSON document"):
+            readers.load(spark, str(small), "json").collect()
+    assert readers.load(spark, str(small)).columns == ["a", "b"]  # no JSON at all is CSV
+
+
+def test_detection_reads_a_whole_document_only_where_it_must(spark, tmp_path, monkeypatch):
+    paths = [write(tmp_path, "m.jsonl", MESSAGES), write(tmp_path, "t.jsonl", [TRACE, TRACE])]
+    document = write(tmp_path, "t.json", TRACE, 2)
+    items, asked = readers._items, []
+    monkeypatch.setattr(readers, "_items", lambda spark, path: asked.append(path) or items(spark, path))
+    assert [best(spark, p)[0] for p in paths] == ["message-centric", "langfuse"] and not asked
+    assert best(spark, document) == ("langfuse", 1.0) and asked == [document]
+
+
 def test_stream_takes_what_is_new(spark, tmp_path):
     (tmp_path / "in").mkdir()
     write(tmp_path / "in", "1.jsonl", MESSAGES)
