@@ -17,10 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PARTS = 8
-"""Leading path parts that entries may name."""
-
-
 def host(url: Column) -> Column:
     """Lower-case host, without user, port and final dot; null if there is none."""
     h = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
@@ -32,13 +28,16 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def keys(url: Column) -> Column:
-    """All keys that an entry may have to match the URL: domains, and host/path prefixes that end at a slash or the end."""
+def keys(url: Column, deepest: Column) -> Column:
+    """All keys that an entry may have to match the URL: domains, and host/path prefixes that end at a slash or the end.
+
+    deepest is the number of path parts of the entry that has most.
+    """
     h, p = host(url), path(url)
     labels, parts = F.split(h, r"\."), F.filter(F.split(p, "/"), lambda x: x != "")
     n = F.size(labels)
     domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    depth = F.least(F.size(parts), F.lit(PARTS))
+    depth = F.least(F.size(parts), deepest)
     prefixes = F.when(depth > 0, F.transform(F.sequence(F.lit(1), depth), lambda i: F.concat(h, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))))
     return F.when(h.isNotNull(), F.array_distinct(F.concat(domains, F.coalesce(prefixes, F.array().cast("array<string>")))))
 
@@ -61,7 +60,8 @@ def evaluate(captures: DataFrame, log: DataFrame, url: str = "url", at: str = "f
     out = ["categories", "matched", "blocked"]
     kept = captures.select(*[f"`{c}`" for c in captures.columns if c not in out])
     looked_up = kept.select(F.col(url).alias("__url"), F.col(at).alias("__at")).where("__url is not null and __at is not null").distinct()
-    asked = looked_up.withColumn("key", F.explode(keys(F.col("__url"))))
+    deepest = log.agg(F.coalesce(F.max(F.size(F.split("key", "/")) - 1), F.lit(0)).alias("__deepest"))
+    asked = looked_up.crossJoin(F.broadcast(deepest)).select("__url", "__at", F.explode(keys(F.col("__url"), F.col("__deepest"))).alias("key"))
     hits = asked.join(valid, "key").where((F.col("valid_from") <= F.col("__at")) & (F.col("valid_to").isNull() | (F.col("__at") < F.col("valid_to"))))
     found = hits.groupBy("__url", "__at").agg(F.array_sort(F.collect_set("category")).alias("categories"), F.array_sort(F.collect_set("key")).alias("matched"))
     none = F.array().cast("array<string>")

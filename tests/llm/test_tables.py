@@ -145,6 +145,16 @@ def test_url_lists(spark):
     assert {r["page_id"]: r["categories"] for r in got if r["page_id"] != 1} == {2: ["adult"], 3: [], 4: [], 5: [], 6: [], 7: []}
 
 
+def test_url_lists_of_deep_paths(spark):
+    deep = "a.org/" + "/".join("abcdefghi")
+    log = spark.createDataFrame([(deep, "bad", "add", 0), ("b.org", "bad", "add", 0)], "key string, category string, action string, at int")
+    urls = [(1, f"http://{deep}", 3), (2, f"http://{deep}/j?q", 3), (3, f"http://{deep}j", 3), (4, "http://a.org/a/b", 3), (5, "http://x.b.org/1/2", 3)]
+    df = spark.createDataFrame(urls, "page_id long, url string, fetched_at int")
+    assert {r["page_id"]: r["matched"] for r in urlfilter.evaluate(df, log).collect()} == {1: [deep], 2: [deep], 3: [], 4: [], 5: ["b.org"]}
+    assert urlfilter.evaluate(df, log.where("key = 'b.org'")).where("blocked").count() == 1
+    assert urlfilter.evaluate(df, log.where("false")).where("blocked").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(1)
     parts = {"en": ["the", "of", "and", "to", "in", "tion", "ing"], "de": ["der", "und", "ein", "sch", "ver", "keit"]}
