@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import langid, mixing, partenum, pii, viterbi
-from spindrift.llm.common import materialize, table, word_count
+from spindrift.llm.common import materialize, null_ids, table, with_nulls, word_count
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +25,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates: 5-word shingles, similarity of 0.8 or more."""
-    groups = partenum.jaccard_components(docs, partenum.Threshold(5, 4, 5))
+    """The document of least id of each group of near duplicates: 5-word shingles, similarity of 0.8 or more.
+
+    Of a group with null ids only, one document stays.
+    """
+    keyed, nulls = null_ids(docs, "doc_id")
+    groups = partenum.jaccard_components(keyed, partenum.Threshold(5, 4, 5))
     others = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    kept = keyed.join(others, "doc_id", "left_anti")
+    return (kept if nulls is None else with_nulls(kept, nulls, "doc_id")).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

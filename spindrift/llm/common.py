@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from random import Random
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but a space and the ASCII controls 9 to 13.
@@ -38,6 +40,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def null_ids(docs: DataFrame, id: str = "id") -> tuple[DataFrame, DataFrame | None]:
+    """docs with a key of its own in place of each null in the long column id, and the (id) that are such keys.
+
+    The rows with null ids are written to the shared folder, so that they keep their keys. Keys are consecutive numbers
+    that no row has as its id: after the largest id, or else where there is room. None: docs has no null ids.
+    """
+    known = docs.where(F.col(id).isNotNull())
+    without = docs.where(F.col(id).isNull())
+    if without.isEmpty():
+        return docs, None
+    stored = materialize(without.drop(id).withColumn("__n", F.monotonically_increasing_id()), "null-ids")
+    part = F.shiftright("__n", 33)
+    rows = stored.groupBy(part.alias("__part")).agg(F.count("*").alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = rows.select("__part", before.alias("__before"))
+    n, base = stored.count(), known.agg(F.coalesce(F.max(id), F.lit(-1))).first()[0] + 1
+    random = Random(n)
+    while base + n >= 2**63 or not known.where((F.col(id) >= base) & (F.col(id) < base + n)).isEmpty():
+        base = random.randrange(-(2**63), 2**63 - n)
+    key = F.lit(base).cast("long") + F.col("__before") + F.col("__n").bitwiseAND((1 << 33) - 1)
+    keyed = stored.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn(id, key).select(*docs.columns)
+    return known.unionByName(keyed), keyed.select(id)
+
+
+def with_nulls(out: DataFrame, nulls: DataFrame, id: str = "id") -> DataFrame:
+    """out with null in place of the ids that are keys of null_ids."""
+    key = nulls.select(F.col(id).alias("__key"))
+    return out.join(key, F.col(id) == F.col("__key"), "left").withColumn(id, F.when(F.col("__key").isNull(), F.col(id))).drop("__key")
+
+
 def utf8(text: Column) -> Column:
     """UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

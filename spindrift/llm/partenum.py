@@ -11,8 +11,9 @@ most signatures with, and only pairs that still lie in different components are
 counts of features) before the sets themselves.
 
 Defined results: null and empty texts and texts without words have an empty set, are linked with nothing and are
-components of their own; texts shorter than n words have one feature; repeated rows come back repeated. Ids are taken to
-be unique. Columns of the input other than id and text are not used.
+components of their own; texts shorter than n words have one feature; repeated rows come back repeated. Rows with null ids
+are linked like others and come back with null ids; a component's id is the least that isn't null, null if there is none.
+Other ids are taken to be unique. Columns of the input other than id and text are not used.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHasher, by_bytes, components, materialize, mix, sequence_hashes, utf8
+from .common import WordHasher, by_bytes, components, materialize, mix, null_ids, sequence_hashes, utf8, with_nulls
 
 CELLS = 64
 """Counts of features of which the bound on differences is made."""
@@ -211,6 +212,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: Threshold) -> DataFr
 def jaccard_components(df: DataFrame, threshold: Threshold = Threshold(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row of df."""
     docs = df.select(F.col(id).cast("long").alias("id"), utf8(F.col(text)).alias("text"))
+    docs, nulls = null_ids(docs)
     every = materialize(profiles(docs, threshold), "profiles")
     classes = every.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     # Classes with copies are few beside all rows: only they need a join to find the rows to leave out.
@@ -249,4 +251,9 @@ def jaccard_components(df: DataFrame, threshold: Threshold = Threshold(), id: st
     classes = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     sets = every.where("n > 0").join(classes, ["h1", "h2"]).select("id", "n", "component_id")
     out = sets.union(every.where("n = 0").select("id", "n", "id"))
+    if nulls is not None:
+        out = with_nulls(out, nulls)
+        # The least id that isn't null; a component without one is named by null.
+        least = out.where("id is not null").groupBy("component_id").agg(F.min("id").alias("least"))
+        out = out.join(least, "component_id", "left").select("id", "n", F.col("least").alias("component_id"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id")

@@ -12,8 +12,8 @@ A shard holds a bounded number of bytes of text, and what a window sends is one
 passages cost no more than others. Windows are told apart by 64-bit hashes.
 
 Defined results: null and empty texts have no words and keep the hash of the empty string; shorter texts than a window
-lose nothing; repeated rows lose all that a window covers, for each one's windows start in the other. Ids are taken to be
-unique. Columns of the input other than id and text are not used.
+lose nothing; repeated rows lose all that a window covers, for each one's windows start in the other. Rows with null ids
+come back with null ids, each a document of its own; other ids are taken to be unique. Columns of the input other than id and text are not used.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHasher, by_bytes, sequence_hashes, utf8
+from .common import WordHasher, by_bytes, null_ids, sequence_hashes, utf8, with_nulls
 
 WINDOW = 35
 SEED = 8
@@ -194,9 +194,10 @@ def remove_repeated(df: DataFrame, id: str = "doc_id", text: str = "text", windo
     Windows are judged on the input. `kept` is the words left, joined by single spaces.
     """
     docs = df.select(F.col(id).cast("long").alias("id"), utf8(F.col(text)).alias("text"))
+    docs, nulls = null_ids(docs)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
-    docs = docs.withColumn("shard", F.pmod(F.xxhash64(F.lit(11), F.coalesce("id", F.lit(0))), F.lit(shards)))
+    docs = docs.withColumn("shard", F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(shards)))
 
     picked = docs.select("text", "shard").mapInArrow(_phrases(window, seed), "phrase long, shard long, n long")
     by_shard = picked.groupBy("phrase", "shard").agg(F.sum("n").alias("n"))
@@ -205,5 +206,8 @@ def remove_repeated(df: DataFrame, id: str = "doc_id", text: str = "text", windo
     windows = docs.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(_windows(window, seed), "hash long, shard long, id long, start long, n long")
     repeated = windows.withColumn("all", F.sum("n").over(W.partitionBy("hash"))).where("all > 1").select("shard", "id", "start")
     schema = "id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    out = docs.groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(_cut(window, seed), schema).withColumnRenamed("id", id)
+    out = docs.groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(_cut(window, seed), schema)
+    if nulls is not None:
+        out = with_nulls(out, nulls)
+    out = out.withColumnRenamed("id", id)
     return out if with_text else out.drop("kept")

@@ -60,6 +60,17 @@ def test_components_equal_brute_force(spark, monkeypatch, n, num, den, seed, cro
     assert got == brute(rows, n, num, den)
 
 
+def test_null_ids_keep_links(spark):
+    words = [f"w{i}" for i in range(200)]
+    text, near, far = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(["y", *words[1:-1], "x"])
+    lone = " ".join(f"z{i}" for i in range(100))
+    rows = [(None, near), (7, text), (9, far), (None, near), (None, lone), (None, lone + " end"), (None, None), (2**63 - 1, "top"), (3, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, partenum.jaccard_components(df, partenum.Threshold(3, 19, 20)).collect()), key=str)
+    want = [(None, 198, 7), (7, 198, 7), (9, 198, 7), (None, 198, 7), (None, 98, None), (None, 99, None), (None, 0, None), (2**63 - 1, 1, 2**63 - 1), (3, 1, 3)]
+    assert got == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert partenum.jaccard_components(df).collect() == []

@@ -155,6 +155,24 @@ def test_url_lists_of_deep_paths(spark):
     assert urlfilter.evaluate(df, log.where("false")).where("blocked").count() == 0
 
 
+def test_repeated_passages_with_null_ids(spark):
+    passage = " ".join(f"p{i}" for i in range(8))
+    rows = [(None, f"a {passage}"), (None, f"b b {passage} c"), (1, f"d {passage}"), (None, None), (None, f"a {passage}"), (2**63 - 1, "one two"), (-(2**63), "x")]
+    for shard in (6 << 20, 30):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = phrases.remove_repeated(df, window=6, seed=2, shard_bytes=shard).collect()
+        want = [(None, ""), (None, ""), (None, "b b c"), (1, "d"), (None, ""), (2**63 - 1, "one two"), (-(2**63), "x")]
+        assert Counter((r["doc_id"], r["kept"]) for r in got) == Counter(want)
+
+
+def test_near_duplicates_with_null_ids(spark):
+    text, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(None, text + " end"), (4, text), (None, other), (None, other), (None, None), (6, "short")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert got == Counter([(4, text), (None, other), (None, None), (6, "short")])
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(1)
     parts = {"en": ["the", "of", "and", "to", "in", "tion", "ing"], "de": ["der", "und", "ein", "sch", "ver", "keit"]}
