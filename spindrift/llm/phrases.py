@@ -2,18 +2,23 @@
 
 1. Every window picks one phrase of `seed` words in it, the one of least hash; equal windows pick equal phrases. Phrases
    that are picked just once lie in no repeated window.
-2. Documents are dealt to shards by id. In each shard the windows around repeated phrases are counted by hash, once for
-   each shard, and summed over all shards: the sums confirm the repeated windows. Their first place in each shard joins
-   up to passages, all windows of which are repeated.
-3. Each shard compiles an Aho-Corasick automaton from the phrases of its passages and streams its documents through it.
-   Each hit is extended in the document and in the passage; `window` equal words or more are cut out.
+2. Documents are dealt to shards. In each shard the windows around repeated phrases are counted by hash, once for each
+   shard, and summed over all shards: the sums confirm the repeated windows.
+3. Each shard compiles an Aho-Corasick automaton from the phrases that its confirmed windows pick and streams its
+   documents through it. A hit is a window of the document that picks the phrase found; those whose hash is confirmed and
+   whose words equal the shard's first window of that hash are cut out. Work and memory are linear in a shard's words.
 
-A shard holds a bounded number of bytes of text, and what a window sends is one row for each shard that has it, so hot
-passages cost no more than others. Windows are told apart by 64-bit hashes.
+Counts go over the whole corpus, automata are each shard's own: a shard's confirmed windows are all windows of its
+documents that occur elsewhere, in any shard, so a phrase that no confirmed window of the shard picks can't be a hit in
+its documents. All documents are streamed, each through the automaton of its shard.
+
+A shard holds a bounded number of bytes of text, or one document, and what a window sends is one row for each shard that
+has it, so hot passages cost no more than others. Windows are told apart by 64-bit hashes.
 
 Defined results: null and empty texts have no words and keep the hash of the empty string; shorter texts than a window
 lose nothing; repeated rows lose all that a window covers, for each one's windows start in the other. Rows with null ids
-come back with null ids, each a document of its own; other ids are taken to be unique. Columns of the input other than id and text are not used.
+come back with null ids, and rows that share an id come back each for itself. Columns of the input other than id and text
+are not used. A shard, or a document, holds fewer than 2**28 words.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ WINDOW = 35
 SEED = 8
 SHARD_BYTES = 6 << 20
 """Text that a shard holds, about."""
+BLOCK = 1 << 18
+"""Windows whose words are compared at once."""
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -85,83 +92,68 @@ def _phrases(window: int, seed: int):
 def _windows(window: int, seed: int):
     def apply(docs: pa.Table, phrases: pa.Table) -> pa.Table:
         if not docs.num_rows or not phrases.num_rows:
-            return _rows(hash=pa.array([], pa.int64()), shard=pa.array([], pa.int64()), id=pa.array([], pa.int64()), start=pa.array([], pa.int64()), n=pa.array([], pa.int64()))
+            return _rows(hash=pa.array([], pa.int64()), shard=pa.array([], pa.int64()), n=pa.array([], pa.int64()))
         docs = docs.combine_chunks()
         x = Words(docs.column("text").chunk(0), WordHasher(), window, seed)
         known = np.unique(phrases.column("phrase").to_numpy().view(np.uint64))
         at = np.flatnonzero(x.valid)
         at = at[np.isin(x.phrase[x.picked[at]], known)]
         hashes = sequence_hashes(x.words, window, 2)[at] if len(at) else np.zeros(0, np.uint64)
-        hashes, first, n = np.unique(hashes, return_index=True, return_counts=True)
-        at = at[first]
-        row = x.row[at]
-        return _rows(hash=hashes.view(np.int64), shard=np.full(len(at), docs.column("shard")[0].as_py(), np.int64), id=docs.column("id").to_numpy()[row].astype(np.int64), start=at - x.starts[row], n=n.astype(np.int64))
+        hashes, n = np.unique(hashes, return_counts=True)
+        return _rows(hash=hashes.view(np.int64), shard=np.full(len(hashes), docs.column("shard")[0].as_py(), np.int64), n=n.astype(np.int64))
 
     return apply
 
 
-def _hits(x: Words, texts: pa.Array, seeds: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(place, seed number) of every occurrence of the seeds in the texts, found by an Aho-Corasick automaton."""
+def _hits(x: Words, texts: pa.Array, phrases: set[str]) -> np.ndarray:
+    """Whether an Aho-Corasick automaton finds one of the phrases at each place of the texts."""
+    out = np.zeros(len(x.words), bool)
     automaton = ahocorasick.Automaton()
-    groups = list(seeds.values())
-    for i, phrase in enumerate(seeds):
-        automaton.add_word(phrase, (i, len(phrase)))
+    for phrase in phrases:
+        automaton.add_word(phrase, len(phrase))
     automaton.make_automaton()
-    places, found = [], []
     for row, text in enumerate(texts):
         words = text.as_buffer().to_pybytes().split()
-        hits = list(automaton.iter(f" {b' '.join(words).decode('latin-1')} "))
-        if hits:
-            begins = np.cumsum([1 + len(w) for w in words]) - np.array([len(w) for w in words])
-            at = np.array([end - n + 2 for end, (_, n) in hits])
-            places.append(np.searchsorted(begins, at) + x.starts[row])
-            found += [i for _, (i, _) in hits]
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = np.concatenate(places)
-    sizes = np.array([len(groups[i]) for i in found])
-    return np.repeat(place, sizes), np.concatenate([groups[i] for i in found]).astype(np.int64)
+        # Phrases begin and end with a space, so a hit begins with a word's first byte.
+        at = np.array([end - n + 2 for end, n in automaton.iter(f" {b' '.join(words).decode('latin-1')} ")], np.int64)
+        if len(at):
+            lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+            out[x.starts[row] + np.searchsorted(np.cumsum(lengths) - lengths + 1, at)] = True
+    return out
 
 
 def covered(x: Words, texts: pa.Array, repeated: np.ndarray, window: int, seed: int) -> np.ndarray:
-    """Whether each word lies in an occurrence of one of the windows at the sorted places `repeated`."""
-    out = np.zeros(len(x.words), bool)
-    if not len(repeated):
-        return out
-    # Passages: neighbouring repeated windows of one text.
-    new = np.r_[True, (np.diff(repeated) != 1) | (x.row[repeated[1:]] != x.row[repeated[:-1]])]
-    passage = np.cumsum(new) - 1
-    low, high = repeated[new], repeated[np.r_[np.flatnonzero(new)[1:] - 1, len(repeated) - 1]] + window
-    # A phrase is a seed of every passage that has a window which picks it.
-    at, of = np.divmod(np.unique(x.picked[repeated] * len(low) + passage), len(low))
-    low, high = low[of], high[of]
-    seeds: dict[str, list[int]] = {}
-    memo: dict[int, list[bytes]] = {}
-    for i, a in enumerate(at.tolist()):
+    """Whether each word lies in a window whose hash is among the sorted ones in `repeated`."""
+    marks = np.zeros(len(x.words) + 1, np.int64)
+    if not len(repeated) or not x.valid.any():
+        return marks[:-1] > 0
+
+    def known(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the windows whose hashes are repeated, and the hashes' numbers."""
+        k = np.minimum(np.searchsorted(repeated, hashes[at]), len(repeated) - 1)
+        found = repeated[k] == hashes[at]
+        return at[found], k[found]
+
+    hashes = sequence_hashes(x.words, window, 2)
+    at, k = known(np.flatnonzero(x.valid))
+    first = np.full(len(repeated), -1, np.int64)
+    first[k[::-1]] = at[::-1]
+    phrases: set[str] = set()
+    memo: tuple[int, list[bytes]] = (-1, [])
+    for a in np.unique(x.picked[first[first >= 0]]).tolist():
         row = int(x.row[a])
-        if row not in memo:
-            memo = {row: texts[row].as_buffer().to_pybytes().split()}
+        if row != memo[0]:
+            memo = (row, texts[row].as_buffer().to_pybytes().split())
         begin = a - int(x.starts[row])
-        seeds.setdefault(f" {b' '.join(memo[row][begin : begin + seed]).decode('latin-1')} ", []).append(i)
-    place, k = _hits(x, texts, seeds)
-    theirs, low, high = at[k], low[k], high[k]
-    begin = x.starts[x.row[place]]
-    end = begin + x.lengths[x.row[place]]
-    most = window - seed
-    left, going = np.zeros(len(place), np.int64), np.ones(len(place), bool)
-    for step in range(1, most + 1):
-        going &= (place - step >= begin) & (theirs - step >= low)
-        going[going] = x.words[place[going] - step] == x.words[theirs[going] - step]
-        left += going
-    right, going = np.zeros(len(place), np.int64), np.ones(len(place), bool)
-    for step in range(most):
-        going &= (place + seed + step < end) & (theirs + seed + step < high)
-        going[going] = x.words[place[going] + seed + step] == x.words[theirs[going] + seed + step]
-        right += going
-    full = left + right >= most
-    marks = np.zeros(len(x.words) + 1, np.int64)
-    np.add.at(marks, place[full] - left[full], 1)
-    np.add.at(marks, place[full] + seed + right[full], -1)
+        phrases.add(f" {b' '.join(memo[1][begin : begin + seed]).decode('latin-1')} ")
+    hits = np.flatnonzero(x.valid & _hits(x, texts, phrases)[x.picked])
+    for i in range(0, len(hits), BLOCK):
+        at, k = known(hits[i : i + BLOCK])
+        theirs, same = first[k], np.ones(len(at), bool)
+        for step in range(window):
+            same &= x.words[at + step] == x.words[theirs + step]
+        marks[at[same]] += 1
+        marks[at[same] + window] -= 1
     return np.cumsum(marks)[:-1] > 0
 
 
@@ -172,10 +164,7 @@ def _cut(window: int, seed: int):
         docs = docs.combine_chunks()
         texts = docs.column("text").chunk(0)
         x = Words(texts, WordHasher(), window, seed)
-        ids = docs.column("id").to_pylist()
-        start = dict(zip(ids, x.starts.tolist(), strict=True))
-        at = np.unique(np.array([start[i] + s for i, s in zip(repeated.column("id").to_pylist(), repeated.column("start").to_pylist(), strict=True)], np.int64))
-        gone = covered(x, texts, at, window, seed)
+        gone = covered(x, texts, np.unique(repeated.column("hash").to_numpy().view(np.uint64)), window, seed)
         kept, removed = [], []
         for row, text in enumerate(texts):
             drop = gone[x.starts[row] : x.starts[row] + x.lengths[row]]
@@ -197,14 +186,14 @@ def remove_repeated(df: DataFrame, id: str = "doc_id", text: str = "text", windo
     docs, nulls = null_ids(docs)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
-    docs = docs.withColumn("shard", F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(shards)))
+    docs = docs.withColumn("shard", F.pmod(F.xxhash64(F.lit(11), "id", "text"), F.lit(shards)))
 
     picked = docs.select("text", "shard").mapInArrow(_phrases(window, seed), "phrase long, shard long, n long")
     by_shard = picked.groupBy("phrase", "shard").agg(F.sum("n").alias("n"))
     phrases = by_shard.withColumn("all", F.sum("n").over(W.partitionBy("phrase"))).where("all > 1").select("phrase", "shard")
 
-    windows = docs.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(_windows(window, seed), "hash long, shard long, id long, start long, n long")
-    repeated = windows.withColumn("all", F.sum("n").over(W.partitionBy("hash"))).where("all > 1").select("shard", "id", "start")
+    windows = docs.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(_windows(window, seed), "hash long, shard long, n long")
+    repeated = windows.withColumn("all", F.sum("n").over(W.partitionBy("hash"))).where("all > 1").select("shard", "hash")
     schema = "id long, n_words long, n_removed long, kept_sha256 string, kept string"
     out = docs.groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(_cut(window, seed), schema)
     if nulls is not None:

@@ -2,13 +2,16 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from spindrift.llm import mixing, phrases, topk, urlfilter
+from spindrift.llm.common import WordHasher
 
 
 def cut(rows, window):
@@ -43,6 +46,37 @@ def test_repeated_passages_equal_brute_force(spark, window, seed, shard):
     assert got == cut(rows, window)
 
 
+def test_repeated_passages_of_rows_that_share_an_id(spark):
+    passage = " ".join(f"p{i}" for i in range(6))
+    rows = [(1, f"a {passage}"), (1, f"b {passage} c"), (1, "d"), (1, "d"), (2, "e f g h i j k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = phrases.remove_repeated(df, window=6, seed=2).collect()
+    assert Counter((r["doc_id"], r["kept"]) for r in got) == Counter([(1, "a"), (1, "b c"), (1, "d"), (1, "d"), (2, "e f g h i j k")])
+
+
+def test_memory_of_near_copies_grows_in_proportion():
+    def peak(n):
+        rng = random.Random(n)
+        base = [f"w{i}" for i in range(300)]
+        texts = []
+        for _ in range(n):
+            w = list(base)
+            for _ in range(3):
+                w[rng.randrange(300)] = f"x{rng.random()}"
+            texts.append(" ".join(w).encode())
+        texts = pa.array(texts, pa.binary())
+        x = phrases.Words(texts, WordHasher(), 35, 8)
+        hashes, times = np.unique(phrases.sequence_hashes(x.words, 35, 2)[x.valid], return_counts=True)
+        tracemalloc.start()
+        gone = phrases.covered(x, texts, hashes[times > 1], 35, 8)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert gone.mean() > 0.5
+        return most
+
+    assert peak(800) < 2.5 * peak(400)
+
+
 def test_repeated_passages_of_no_rows(spark):
     assert phrases.remove_repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
