@@ -145,30 +145,30 @@ ORACLE_SQL: dict[str, str] = {
     "op10_url_filter": r"""
         WITH p AS (
             SELECT page_id, url, CAST(page_id * 7 % 360 AS INTEGER) AS fetched_at,
-                   nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\\.+$', ''), '') AS host,
+                   nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') AS host,
                    [x FOR x IN string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') IF x <> ''] AS parts
             FROM pages),
         listed AS (
             SELECT DISTINCT key FROM (
-                SELECT unnest([regexp_extract(host, '([^.]+\\.[^.]+)$', 1), host, host || '/' || coalesce(parts[1], '')]) AS key FROM p)
+                SELECT unnest([regexp_extract(host, '([^.]+\.[^.]+)$', 1), host, host || '/' || coalesce(parts[1], '')]) AS key FROM p)
             WHERE key IS NOT NULL AND key <> ''),
         h AS (
             SELECT key, [('0x' || substr(md5(key), i, 4))::INTEGER FOR i IN [1, 5, 9, 13, 17]] AS n FROM listed),
         log AS (
-            SELECT key, ['adult', 'malware', 'spam'][n[1] % 3 + 1] AS category, 'add' AS action, n[3] % 120 AS at FROM h WHERE n[2] % 8 < 3
+            SELECT key, ['adult', 'malware', 'spam'][n[1] % 3 + 1] AS category, 'add' AS action, n[3] % 120 AS day FROM h WHERE n[2] % 8 < 3
             UNION ALL SELECT key, ['adult', 'malware', 'spam'][n[1] % 3 + 1], 'remove', 120 + n[4] % 120 FROM h WHERE n[2] % 16 < 6
             UNION ALL SELECT key, ['adult', 'malware', 'spam'][n[1] % 3 + 1], 'add', 240 + n[5] % 120 FROM h WHERE n[2] % 32 < 6),
-        steps AS (SELECT key, category, at, min(action = 'add') AS active FROM log GROUP BY ALL),
-        changes AS (SELECT *, coalesce(lag(active) OVER w, false) AS was FROM steps WINDOW w AS (PARTITION BY key, category ORDER BY at)),
-        valid AS (SELECT *, lead(at) OVER (PARTITION BY key, category ORDER BY at) AS until FROM changes WHERE active <> was),
+        steps AS (SELECT key, category, day, min(action = 'add') AS active FROM log GROUP BY ALL),
+        changes AS (SELECT *, coalesce(lag(active) OVER w, false) AS was FROM steps WINDOW w AS (PARTITION BY key, category ORDER BY day)),
+        valid AS (SELECT *, lead(day) OVER (PARTITION BY key, category ORDER BY day) AS until FROM changes WHERE active <> was),
         asked AS (
             SELECT page_id, url, fetched_at, unnest(list_concat(
                 [array_to_string(string_split(host, '.')[i:], '.') FOR i IN range(1, len(string_split(host, '.')) + 1)],
-                [host || '/' || array_to_string(parts[1:i], '/') FOR i IN range(1, least(len(parts), 8) + 1)])) AS key
+                [host || '/' || array_to_string(parts[1:i], '/') FOR i IN range(1, len(parts) + 1)])) AS key
             FROM p WHERE host IS NOT NULL),
         hits AS (
             SELECT DISTINCT page_id, url, v.category, a.key FROM asked a JOIN valid v USING (key)
-            WHERE v.active AND v.at <= a.fetched_at AND (v.until IS NULL OR a.fetched_at < v.until))
+            WHERE v.active AND v.day <= a.fetched_at AND (v.until IS NULL OR a.fetched_at < v.until))
         SELECT p.page_id, p.url, p.fetched_at, count(hits.key) > 0 AS blocked,
                coalesce(string_agg(DISTINCT category, ',' ORDER BY category), '') AS categories, coalesce(string_agg(DISTINCT key, ',' ORDER BY key), '') AS matched
         FROM p LEFT JOIN hits ON hits.page_id = p.page_id AND hits.url = p.url GROUP BY p.page_id, p.url, p.fetched_at""",

@@ -17,6 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialize
+
+BROADCAST_ROWS = 500_000
+"""Intervals that are sent to all executors, about 100 bytes each; more are joined by a shuffle on the key."""
+
+
 def host(url: Column) -> Column:
     """Lower-case host, without user, port and final dot; null if there is none."""
     h = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
@@ -54,15 +60,16 @@ def intervals(log: DataFrame) -> DataFrame:
 def evaluate(captures: DataFrame, log: DataFrame, url: str = "url", at: str = "fetched_at") -> DataFrame:
     """captures with the categories active for them at their time, the keys that matched, and whether that blocks them.
 
-    Only the captures' keys are shuffled: they are joined to the intervals and gathered by capture.
+    Keys are looked up where the captures are read if there are at most BROADCAST_ROWS intervals. More are joined by a
+    shuffle of the captures' keys, of which Spark splits the frequent ones. Hits are gathered by capture.
     """
-    valid = intervals(log)
+    valid = materialize(intervals(log), "intervals")
     out = ["categories", "matched", "blocked"]
     kept = captures.select(*[f"`{c}`" for c in captures.columns if c not in out])
-    looked_up = kept.select(F.col(url).alias("__url"), F.col(at).alias("__at")).where("__url is not null and __at is not null").distinct()
-    deepest = log.agg(F.coalesce(F.max(F.size(F.split("key", "/")) - 1), F.lit(0)).alias("__deepest"))
-    asked = looked_up.crossJoin(F.broadcast(deepest)).select("__url", "__at", F.explode(keys(F.col("__url"), F.col("__deepest"))).alias("key"))
-    hits = asked.join(valid, "key").where((F.col("valid_from") <= F.col("__at")) & (F.col("valid_to").isNull() | (F.col("__at") < F.col("valid_to"))))
+    deepest = valid.agg(F.coalesce(F.max(F.size(F.split("key", "/")) - 1), F.lit(0)), F.count("*")).first()
+    seen = kept.select(F.col(url).alias("__url"), F.col(at).alias("__at")).where("__url is not null and __at is not null")
+    asked = seen.select("__url", "__at", F.explode(keys(F.col("__url"), F.lit(deepest[0]))).alias("key"))
+    hits = asked.join(F.broadcast(valid) if deepest[1] <= BROADCAST_ROWS else valid, "key").where((F.col("valid_from") <= F.col("__at")) & (F.col("valid_to").isNull() | (F.col("__at") < F.col("valid_to"))))
     found = hits.groupBy("__url", "__at").agg(F.array_sort(F.collect_set("category")).alias("categories"), F.array_sort(F.collect_set("key")).alias("matched"))
     none = F.array().cast("array<string>")
     joined = kept.join(found, (F.col(url) == F.col("__url")) & (F.col(at) == F.col("__at")), "left").drop("__url", "__at")
