@@ -125,31 +125,6 @@ def embeddable(text: Column) -> Column:
     return F.when(F.trim(text) == "", F.lit("[empty]")).otherwise(text)
 
 
-# Keywords by which provider errors are told apart, in the order in which they are tried.
-ERROR_KEYWORDS = {
-    "rate_limit": ["rate limit", "too many requests", "quota exceeded", "requests per minute", "rpm exceeded", "rate_limit_exceeded", "quota_exceeded"],
-    "auth": ["unauthorized", "authentication", "invalid api key", "api key", "forbidden", "access denied"],
-    "network": ["network", "connection", "timeout", "econnrefused", "fetch failed", "offline"],
-    "server_error": ["internal server error", "service unavailable", "500", "502", "503", "504"],
-}
-RETRY_WAIT_SECONDS = {"rate_limit": 60, "network": 5, "server_error": 30, "auth": 0, "invalid_request": 0}
-
-
-def error_class(message: Column, status: Column | None = None) -> Column:
-    """rate_limit, auth, server_error, network or invalid_request, by status, else by keywords."""
-    low = F.lower(message)
-    out = F.when(F.lit(False), F.lit(""))
-    if status is not None:
-        out = out.when(status == 429, "rate_limit").when(status.isin(401, 403), "auth").when(status >= 500, "server_error")
-    for name, keywords in ERROR_KEYWORDS.items():
-        out = out.when(reduce(lambda a, b: a | b, [low.contains(k) for k in keywords]), name)
-    return out.otherwise("invalid_request")
-
-
-def retry_wait(kind: Column) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in RETRY_WAIT_SECONDS.items() for x in kv])[kind], F.lit(0))
-
-
 def parameter_count(model: Column) -> Column:
     """The last size in a model's name, as 7B or 350M."""
     return F.try_element_at(F.regexp_extract_all(F.upper(model), F.lit(r"([0-9]+[BMK])"), F.lit(1)), F.lit(-1))

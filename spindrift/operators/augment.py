@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import error_class, field, interpolate, lenient_json, violations
+from ..functions.errors import error_class
+from ..functions.text import field, interpolate, lenient_json, schema_prompt, violations
 
 CONCURRENCY = 5
 EMBED_BATCH = 100
@@ -82,6 +83,31 @@ def model_column(df: DataFrame, template: str, provider: Provider, key: str = "r
     return out.select(key, F.col("content").alias("value"), F.when(failed, "failed").otherwise("success").alias("status"), "error", F.when(failed, error_class(F.col("error"))).alias("error_type"))
 
 
+def structured_column(df: DataFrame, template: str, schema: Sequence[Mapping], provider: Provider, key: str = "row_index", batch: int = CONCURRENCY) -> DataFrame:
+    """(key, value, status, error, error_type): the prompt asks for JSON of the schema, the answer is its JSON text.
+
+    An answer that holds no JSON, or JSON that the schema doesn't allow, is a failed cell without a value.
+    """
+    out = answer(df, F.concat(interpolate(template, df.schema), F.lit(schema_prompt(schema))), provider, key, batch)
+    out = out.withColumn("json", F.to_json(lenient_json(F.col("content"))))
+    wrong = F.array_join(violations(F.col("json"), schema), "; ")
+    none = F.when(F.col("content").isNotNull() & F.col("json").isNull(), F.lit("no JSON in the answer"))
+    out = out.withColumn("error", F.coalesce("error", none, F.nullif(wrong, F.lit(""))))
+    failed = F.col("error").isNotNull()
+    kind = F.when(F.col("content").isNotNull(), F.lit("invalid_request")).otherwise(error_class(F.col("error")))
+    return out.select(key, F.when(~failed, F.col("json")).alias("value"), F.when(failed, "failed").otherwise("success").alias("status"), "error", F.when(failed, kind).alias("error_type"))
+
+
+def corrections(rows: DataFrame, cells: DataFrame, column_id: str, k: int = 10, key: str = "row_index") -> DataFrame:
+    """rows of the k cells of a column that were edited last, newest first, with `output`, the corrected value.
+
+    cells holds (row_index, column_id, edited, value, last_edit_time).
+    """
+    edited = cells.where((F.col("column_id") == column_id) & F.coalesce(F.col("edited"), F.lit(False)))
+    newest = edited.orderBy(F.col("last_edit_time").desc_nulls_last(), key).limit(k).select(key, F.col("value").alias("output"), "last_edit_time")
+    return rows.join(newest, key).orderBy(F.col("last_edit_time").desc_nulls_last(), key)
+
+
 def retry_rows(cells: DataFrame, scope: str) -> DataFrame:
     """Cells to be asked again: failed, failed-edited (failed or edited), or all."""
     failed, edited = F.col("status") == "failed", F.coalesce(F.col("edited"), F.lit(False))
@@ -152,6 +178,31 @@ def token_limit(model: str, provider: str) -> int:
     return int(MODEL_MAX_TOKENS.get(model, 8000) * TOKENIZER_SCALE.get(provider.lower(), 0.8))
 
 
+# The length of the vectors that an embedding model gives, and of all others.
+DIMENSIONS = {
+    "text-embedding-3-small": 1536,
+    "text-embedding-3-large": 3072,
+    "text-embedding-ada-002": 1536,
+    "embed-english-v3.0": 1024,
+    "embed-multilingual-v3.0": 1024,
+    "embed-english-light-v3.0": 384,
+    "embed-multilingual-light-v3.0": 384,
+    "voyage-3-lite": 1536,
+    "voyage-3": 1024,
+    "voyage-code-3": 1536,
+}
+OTHER_DIMENSION = 1536
+
+
+def dimension(model: str) -> int:
+    return DIMENSIONS.get(model, OTHER_DIMENSION)
+
+
+def embedded_query(text: str, provider) -> list[float]:
+    """The vector of one query text, for vector_search over vectors of the same provider."""
+    return [float(x) for x in provider.embed([text if text.strip() else "[empty]"])[0]]
+
+
 def embedded(df: DataFrame, text: str, provider, out: str = "embedding", batch: int = EMBED_BATCH) -> DataFrame:
     """df with an embedding of each text, in batches; a failed batch fails the job."""
 

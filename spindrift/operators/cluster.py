@@ -2,32 +2,38 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vector import doubles, norm
+from ..shared import stored
 from .search import cluster_label, knn, links_within
 
 MIN_SIZE = 10
 MIN_SAMPLES = 5
-# Colours of the first clusters and of noise.
-PALETTE = ["#3b82f6", "#ef4444", "#10b981", "#f59e0b", "#8b5cf6", "#ec4899", "#14b8a6", "#f97316"]
+# Colours of clusters, in order.
+PALETTE = [
+    "#3b82f6",
+    "#ef4444",
+    "#22c55e",
+    "#f59e0b",
+    "#8b5cf6",
+    "#06b6d4",
+    "#ec4899",
+    "#84cc16",
+    "#f97316",
+    "#6366f1",
+    "#14b8a6",
+    "#a855f7",
+    "#eab308",
+    "#0ea5e9",
+    "#d946ef",
+    "#10b981",
+]
 NOISE_COLOUR = "#9ca3af"
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared checkpoint folder and read again; kept in the plan where no such folder is set."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.cache()
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def density_clusters(df: DataFrame, id: str = "vec_id", vector: str = "embedding", min_size: int = MIN_SIZE, min_samples: int = MIN_SAMPLES, quantile: float = 0.9) -> DataFrame:
     """(id, cluster_id): components of neighbours within reach of each other, largest first; -1 is noise.
 
@@ -38,26 +44,26 @@ def density_clusters(df: DataFrame, id: str = "vec_id", vector: str = "embedding
     every = df.select(F.col(id).cast("long").alias("id"), doubles(F.col(vector)).alias("v")).where("id is not null")
     ids = every.select("id").distinct()
     classes = every.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"))
-    classes = _stored(classes, "classes")
-    rows = _stored(every.join(classes, "v").select("id", "rep").distinct(), "rows")
+    classes = stored(classes, "classes")
+    rows = stored(every.join(classes, "v").select("id", "rep").distinct(), "rows")
     near = knn(classes, min_samples, "rep", "v").join(classes.select(F.col("rep").alias("neighbor_id"), "copies"), "neighbor_id").select("rep", "distance", "copies")
     # Copies are at distance 0 of each other, or 1 if they have no length; vectors that aren't finite are near nothing.
     length = norm(F.col("v"))
     own = classes.where(~F.isnan(length) & (length < float("inf")) & (F.col("copies") > 1)).select("rep", F.when(length > 0, 0.0).otherwise(1.0).alias("distance"), (F.col("copies") - 1).alias("copies"))
     within = F.sum("copies").over(W.partitionBy("rep").orderBy("distance"))
     core = near.union(own).withColumn("within", within).where(F.col("within") >= min_samples).groupBy("rep").agg(F.min("distance").alias("core"))
-    core = _stored(core, "core")
+    core = stored(core, "core")
     reach = rows.join(core, "rep").agg(F.percentile_approx("core", quantile, 10000)).first()[0]
     dense = core.where(F.col("core") <= F.lit(reach)).select(F.col("rep").alias("id"))
     met = classes.join(dense, F.col("rep") == F.col("id"), "left_semi")
     links = links_within(met, -1.0 if reach is None else reach, "rep", "v").withColumnRenamed("rep", "id")
-    links = _stored(links.select("id", "neighbor_id").union(links.select("neighbor_id", "id")).distinct(), "links")
-    label = _stored(dense.withColumn("label", F.col("id")), "labels")
+    links = stored(links.select("id", "neighbor_id").union(links.select("neighbor_id", "id")).distinct(), "links")
+    label = stored(dense.withColumn("label", F.col("id")), "labels")
     while True:
         seen = links.join(label.withColumnRenamed("id", "neighbor_id"), "neighbor_id").groupBy("id").agg(F.min("label").alias("near"))
         new = label.join(seen, "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("least"))
         jump = new.select(F.col("id").alias("least"), F.col("least").alias("root"))
-        new = _stored(new.join(jump, "least").select("id", F.col("root").alias("now"), "label"), "labels")
+        new = stored(new.join(jump, "least").select("id", F.col("root").alias("now"), "label"), "labels")
         changed = new.where("now <> label").limit(1).count()
         label = new.select("id", F.col("now").alias("label"))
         if not changed:

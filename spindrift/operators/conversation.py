@@ -10,6 +10,7 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import js_string
+from .table import with_running_sum
 
 FRAMES = ("turn_only", "history_until_turn", "turn_plus_n", "full_conversation")
 CONTEXT = 20
@@ -61,10 +62,9 @@ def compose(df: DataFrame, conversation: str, order: Sequence[str | Column], col
     if strategy == "full_conversation":
         rows = rows.where("__turn = 1")
     # A running number needs one order over all points; it is made of counts by conversation, not of the rows.
-    sizes = rows.groupBy("label", "__first").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.orderBy("__first", "label").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    numbered = rows.join(sizes.withColumn("__before", before).drop("__n"), ["label", "__first"])
-    return numbered.select((F.col("__before") + F.col("__turn") - 1).alias("point_no"), "label", F.array_join("__texts", "\n---\n").alias("composed_text"), "source_row_indices")
+    sizes = with_running_sum(rows.groupBy("label", "__first").agg(F.count("*").alias("__n")), ["__first", "label"], "__n", "__points_before")
+    numbered = rows.join(sizes.drop("__n"), ["label", "__first"])
+    return numbered.select((F.col("__points_before") + F.col("__turn") - 1).alias("point_no"), "label", F.array_join("__texts", "\n---\n").alias("composed_text"), "source_row_indices")
 
 
 def write_back(df: DataFrame, points: DataFrame, out: str = "composed_text", row_index: str = "row_index") -> DataFrame:
@@ -80,15 +80,26 @@ def normalize_messages(df: DataFrame, conversation: str = "conversation_id", ord
     """
     kept = df.where(F.col(conversation).isNotNull() & (F.col(conversation).cast("string") != "") & F.col(role).isin("user", "assistant") & (F.coalesce(F.col(content), F.lit("")) != ""))
     session, answer = F.col(conversation).cast("string"), F.col(role) == "assistant"
-    w = W.partitionBy(conversation).orderBy(*order)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    entry = F.concat(F.when(answer, F.lit("Assistant: ")).otherwise(F.lit("User: ")), F.col(content))
-    rows = kept.withColumn("__pos", F.row_number().over(w)).withColumn("__turn", F.count_if(answer).over(before))
-    rows = rows.withColumn("__last", F.coalesce(F.max(F.when(answer, F.col("__pos"))).over(before), F.lit(0)))
-    rows = rows.withColumn("__user", F.last(F.when(~answer, F.col(content)), ignorenulls=True).over(before))
-    rows = rows.withColumn("__all", F.collect_list(entry).over(before)).where(answer)
-    start = F.greatest(F.lit(1), F.col("__last") - (CONTEXT - 1))
-    context = F.array_join(F.slice("__all", start.cast("int"), F.greatest(F.lit(0), F.col("__pos") - start).cast("int")), "\n")
-    # Only texts of this context's entries can be the last input: older ones have been cut.
-    seen = F.exists(F.slice("__all", start.cast("int"), F.greatest(F.lit(0), F.col("__pos") - start).cast("int")), lambda x: x.startswith("User: "))
-    return rows.select(F.concat(session, F.lit("_turn_"), F.col("__turn").cast("string")).alias("id"), session.alias("session_id"), F.when(seen, F.coalesce("__user", F.lit(""))).otherwise(F.lit("")).alias("user_input"), F.col(content).alias("agent_response"), context.alias("conversation_context"))
+    w = W.partitionBy("session_id").orderBy(*order)
+    entry = F.concat(F.when(answer, F.lit("Assistant: ")).otherwise(F.lit("User: ")), F.col(content)).alias("entry")
+    rows = kept.withColumn("session_id", session).select(
+        "session_id",
+        answer.alias("answer"),
+        entry,
+        F.row_number().over(w).alias("pos"),
+        F.count_if(answer).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("turn"),
+        F.collect_list(entry).over(w.rowsBetween(1 - CONTEXT, 0)).alias("tail"),
+    )
+    # What an answer has seen: the last entries up to the answer before, and all entries since. Each entry is gathered once.
+    since = rows.where(~F.col("answer")).groupBy("session_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entry"))), lambda x: x["entry"]).alias("since"))
+    answers = rows.where("answer").withColumn("before", F.lag("tail").over(W.partitionBy("session_id").orderBy("turn"))).join(since, ["session_id", "turn"], "left")
+    none = F.array().cast("array<string>")
+    answers = answers.withColumn("context", F.concat(F.coalesce("before", none), F.coalesce("since", none)))
+    asked = F.try_element_at(F.filter("context", lambda x: x.startswith("User: ")), F.lit(-1))
+    return answers.select(
+        F.concat("session_id", F.lit("_turn_"), F.col("turn").cast("string")).alias("id"),
+        "session_id",
+        F.coalesce(F.substring(asked, len("User: ") + 1, 2**31 - 1), F.lit("")).alias("user_input"),
+        F.substring("entry", len("Assistant: ") + 1, 2**31 - 1).alias("agent_response"),
+        F.array_join("context", "\n").alias("conversation_context"),
+    )

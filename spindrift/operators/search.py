@@ -37,7 +37,8 @@ def nearest_neighbors(df: DataFrame, target, id: str = "vec_id", vector: str = "
 
 def ranked(df: DataFrame, query: Sequence[float], id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """All rows by similarity to a query vector."""
-    return vector_search(df, query, id, vector, -2.0, 2**31 - 1)
+    q = F.array(*[F.lit(float(x)) for x in query])
+    return df.select(id, cosine_similarity(doubles(F.col(vector)), q).alias("similarity")).where("similarity is not null").orderBy(F.col("similarity").desc(), id)
 
 
 def _by_blocks(df: DataFrame, id: str, vector: str, block: int, choose: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:

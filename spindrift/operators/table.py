@@ -10,25 +10,41 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import stored
+
 RESERVED = ("id", "x", "y", "text", "label", "neighbors")
 ORDERING = ("=", "!=", ">", "<", ">=", "<=", "IS NULL", "IS NOT NULL")
 TEXTUAL = ("=", "!=", "LIKE", "NOT LIKE", "IS NULL", "IS NOT NULL")
 SMALL_SET = 100
 
 
-def with_row_index(df: DataFrame, order: Sequence[str] | None = None, name: str = "row_index") -> DataFrame:
+def _parts(df: DataFrame, order: Sequence[str | Column] | None) -> DataFrame:
+    """df, range-partitioned by order if there is one, stored with the number of each row's partition and its place there."""
+    ranged = df if order is None else df.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = stored(ranged.withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    return kept.withColumn("__part", F.shiftright("__id", 33)).withColumn("__pos", F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id")
+
+
+def _with_offsets(rows: DataFrame, size: Column) -> DataFrame:
+    """rows of _parts with __before, the sum of size over all partitions before theirs: one row a partition is broadcast."""
+    sizes = rows.groupBy("__part").agg(F.sum(size).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    return rows.join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part")
+
+
+def with_row_index(df: DataFrame, order: Sequence[str | Column] | None = None, name: str = "row_index") -> DataFrame:
     """Row numbers from 0 without gaps, in the order of the given columns or of the input.
 
-    Rows are counted by partition and numbered within it; no partition holds more than its own rows.
+    The rows are stored once in the shared folder with their place in their partition, so that all that is made of them
+    sees one partitioning; only the partitions' sizes are summed up.
     """
-    if order is None:
-        rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-        return df.sparkSession.createDataFrame(rows, df.schema.add(name, T.LongType()))
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__pos", F.monotonically_increasing_id() - (F.col("__part").cast("long") * F.lit(1 << 33)))
-    sizes = numbered.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return numbered.join(before, "__part").withColumn(name, F.col("__before") + F.col("__pos")).drop("__part", "__pos", "__before", "__n")
+    return _with_offsets(_parts(df, order), F.lit(1)).withColumn(name, F.col("__before") + F.col("__pos")).drop("__part", "__pos", "__before")
+
+
+def with_running_sum(df: DataFrame, order: Sequence[str | Column], value: str, name: str) -> DataFrame:
+    """df with the sum of value over all rows before each one in the given order, partition by partition."""
+    within = F.coalesce(F.sum(value).over(W.partitionBy("__part").orderBy("__pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return _with_offsets(_parts(df, order), F.col(value)).withColumn(name, F.col("__before") + within).drop("__part", "__pos", "__before")
 
 
 def operators_for(kind: T.DataType) -> tuple[str, ...]:
@@ -103,6 +119,37 @@ def bulk_update(df: DataFrame, updates: DataFrame, column: str, key: str = "row_
     return joined.withColumn(column, F.when(F.col("__hit"), F.col("__value")).otherwise(F.col(column))).select(*df.columns)
 
 
+def add_column(df: DataFrame, name: str, kind: str = "string", default=None) -> DataFrame:
+    """df with a new column that holds the default in every row."""
+    if name.lower() in [c.lower() for c in df.columns]:
+        raise ValueError(f"column {name} exists")
+    return df.withColumn(name, F.lit(default).cast(kind))
+
+
+def drop_column(df: DataFrame, name: str) -> DataFrame:
+    """df without a column and without the column of its sources."""
+    if name not in df.columns:
+        raise ValueError(f"no column {name}")
+    return df.drop(name, f"{name}_sources")
+
+
+def first_rows(df: DataFrame, most: int = 10_000, tie: str = "row_index") -> DataFrame:
+    """The first rows in order, as many as a browser takes."""
+    return df.orderBy(tie).limit(most)
+
+
+def grouping_estimate(df: DataFrame, key: str) -> DataFrame:
+    """(rows, groups, all_unique) of a column to group by: null and empty are one group, all_unique says that nothing is grouped."""
+    groups = F.countDistinct(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return df.agg(F.count("*").alias("rows"), groups.alias("groups"), ((F.count("*") > 0) & (groups == F.count("*"))).alias("all_unique"))
+
+
+def rows_of_points(points: DataFrame, id: str = "point_id") -> DataFrame:
+    """(row_index) of points named point_<row>; other ids name no row."""
+    number = F.regexp_extract(F.col(id), r"point_(\d+)", 1)
+    return points.select(F.nullif(number, F.lit("")).try_cast("long").alias("row_index")).where("row_index is not null").distinct()
+
+
 def latest_wins(log: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Of an append-only log the last row of each key."""
     w = W.partitionBy(*keys).orderBy(*order)

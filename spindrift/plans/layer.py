@@ -12,7 +12,8 @@ from ..operators.augment import embedded
 from ..operators.cluster import density_clusters
 from ..operators.reduce import pca
 from ..operators.search import cluster_label, knn, points_view
-from ..operators.table import RESERVED, display
+from ..operators.table import RESERVED, display, with_row_index
+from ..shared import stored
 
 
 def build_layer(points: DataFrame, provider, k: int = 10, min_size: int = 10, min_samples: int = 5) -> DataFrame:
@@ -24,6 +25,19 @@ def build_layer(points: DataFrame, provider, k: int = 10, min_size: int = 10, mi
     return flat.drop("coordinates").join(clusters, "point_no").join(near, "point_no", "left")
 
 
+def recluster(points: DataFrame, saved: DataFrame | None = None, id: str = "point_id", min_size: int = 10, min_samples: int = 5) -> DataFrame:
+    """(id, cluster_id) of a layer's points, anew: on saved coordinates (id, coordinates) if all points have them, else on
+    those in the plane."""
+    keyed = points.select(id, "coordinates_2d")
+    if saved is not None and keyed.join(saved, id, "left_anti").isEmpty():
+        keyed = keyed.join(saved.select(id, F.col("coordinates").alias("__v")), id)
+    else:
+        keyed = keyed.withColumn("__v", F.col("coordinates_2d"))
+    numbered = stored(with_row_index(keyed.select(id, "__v"), [id], "__n"), "reclustered")
+    found = density_clusters(numbered, "__n", "__v", min_size, min_samples)
+    return numbered.select(id, "__n").join(found, "__n").select(id, "cluster_id")
+
+
 def layer_table(points: DataFrame, rows: DataFrame, names: dict[str, str] | None = None, reserved: Sequence[str] = RESERVED) -> DataFrame:
     """Points with x, y, cluster name and the attributes of their first source row, under display names."""
     shown = display(rows.withColumnRenamed("row_index", "__row"), names or {}, reserved)

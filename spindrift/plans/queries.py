@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import errors
 from ..functions import text as tx
 from ..functions.vector import cosine_similarity, doubles
 from ..operators import augment, conversation, reduce, search, table
 from ..operators import cluster as cl
-from ..sources import normalize
+from ..shared import shared_dir
+from ..sources import normalize, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,9 +90,10 @@ def dup_ids(spark, d):
     return table.duplicate_count(read(spark, d, "lineitem"), "l_orderkey")
 
 
-@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index, o_orderkey FROM orders")
+@query("SELECT row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) - 1 AS row_index, l_orderkey, l_linenumber, l_extendedprice, l_shipdate FROM lineitem")
 def row_index(spark, d):
-    return table.with_row_index(read(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+    return table.with_row_index(rows, ["l_extendedprice", "l_orderkey", "l_linenumber"])
 
 
 @query("SELECT c_custkey, count(o_orderkey) AS point_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
@@ -410,10 +414,10 @@ _MESSAGES = {"click": "429 Too Many Requests", "purchase": "Invalid API key", "v
 
 
 @query("""SELECT event_type, CASE event_type WHEN 'click' THEN 'rate_limit' WHEN 'purchase' THEN 'auth' WHEN 'view' THEN 'network' WHEN 'signup' THEN 'server_error' ELSE 'invalid_request' END AS kind,
-    CASE event_type WHEN 'click' THEN 60 WHEN 'view' THEN 5 WHEN 'signup' THEN 30 ELSE 0 END AS wait, count(*) AS n FROM events GROUP BY ALL""")
+    CASE event_type WHEN 'click' THEN 60 WHEN 'signup' THEN 30 ELSE 0 END AS wait, count(*) AS n FROM events GROUP BY ALL""")
 def classify_errors(spark, d):
     message = F.coalesce(F.create_map(*[F.lit(x) for kv in _MESSAGES.items() for x in kv])[F.col("event_type")], F.lit("bad prompt"))
-    return read(spark, d, "events").withColumn("kind", tx.error_class(message)).groupBy("event_type", "kind").agg(F.count("*").alias("n")).withColumn("wait", tx.retry_wait(F.col("kind")))
+    return read(spark, d, "events").withColumn("kind", errors.error_class(message)).groupBy("event_type", "kind").agg(F.count("*").alias("n")).withColumn("wait", errors.retry_wait(F.col("kind")))
 
 
 # ---------------------------------------------------------------- augmentation
@@ -436,3 +440,193 @@ def llm_retry_failed(spark, d):
 @query("SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 10")
 def few_shot_sample(spark, d):
     return augment.seeded_sample(read(spark, d, "documents"), 10, "doc_id").select("doc_id")
+
+
+# ---------------------------------------------------------------- sources: files written from the tables and read back
+
+
+def _file(lines: DataFrame, one: bool = False) -> str:
+    """The folder of text files that hold the lines; one: a single file."""
+    path = f"{shared_dir(lines.sparkSession)}/source-{uuid.uuid4().hex}"
+    (lines.coalesce(1) if one else lines).write.text(path)
+    return path
+
+
+def _v(path: str, kind: str = "string"):
+    return F.try_variant_get("v", path, kind)
+
+
+@query("SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 10 <> 3")
+def source_jsonl(spark, d):
+    e = read(spark, d, "events")
+    line = F.to_json(F.struct("event_id", "event_type", "props"))
+    bad = F.when(F.col("event_id") % 10 == 3, F.concat(F.lit("{broken "), line)).otherwise(line)
+    path = _file(e.select(F.explode(F.array(bad, F.lit("  "))).alias("value")))
+    rows = readers.read_jsonl(spark, path, some=True)
+    return rows.select(_v("$.event_id", "long").alias("event_id"), _v("$.event_type").alias("event_type"), F.try_variant_get(F.try_parse_json(_v("$.props")), "$.k", "long").alias("k"))
+
+
+@query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+def source_json_document(spark, d):
+    nations = read(spark, d, "nation").join(read(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    items = nations.agg(F.collect_list(F.struct("n_nationkey", "n_name", "r_name")).alias("records"))  # 25 nations
+    path = _file(items.select(F.to_json(F.struct(F.lit(1).alias("version"), "records")).alias("value")), one=True)
+    return readers.load(spark, path, "json").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", "r_name")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, 'a \"b\", ' || o_orderpriority AS note, o_orderstatus FROM orders")
+def source_csv(spark, d):
+    rows = read(spark, d, "orders").select("o_orderkey", F.concat(F.lit('a "b", '), "o_orderpriority").alias("note"), "o_orderstatus")
+    path = f"{shared_dir(spark)}/source-{uuid.uuid4().hex}"
+    table.export_csv(rows, path)
+    return readers.load(spark, path, "csv").select("o_orderkey", "note", "o_orderstatus")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity AS quantity, l_returnflag AS flag, l_orderkey || ', ' || l_linenumber AS keys, '[{"n":' || l_linenumber || '}]' AS parts, CASE WHEN l_linenumber > 3 THEN l_linestatus END AS status
+    FROM lineitem WHERE l_orderkey % 7 = 0""")
+def source_flatten(spark, d):
+    x = read(spark, d, "lineitem").where("l_orderkey % 7 = 0")
+    nested = F.struct(F.struct("l_quantity", F.struct("l_returnflag").alias("flags")).alias("item"), F.when(F.col("l_linenumber") > 3, F.col("l_linestatus")).alias("status"))
+    line = F.struct("l_orderkey", "l_linenumber", nested.alias("a"), F.array("l_orderkey", "l_linenumber").alias("keys"), F.array(F.struct(F.col("l_linenumber").alias("n"))).alias("parts"))
+    flat = readers.load(spark, _file(x.select(F.to_json(line).alias("value"))), "jsonl")
+    return flat.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), F.col("`a.item.l_quantity`").cast("double").alias("quantity"), F.col("`a.item.flags.l_returnflag`").alias("flag"), "keys", "parts", F.col("`a.status`").alias("status"))
+
+
+_PAIRS = """p AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS r FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+    WHERE u.role = 'user' AND a.role = 'assistant' AND u.text <> '' AND a.text <> '')"""
+
+
+def _pairs(spark, d):
+    c = read(spark, d, "conversations").where("text <> ''")
+    asked = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
+    return asked.join(c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("r")), ["conv_id", "turn"])
+
+
+def _text_of(n):
+    return n.cast("string")
+
+
+@query(f"""WITH {_PAIRS} SELECT conv_id || '_obs_o' || turn AS id, 'day ' || turn AS timestamp, 's' || conv_id AS session_id, q AS user_input, r AS agent_response, 'why ' || turn AS agent_reasoning,
+    'gpt' AS model, CAST(turn AS VARCHAR) AS total, 'trace' AS origin, 'llm call' AS name FROM p""")
+def source_langfuse(spark, d):
+    metadata = F.struct(F.concat(F.lit("why "), "turn").alias("reasoning"), F.lit("observation").alias("origin"))
+    one = F.struct(
+        F.concat(F.lit("o"), "turn").alias("id"), F.lit("SPAN").alias("type"), F.lit("llm call").alias("name"), F.concat(F.lit("day "), "turn").alias("start_time"), F.lit("gpt").alias("model"),
+        F.struct(F.col("turn").alias("total")).alias("usage"), metadata.alias("metadata"), F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("q").alias("content"))).alias("messages")).alias("input"), F.struct(F.col("r").alias("content")).alias("output"),
+    )
+    traces = _pairs(spark, d).groupBy("conv_id").agg(F.collect_list(one).alias("observations"))
+    line = F.struct(_text_of(F.col("conv_id")).alias("id"), F.concat(F.lit("s"), "conv_id").alias("session_id"), F.struct(F.lit("trace").alias("origin")).alias("metadata"), "observations")
+    rows = readers.read_jsonl(spark, _file(traces.select(F.to_json(line).alias("value"))))
+    m = F.col("metadata")
+    return normalize.langfuse(rows).select("id", "timestamp", "session_id", "user_input", "agent_response", "agent_reasoning", m["model"].alias("model"), F.get_json_object(m["usage"], "$.total").alias("total"), m["origin"].alias("origin"), m["observation_name"].alias("name"))
+
+
+@query(f"""WITH {_PAIRS} SELECT conv_id || '-' || turn AS id, CAST(NULL AS VARCHAR) AS timestamp, CAST(conv_id AS VARCHAR) AS session_id, q AS user_input, r AS agent_response,
+    CAST(turn AS VARCHAR) AS execution_order, 'llm' AS run_type, 'x' AS tag, '{{"input":"' || turn || '"}}' AS short_context FROM p""")
+def source_langsmith(spark, d):
+    outputs = F.struct(F.array(F.struct(F.col("r").alias("text"))).alias("generations"))
+    line = F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), F.lit("llm").alias("run_type"), _text_of(F.col("conv_id")).alias("trace_id"), F.col("turn").alias("execution_order"), F.struct(F.lit("x").alias("tag")).alias("extra"), F.struct(F.col("q").alias("input")).alias("inputs"), outputs.alias("outputs"))
+    rows = readers.read_jsonl(spark, _file(_pairs(spark, d).select(F.to_json(line).alias("value"))))
+    m = F.col("metadata")
+    # The context is the inputs as JSON; with the question taken out it is short enough to compare.
+    short = F.when(F.get_json_object("conversation_context", "$.input") == F.col("user_input"), F.concat(F.lit('{"input":"'), m["execution_order"], F.lit('"}')))
+    return normalize.langsmith(rows).select("id", "timestamp", "session_id", "user_input", "agent_response", m["execution_order"].alias("execution_order"), m["run_type"].alias("run_type"), m["tag"].alias("tag"), short.alias("short_context"))
+
+
+@query(f"""WITH {_PAIRS} SELECT conv_id || '_' || turn AS id, CAST(conv_id AS VARCHAR) AS session_id, q AS user_input, r AS agent_response, q AS conversation_context, 'm' AS model, CAST(turn AS VARCHAR) AS tokens FROM p""")
+def source_arize(spark, d):
+    attributes = F.struct(F.col("q").alias("input.value"), F.array(F.struct(F.lit("assistant").alias("message.role"), F.col("r").alias("message.content"))).alias("llm.output_messages"), F.lit("m").alias("llm.model_name"), F.col("turn").alias("llm.token_count.total"))
+    line = F.struct(_text_of(F.col("conv_id")).alias("context.trace_id"), _text_of(F.col("turn")).alias("context.span_id"), attributes.alias("attributes"))
+    rows = readers.read_jsonl(spark, _file(_pairs(spark, d).select(F.to_json(line).alias("value"))))
+    m = F.col("metadata")
+    return normalize.arize(rows).select("id", "session_id", "user_input", "agent_response", "conversation_context", m["model"].alias("model"), F.get_json_object(m["token_usage"], "$.total").alias("tokens"))
+
+
+@query(f"""WITH {_PAIRS} SELECT CAST(turn AS VARCHAR) AS id, CAST(conv_id AS VARCHAR) AS session_id, q AS user_input, r AS agent_response, 'because' AS agent_reasoning, CAST(turn * 2 AS VARCHAR) AS score FROM p""")
+def source_turn_level(spark, d):
+    rows = _pairs(spark, d).select(F.col("turn").alias("turn_id"), F.col("conv_id").alias("conversation_id"), F.col("q").alias("question"), F.col("r").alias("answer"), F.lit("because").alias("rationale"), (F.col("turn") * 2).alias("score"))
+    path = f"{shared_dir(spark)}/source-{uuid.uuid4().hex}"
+    table.export_csv(rows, path)
+    found = normalize.turn_level(readers.load(spark, path, "turn-level"))
+    return found.select("id", "session_id", "user_input", "agent_response", "agent_reasoning", F.col("metadata")["score"].alias("score"))
+
+
+_DETECTED = {"message-centric": 1.0, "langfuse": 0.0, "langsmith": 0.0, "arize": 0.0, "turn-level": 0.0}
+
+
+def _detect(name: str, expected: dict[str, float], lines: Callable[[DataFrame], DataFrame]) -> None:
+    values = ", ".join(f"('{k}', {v:.1f}::DOUBLE)" for k, v in expected.items())
+
+    @query(f"SELECT * FROM (VALUES {values}) AS v(format, confidence)", name)
+    def run(spark, d):
+        rows = read(spark, d, "conversations").where("text <> '' and role in ('user', 'assistant')").orderBy("conv_id", "turn").limit(20)
+        return readers.detect(spark, _file(lines(rows), one=True)).select("format", F.round("confidence", 6).alias("confidence"))
+
+
+_detect("detect_messages", _DETECTED, lambda rows: rows.select(F.to_json(F.struct("role", F.col("text").alias("content"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"))).alias("value")))
+_detect(
+    "detect_langsmith",
+    _DETECTED | {"message-centric": 0.5, "langsmith": 1.0},
+    lambda rows: rows.select(F.to_json(F.struct(F.lit("llm").alias("run_type"), F.struct(F.col("text").alias("input")).alias("inputs"), F.struct(F.col("text").alias("output")).alias("outputs"))).alias("value")),
+)
+_detect(
+    "detect_arize",
+    _DETECTED | {"message-centric": 0.5, "arize": 1.0},
+    lambda rows: rows.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("context.trace_id"), F.struct(F.col("text").alias("input.value")).alias("attributes"))).alias("value")),
+)
+_detect(
+    "detect_langfuse",
+    _DETECTED | {"message-centric": 0.5, "langfuse": 1.0},
+    lambda rows: rows.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.lit("2024-01-01").alias("timestamp"), F.lit(True).alias("public"), F.array(F.struct(F.lit("t").alias("trace_id"), F.lit("SPAN").alias("type"))).alias("observations"))).alias("value")),
+)
+
+
+@query("SELECT * FROM (VALUES ('File format not clearly detected. Please verify your data format.'), ('Consider checking if your file contains the expected headers or JSON structure.')) AS v(suggestion)")
+def detect_suggestions(spark, d):
+    return readers.suggestions(readers.detect(spark, _file(read(spark, d, "documents").orderBy("doc_id").limit(5).select(F.concat(F.lit("- "), F.col("doc_id").cast("string")).alias("value")), one=True)))
+
+
+@query("SELECT CAST(n AS BIGINT) AS n, k, error FROM (VALUES (0, '0', NULL), (1, NULL, 'not JSON'), (2, '2', NULL)) AS v(n, k, error)")
+def source_preview(spark, d):
+    lines = spark.range(9).select(F.when(F.col("id") == 1, "oops").otherwise(F.concat(F.lit('{"k": '), F.col("id").cast("string"), F.lit("}"))).alias("value"))
+    shown = readers.preview(spark, _file(lines.orderBy("id"), one=True), 3)
+    return shown.select("n", _v("$.k").alias("k"), "error")
+
+
+# ---------------------------------------------------------------- columns and estimates
+
+
+@query("SELECT doc_id, 'none' AS note, CAST(7 AS BIGINT) AS rank FROM documents")
+def add_drop_column(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "lang", F.lit(1).alias("lang_sources"))
+    added = table.add_column(table.add_column(docs, "note", "string", "none"), "rank", "long", 7)
+    return table.drop_column(added, "lang")
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT coalesce(source, '')) AS groups, count(*) = count(DISTINCT coalesce(source, '')) AS all_unique FROM documents")
+def grouping_estimate(spark, d):
+    return table.grouping_estimate(read(spark, d, "documents"), "source")
+
+
+@query("SELECT vec_id AS row_index FROM embeddings WHERE label = 3")
+def rows_of_points(spark, d):
+    e = read(spark, d, "embeddings").where("label in (3, 4)")
+    return table.rows_of_points(e.select(F.when(F.col("label") == 3, F.concat(F.lit("point_"), "vec_id")).otherwise(F.lit("other")).alias("point_id")))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10000")
+def first_rows(spark, d):
+    return table.first_rows(read(spark, d, "orders"), tie="o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+_SEARCH = {"click": "web_search rate limited", "purchase": "Grounding quota used up", "view": "search timeout", "signup": "search error", "error": "other"}
+
+
+@query("""SELECT event_type, kind, CASE kind WHEN 'search_rate_limit' THEN 60 WHEN 'search_timeout' THEN 5 WHEN 'search_provider_error' THEN 5 ELSE 0 END AS wait, coalesce(kind <> 'search_quota_exceeded', true) AS again,
+    CASE kind WHEN 'search_rate_limit' THEN 'Search rate limited: Too many search requests in a short time.' WHEN 'search_quota_exceeded' THEN 'Search quota exceeded: You have reached the search API limit for this period.'
+        WHEN 'search_timeout' THEN 'Search timed out: The web search took too long to complete.' WHEN 'search_provider_error' THEN 'Search service error: The search provider encountered an error.' ELSE 'An unknown error occurred.' END AS said
+    FROM (SELECT DISTINCT event_type, CASE event_type WHEN 'click' THEN 'search_rate_limit' WHEN 'purchase' THEN 'search_quota_exceeded' WHEN 'view' THEN 'search_timeout' WHEN 'signup' THEN 'search_provider_error' END AS kind FROM events)""")
+def search_errors(spark, d):
+    message = F.coalesce(F.create_map(*[F.lit(x) for kv in _SEARCH.items() for x in kv])[F.col("event_type")], F.lit("bad prompt"))
+    found = read(spark, d, "events").select("event_type", errors.search_error_class(message).alias("kind")).distinct()
+    return found.select("event_type", "kind", errors.retry_wait(F.col("kind")).alias("wait"), errors.retryable(F.col("kind")).alias("again"), errors.error_text(F.col("kind")).alias("said"))

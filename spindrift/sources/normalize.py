@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Column names under which turn-level tables have a field, in order of preference.
+# Column names under which turn-level tables have a field, in order of preference.
 SYNONYMS = {
     "id": ["turn_id", "id", "turnId", "turn"],
     "timestamp": ["timestamp", "time", "created_at", "date"],
     "session_id": ["conversation_id", "session_id", "conversationId", "conv_id"],
     "user_input": ["user_message", "user_input", "input", "user", "question"],
     "agent_response": ["assistant_message", "assistant_text", "assistant_response", "response", "output", "answer"],
+    "agent_reasoning": ["reasoning", "rationale", "explanation", "thinking"],
+    "conversation_context": ["conversation_context", "context", "history"],
 }
+# Columns of turn-level tables that are never metadata.
+CORE = ["id", "turn_id", "timestamp", "conversation_id", "session_id", "user_message", "user_input", "assistant_text", "agent_response", "reasoning", "agent_reasoning", "conversation_context"]
 FIELDS = tuple(SYNONYMS)
+NO_METADATA = "map<string,string>"
 
 
 def _text(path: str, c: str = "v") -> Column:
@@ -28,47 +34,111 @@ def _last_message(path: str, role: str, role_key: str = "role", content_key: str
     return F.try_variant_get(F.try_element_at(found, F.lit(-1)), f"$['{content_key}']", "string")
 
 
+def _shown(x: Column) -> Column:
+    """A VARIANT as text: strings as they are, all else as JSON."""
+    return F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x))
+
+
+def _object(path: str, c: str = "v") -> Column:
+    """An object's fields as texts; those that are null are left out."""
+    found = F.try_variant_get(c, path, "map<string,variant>")
+    texts = F.transform_values(found, lambda _, x: _shown(x))
+    return F.coalesce(F.map_filter(texts, lambda _, x: x.isNotNull()), F.create_map().cast(NO_METADATA))
+
+
+def _json(path: str, c: str = "v") -> Column:
+    return F.to_json(F.try_variant_get(c, path, "variant"))
+
+
+def _merged(*maps: Column) -> Column:
+    """One map of several; of equal keys the last one's value."""
+
+    def over(first: Column, then: Column) -> Column:
+        return F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(then, k)), then)
+
+    return reduce(over, maps)
+
+
+def _named(c: str, **paths: str) -> Column:
+    """The values at some paths by name; missing ones are left out."""
+    cells = [x for name, path in paths.items() for x in (F.lit(name), _shown(F.try_variant_get(c, path, "variant")))]
+    return F.map_filter(F.create_map(*cells), lambda _, x: x.isNotNull())
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    """Records that have both sides."""
+    return df.where("user_input <> '' and agent_response <> ''")
+
+
 def langfuse(rows: DataFrame) -> DataFrame:
     """Generations, and observations with llm in their name, of traces (v)."""
     x = rows.select("v", F.explode(F.try_variant_get("v", "$.observations", "array<variant>")).alias("o"))
     model = F.coalesce(F.try_variant_get("o", "$.type", "string") == "GENERATION", F.lit(False)) | F.coalesce(F.lower(F.try_variant_get("o", "$.name", "string")).contains("llm"), F.lit(False))
-    return x.where(model).select(
-        F.concat_ws("_obs_", _text("$.id"), _text("$.id", "o")).alias("id"),
-        F.coalesce(_text("$.start_time", "o"), _text("$.timestamp")).alias("timestamp"),
-        F.coalesce(_text("$.session_id"), _text("$.id")).alias("session_id"),
-        F.coalesce(_last_message("$.input.messages", "user", c="o"), _text("$.input.input", "o"), _text("$.input", "o"), F.lit("")).alias("user_input"),
-        F.coalesce(_text("$.output.content", "o"), _text("$.output.output", "o"), _text("$.output", "o"), F.lit("")).alias("agent_response"),
+    return _whole(
+        x.where(model).select(
+            F.concat_ws("_obs_", _text("$.id"), _text("$.id", "o")).alias("id"),
+            F.coalesce(_text("$.start_time", "o"), _text("$.timestamp")).alias("timestamp"),
+            F.coalesce(_text("$.session_id"), _text("$.id")).alias("session_id"),
+            F.coalesce(_last_message("$.input.messages", "user", c="o"), _text("$.input.input", "o"), _text("$.input", "o"), F.lit("")).alias("user_input"),
+            F.coalesce(_text("$.output.content", "o"), _text("$.output.output", "o"), _text("$.output", "o"), F.lit("")).alias("agent_response"),
+            _text("$.metadata.reasoning", "o").alias("agent_reasoning"),
+            _json("$.input", "o").alias("conversation_context"),
+            _merged(
+                _object("$.metadata", "o"),
+                _object("$.metadata"),
+                _named("o", observation_name="$.name", observation_id="$.id", model="$.model", usage="$.usage", cost="$.calculated_total_cost"),
+            ).alias("metadata"),
+        )
     )
 
 
 def langsmith(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        _text("$.id").alias("id"),
-        _text("$.start_time").alias("timestamp"),
-        F.coalesce(_text("$.session_id"), _text("$.trace_id")).alias("session_id"),
-        F.coalesce(_text("$.inputs.input"), _last_message("$.inputs.messages", "user"), F.lit("")).alias("user_input"),
-        F.coalesce(_text("$.outputs.text"), _text("$.outputs.generations[0].text"), _text("$.outputs.output"), _text("$.outputs.content"), F.lit("")).alias("agent_response"),
+    """Runs (v) with an input and an output; a run without a start time has no timestamp."""
+    return _whole(
+        rows.select(
+            _text("$.id").alias("id"),
+            _text("$.start_time").alias("timestamp"),
+            F.coalesce(_text("$.session_id"), _text("$.trace_id")).alias("session_id"),
+            F.coalesce(_text("$.inputs.input"), _last_message("$.inputs.messages", "user"), F.lit("")).alias("user_input"),
+            F.coalesce(_text("$.outputs.text"), _text("$.outputs.generations[0].text"), _text("$.outputs.output"), _text("$.outputs.content"), F.lit("")).alias("agent_response"),
+            _text("$.extra.reasoning").alias("agent_reasoning"),
+            _json("$.inputs").alias("conversation_context"),
+            _merged(
+                _object("$.extra"),
+                _named("v", **{n: f"$.{n}" for n in ("name", "run_type", "parent_run_id", "execution_order", "status", "total_tokens", "total_cost")}),
+            ).alias("metadata"),
+        )
     )
 
 
 def arize(rows: DataFrame) -> DataFrame:
-    trace = _text("$['context.trace_id']")
-    return rows.select(
-        F.concat_ws("_", trace, _text("$['context.span_id']")).alias("id"),
-        _text("$.start_time").alias("timestamp"),
-        F.coalesce(_text("$.attributes['session.id']"), trace).alias("session_id"),
-        F.coalesce(_text("$.attributes['input.value']"), _last_message("$.attributes['llm.input_messages']", "user", "message.role", "message.content"), F.lit("")).alias("user_input"),
-        F.coalesce(_text("$.attributes['output.value']"), _last_message("$.attributes['llm.output_messages']", "assistant", "message.role", "message.content"), F.lit("")).alias("agent_response"),
+    """Spans (v) with an input and an output; a span without a start time has no timestamp."""
+    trace, attribute = _text("$['context.trace_id']"), "$.attributes['{}']".format
+    usage = F.to_json(F.struct(*[F.try_variant_get("v", attribute(f"llm.token_count.{n}"), "variant").alias(n) for n in ("prompt", "completion", "total")]))
+    return _whole(
+        rows.select(
+            F.concat_ws("_", trace, _text("$['context.span_id']")).alias("id"),
+            _text("$.start_time").alias("timestamp"),
+            F.coalesce(_text(attribute("session.id")), trace).alias("session_id"),
+            F.coalesce(_text(attribute("input.value")), _last_message(attribute("llm.input_messages"), "user", "message.role", "message.content"), F.lit("")).alias("user_input"),
+            F.coalesce(_text(attribute("output.value")), _last_message(attribute("llm.output_messages"), "assistant", "message.role", "message.content"), F.lit("")).alias("agent_response"),
+            _text("$.attributes.metadata.reasoning").alias("agent_reasoning"),
+            F.coalesce(_text(attribute("input.value")), F.lit("")).alias("conversation_context"),
+            _merged(
+                _object("$.attributes.metadata"),
+                _named("v", span_name="$.name", span_kind="$.kind", model=attribute("llm.model_name"), user_id=attribute("user.id"), service="$.resource.attributes['service.name']", status="$.status_code"),
+                F.create_map(F.lit("token_usage"), usage),
+            ).alias("metadata"),
+        )
     )
 
 
 def turn_level(df: DataFrame, mapping: Mapping[str, str] | None = None) -> DataFrame:
-    """Turns with both sides; other columns go to a metadata map."""
+    """Turns with both sides, by a mapping of fields to columns, else by the columns' names; other columns go to a metadata map."""
     chosen = {f: (mapping or {}).get(f) or next((s for s in SYNONYMS[f] if s in df.columns), None) for f in FIELDS}
-    rest = [c for c in df.columns if c not in chosen.values()]
-    metadata = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, rest)), F.array(*[F.col(f"`{c}`").cast("string") for c in rest])), lambda _, v: v.isNotNull() & (v != "")) if rest else F.create_map().cast("map<string,string>")
-    out = df.select(*[(F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")).alias(f) for f, c in chosen.items()], metadata.alias("metadata"))
-    return out.where((F.coalesce("user_input", F.lit("")) != "") & (F.coalesce("agent_response", F.lit("")) != ""))
+    rest = [c for c in df.columns if c not in CORE and c not in (mapping or {}).values()]
+    metadata = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, rest)), F.array(*[F.col(f"`{c}`").cast("string") for c in rest])), lambda _, v: v.isNotNull() & (v != "")) if rest else F.create_map().cast(NO_METADATA)
+    return _whole(df.select(*[(F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")).alias(f) for f, c in chosen.items()], metadata.alias("metadata")))
 
 
 def errors(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +24,20 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line")).where(F.trim("line") != "")
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """(line, v) of each line that is JSON; others are left out."""
-    return lines(spark, path).withColumn("v", F.try_parse_json("line")).where("v is not null")
+def sample(spark: SparkSession, path: str, most: int = 100, most_bytes: int = 1 << 20) -> DataFrame:
+    """(n, line) of the first non-blank lines, as many as fit the bounds, the first in any case."""
+    head = lines(spark, path).limit(most).withColumn("n", F.monotonically_increasing_id())
+    before = F.coalesce(F.sum(F.octet_length("line") + 1).over(_in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return head.withColumn("before", before).where((F.col("before") == 0) | (F.col("before") + F.octet_length("line") <= most_bytes)).select("n", "line")
+
+
+def read_jsonl(spark: SparkSession, path: str, some: bool = False) -> DataFrame:
+    """(line, v) of each line that is JSON; others are left out. some: it is an error if there are lines and none is JSON."""
+    rows = lines(spark, path).withColumn("v", F.try_parse_json("line"))
+    good = rows.where("v is not null")
+    if some and good.isEmpty() and not rows.isEmpty():
+        raise ValueError(f"no line of {path} is JSON")
+    return good
 
 
 _SPACE = re.compile(r"[ \t\r\n]*")
@@ -120,8 +131,10 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _truthy(path: str) -> Column:
-    text = F.try_variant_get("v", path, "string")
-    return F.coalesce(text.isNotNull() & ~text.isin("", "0", "false", "null"), F.lit(False))
+    """Whether a value is there and isn't null, false, 0 or the empty string."""
+    x = F.try_variant_get("v", path, "variant")
+    kind, text = F.schema_of_variant(x), F.try_variant_get("v", path, "string")
+    return F.coalesce(F.when(kind == "VOID", False).when(kind == "STRING", text != "").otherwise(F.coalesce(~text.isin("0", "false"), x.isNotNull())), F.lit(False))
 
 
 def _has(path: str) -> Column:
@@ -147,15 +160,15 @@ def detect(spark: SparkSession, path: str) -> DataFrame:
 
     Reads the first 100 lines, and the document as a whole where its first line is the start of one.
     """
-    sample = lines(spark, path).limit(100).withColumn("n", F.monotonically_increasing_id())
-    sample = sample.withColumn("v", F.try_parse_json("line")).orderBy("n").limit(10).withColumn("at", F.row_number().over(_in_order()))
+    head = sample(spark, path).withColumn("v", F.try_parse_json("line"))
+    head = head.orderBy("n").limit(10).withColumn("at", F.row_number().over(_in_order()))
     good = F.col("v").isNotNull()
     message = good & _truthy("$.role") & _truthy("$.content") & _truthy("$.timestamp") & F.coalesce(F.try_variant_get("v", "$.role", "string").isin("user", "assistant"), F.lit(False))
-    head, five = F.lower(F.min(F.when(F.col("at") == 1, F.col("line")))), F.col("at") <= 5
+    first, five = F.lower(F.min(F.when(F.col("at") == 1, F.col("line")))), F.col("at") <= 5
     chain = F.lit(0.3) * F.count_if(five & _truthy("$.trace_id") & _truthy("$.dotted_order")) + F.lit(0.3) * F.count_if(five & _has("$.execution_order") & _truthy("$.status"))
-    needed = head.contains("user_message") & head.contains("assistant_message")
-    extra = reduce(lambda a, b: a + b, [head.contains(c).cast("int") for c in ("turn_id", "session_id", "timestamp", "user_id")])
-    scores = sample.agg(
+    needed = first.contains("user_message") & first.contains("assistant_message")
+    extra = reduce(lambda a, b: a + b, [first.contains(c).cast("int") for c in ("turn_id", "session_id", "timestamp", "user_id")])
+    scores = head.agg(
         F.coalesce(F.lit(0.5) * F.try_divide(F.count_if(good), F.count("*")) + F.lit(0.5) * F.try_divide(F.count_if(message), F.count_if(good)), F.lit(0.0)).alias("message-centric"),
         F.least(F.lit(1.0), F.lit(0.4) * F.count_if(five & good & _shape("langfuse"))).alias("langfuse"),
         F.least(F.lit(1.0), F.lit(0.4) * F.count_if(five & good & _shape("langsmith")) + chain).alias("langsmith"),
@@ -178,12 +191,25 @@ def detect(spark: SparkSession, path: str) -> DataFrame:
     return joined.orderBy(F.col("confidence").desc(), "place").select("format", "confidence")
 
 
-def _in_order():
-    from pyspark.sql import Window
-
+def _in_order() -> WindowSpec:
+    """The order of a bounded number of first lines."""
     return Window.orderBy("n")
 
 
+# What users read when no format is sure.
+UNCLEAR = "File format not clearly detected. Please verify your data format."
+LOW_CONFIDENCE = "Format appears to be {} but with low confidence. Please review field mappings."
+NOTHING_FOUND = "Consider checking if your file contains the expected headers or JSON structure."
+
+
+def suggestions(detected: DataFrame) -> DataFrame:
+    """(suggestion) on what to check, from detect()'s five rows."""
+    best = detected.agg(F.max("confidence").alias("c"), F.max_by("format", "confidence").alias("f"))
+    unsure = F.concat(*[F.lit(LOW_CONFIDENCE.split("{}")[0]), F.col("f"), F.lit(LOW_CONFIDENCE.split("{}")[1])])
+    cases = [F.when(F.col("c") < 0.3, UNCLEAR), F.when((F.col("c") > 0.3) & (F.col("c") < 0.7), unsure), F.when(F.col("c") < 0.2, NOTHING_FOUND)]
+    return best.select(F.explode(F.array_compact(F.array(*cases))).alias("suggestion"))
+
+
 def is_jsonl(spark: SparkSession, path: str) -> bool:
     """Whether the file has several lines of which the first is a whole JSON object or array; a parser of the whole file
     would stop after it."""
@@ -200,7 +226,7 @@ def load(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     if fmt == "turn-level" or fmt == "csv":
         return read_csv(spark, path)
     by_line = fmt in ("message-centric", "langsmith", "jsonl") or fmt != "json" and is_jsonl(spark, path)
-    rows = read_jsonl(spark, path).select("v") if by_line else read_json(spark, path)
+    rows = read_jsonl(spark, path, some=fmt is not None).select("v") if by_line else read_json(spark, path)
     if fmt is None and (rows.isEmpty() if by_line else _items(spark, path).where("error is null").isEmpty()):
         return read_csv(spark, path)
     return flatten(observations(rows) if fmt == "langfuse" else rows, DEPTH.get(fmt or "", 5))
@@ -249,8 +275,16 @@ def flatten(rows: DataFrame, depth: int = 5, column: str = "v") -> DataFrame:
     return typed.select(*_columns(F.col("x"), schema, "", depth))
 
 
-def preview(rows: DataFrame, n: int = 5) -> DataFrame:
-    return rows.limit(n)
+def preview(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
+    """(n, v, error) of the first lines; a line that is no JSON is an error record."""
+    v = F.try_parse_json("line")
+    return sample(spark, path, n).select("n", v.alias("v"), F.when(v.isNull(), F.lit("not JSON")).alias("error"))
+
+
+def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """(files, bytes) under a path; file contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
+    return found.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
 def validate_lines(spark: SparkSession, path: str, fmt: str) -> DataFrame:

@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from spindrift.functions import errors, templates
 from spindrift.functions import text as tx
 from spindrift.operators import augment, catalog, cluster, conversation, reduce, search, table
 from spindrift.plans import layer
@@ -194,3 +195,103 @@ def test_layer_from_turns(spark, n):
     joined = layer.layer_table(points, df, {"text": "Text"})
     assert joined.count() == n and "original_Text" in joined.columns
     assert layer.filter_from_points(points, "label = 'c1'").count() == n // 3
+
+
+def test_row_index_of_many_files_with_all_columns(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(rng.randrange(40), i, f"payload {i}") for i in range(6000)]
+    spark.createDataFrame(rows, "k int, i long, payload string").repartition(12).write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    table.with_row_index(df, ["k"]).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r["row_index"] for r in got) == list(range(6000)) and {(r["k"], r["i"], r["payload"]) for r in got} == set(rows)
+    assert [r["k"] for r in sorted(got, key=lambda r: r["row_index"])] == sorted(k for k, _, _ in rows)
+    plain = table.with_row_index(df).collect()
+    assert sorted(r["row_index"] for r in plain) == list(range(6000))
+    assert table.with_row_index(df.where("false"), ["k"]).count() == 0
+
+
+def test_running_sums(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "i long, n long").repartition(5)
+    got = {r["i"]: r["before"] for r in table.with_running_sum(df, ["i"], "n", "before").collect()}
+    assert got == {i: sum(n for _, n in rows[:i]) for i, _ in rows}
+
+
+def test_ranked_keeps_all_rows(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(50)], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in search.ranked(df, [1.0, 0.0]).collect()] == list(range(50))
+
+
+def test_columns_files_layers_and_filters_of_a_catalog(spark, tmp_path):
+    c = catalog.Catalog(spark, str(tmp_path))
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "x string, y int")
+    saved = c.save_file("f", "logs", "csv", rows, {"col_0": "x", "col_1": "y"})
+    assert sorted(r["row_index"] for r in saved.collect()) == [0, 1]
+    c.save_file("f", "logs", "csv", rows, {"col_0": "x"})
+    c.rename_file("f", "other")
+    assert [(r["name"], r["version"], r["size"]) for r in c.files().collect()] == [("other", 3, 2)]
+    assert [r["column_id"] for r in c.columns("f").collect()] == ["col_0"]
+    with pytest.raises(ValueError):
+        c.save_file("g", "none", "csv", rows.where("false"), {})
+    layers = spark.createDataFrame([("l1", "f", "one"), ("l2", "f", "two")], "id string, file_id string, name string")
+    points = spark.createDataFrame([("l1", f"p{i}", [float(i), 0.0], 0) for i in range(4)], "layer_id string, point_id string, coordinates_2d array<double>, cluster_id int")
+    c.save_layer(layers.where("id = 'l1'"), points)
+    c.save_layer(layers.where("id = 'l2'"), points.where("false"))
+    assert {r["id"]: r["is_active"] for r in c.layers("f").collect()} == {"l1": False, "l2": True}
+    c.assign_clusters("l1", spark.createDataFrame([("p0", 3), ("p1", -1)], "point_id string, cluster_id int"), "{}")
+    assert [(r["point_id"], r["cluster_id"]) for r in c.points("l1").collect()] == [("p0", 3), ("p1", -1), ("p2", None), ("p3", None)]
+    assert '"noise":1' in c.layers("f").where("id = 'l1'").first()["cluster_stats"]
+    c.upsert("saved_filters", spark.createDataFrame([("s", "f", "mine", [0])], "id string, file_id string, name string, row_indices array<long>"))
+    c.rename_filter("s", "yours")
+    assert c.filters("f").first()["name"] == "yours"
+    c.clear()
+    assert c.files().isEmpty() and c.points("l1").isEmpty()
+
+
+def test_adding_and_dropping_columns(spark):
+    df = spark.createDataFrame([(1, "a", "b")], "id int, x string, x_sources string")
+    assert table.add_column(df, "new", "int", "7").first()["new"] == 7
+    assert table.drop_column(df, "x").columns == ["id"]
+    for wrong in (lambda: table.add_column(df, "ID"), lambda: table.drop_column(df, "y")):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_reclustering_on_saved_coordinates(spark):
+    rng = np.random.default_rng(1)
+    saved = [(f"point_{i}", [*(rng.normal(size=3) * 0.01 + (np.eye(3)[i % 2])).tolist()]) for i in range(60)]
+    points = spark.createDataFrame([(i, [1.0, 1.0 + 0.001 * k]) for k, (i, _) in enumerate(saved)], "point_id string, coordinates_2d array<double>")
+    found = layer.recluster(points, spark.createDataFrame(saved, "point_id string, coordinates array<double>")).collect()
+    assert len({r["cluster_id"] for r in found if int(r["point_id"][6:]) % 2} - {-1}) == 1 and len({r["cluster_id"] for r in found} - {-1}) == 2
+    part = spark.createDataFrame(saved[:5], "point_id string, coordinates array<double>")
+    assert len({r["cluster_id"] for r in layer.recluster(points, part).collect()} - {-1}) == 1
+
+
+def test_template_documents():
+    variables = [{"id": "v1", "slug": "topic", "display_name": "Topic"}, {"id": "v2", "display_name": "Tone", "required": False, "default": "calm"}, {"id": "v3", "display_name": "Size"}]
+    doc = templates.document("Write on {{topic}},\n{{v2}} {{v3}} {{other}}", variables)
+    assert [v["id"] for v in templates.variables(doc)] == ["v1", "v2", "v3"]
+    p = templates.prompt(doc, {"v1": {"slug": "col_1", "name": "Subject"}})
+    assert (p.text, p.shown) == ("Write on {{col_1}},\ncalm {{Size}} {{other}}", "Write on {{Subject}},\ncalm {{Size}} {{other}}")
+    assert not p.valid and p.unmapped == [{"id": "v3", "name": "Size"}] and (p.mapped_count, p.total_count) == (1, 3)
+    assert templates.prompt(templates.document("", []), {}).text == "" and templates.prompt(templates.document("plain", []), {}).valid
+    assert templates.filled("{a} and {b} and {c}", {"a": "1", "b": "2"}) == "1 and 2 and {c}"
+    assert templates.history_config('{"conversationIdColumn": "c", "sequenceIdColumn": "s", "aggregationStrategy": "turn_only"}')["sequenceIdColumn"] == "s"
+    assert templates.history_config("plain") is None and templates.history_config("[1]") is None
+    preview = templates.few_shot_preview("Sum {{ c1 }}", [{"input": {"c1": "x\ny", "c2": "z"}, "wrong": "w", "right": "r"}] * 4, {"c1": "Text"})
+    assert preview.startswith("Sum {{Text}}") and preview.count("Example") == 3 and "Text: x\n  y\nWrong output: w\nRight output: r" in preview and "z" not in preview
+
+
+def test_structured_columns_and_corrections(spark):
+    class Answers:
+        def complete(self, prompts):
+            return ['{"n": 3}' if "one" in p else "nothing" if "two" in p else '{"n": "x"}' if "three" in p else RuntimeError("quota exceeded") for p in prompts]
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["one", "two", "three", "four"])], "row_index long, t string")
+    got = {r["row_index"]: r for r in augment.structured_column(df, "{{t}}", [{"name": "n", "type": "number"}], Answers()).collect()}
+    assert got[0]["value"] == '{"n":3}' and [got[i]["error_type"] for i in range(4)] == [None, "invalid_request", "invalid_request", "rate_limit"]
+    cells = spark.createDataFrame([(0, "c", True, "A", 5), (1, "c", False, "B", 9), (2, "c", True, "C", 7), (3, "d", True, "D", 8)], "row_index long, column_id string, edited boolean, value string, last_edit_time long")
+    assert [(r["t"], r["output"]) for r in augment.corrections(df, cells, "c").collect()] == [("three", "C"), ("one", "A")]
+    assert augment.dimension("embed-english-light-v3.0") == 384 and augment.embedded_query(" ", augment.EchoProvider())[0] == 7.0

@@ -46,9 +46,13 @@ def test_detection(spark, tmp_path):
 
 def test_normalization(spark, tmp_path):
     trace = readers.read_json(spark, write(tmp_path, "t.json", TRACE, 2))
-    assert [tuple(r) for r in normalize.langfuse(trace).collect()] == [("t_obs_o2", "2024-01-01T00:00:00.1Z", "s", "q", "a")]
-    assert tuple(normalize.langsmith(readers.read_json(spark, write(tmp_path, "r.json", RUN))).first())[3:] == ("q", "a")
-    assert tuple(normalize.arize(readers.read_json(spark, write(tmp_path, "a.json", SPAN))).first()) == ("t_p", None, "s", "q", "a")
+    assert [tuple(r)[:5] for r in normalize.langfuse(trace).collect()] == [("t_obs_o2", "2024-01-01T00:00:00.1Z", "s", "q", "a")]
+    run = normalize.langsmith(readers.read_json(spark, write(tmp_path, "r.json", RUN))).first()
+    assert tuple(run)[3:5] == ("q", "a") and run["metadata"] == {"run_type": "llm", "execution_order": "1", "status": "ok"} and json.loads(run["conversation_context"]) == RUN["inputs"]
+    span = normalize.arize(readers.read_json(spark, write(tmp_path, "a.json", SPAN))).first()
+    assert tuple(span)[:5] == ("t_p", None, "s", "q", "a") and span["conversation_context"] == "q"
+    one_sided = [RUN, {**RUN, "outputs": {}}]
+    assert normalize.langsmith(readers.read_jsonl(spark, write(tmp_path, "o.jsonl", one_sided))).count() == 1
     errors = normalize.errors(normalize.langfuse(trace)).first()["errors"]
     assert errors == []
 
@@ -111,3 +115,19 @@ def test_profile(spark):
     df = spark.createDataFrame([("1", "true", '{"a":1}', "x"), ("2.5", "false", "[1]", "2024-01-01")], "n string, b string, j string, s string")
     assert {r["field"]: r["type"] for r in normalize.profile(df, ["n", "b", "j"]).collect()} == {"n": "number", "b": "boolean", "j": "json"}
     assert F.lit(1) is not None
+
+
+def test_suggestions_previews_and_samples(spark, tmp_path):
+    assert best(spark, write(tmp_path, "zero.jsonl", [{**SPAN, "context.trace_id": "0"}] * 3)) == ("arize", 1.0)
+    path = tmp_path / "odd.jsonl"
+    path.write_text("\n".join(['{"a": 1}', "oops", "", '{"a": 2}']))
+    assert [(r["n"], r["error"]) for r in readers.preview(spark, str(path)).collect()] == [(0, None), (1, "not JSON"), (2, None)]
+    assert readers.sample(spark, str(path), most_bytes=14).count() == 2 and readers.sample(spark, str(path), most_bytes=1).count() == 1
+    bad = tmp_path / "bad.jsonl"
+    bad.write_text("x\ny")
+    assert readers.read_jsonl(spark, str(bad)).count() == 0
+    with pytest.raises(ValueError, match="JSON"):
+        readers.read_jsonl(spark, str(bad), some=True)
+    detected = spark.createDataFrame([("langfuse", 0.5), ("arize", 0.1)], "format string, confidence double")
+    assert [r[0] for r in readers.suggestions(detected).collect()] == [readers.LOW_CONFIDENCE.format("langfuse")]
+    assert tuple(readers.stored_bytes(spark, str(tmp_path)).first())[1] >= 3
