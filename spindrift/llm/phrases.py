@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHasher, by_bytes, null_ids, sequence_hashes, utf8, with_nulls
+from .common import by_bytes, hashed_words, own_ids, sequence_hashes, unique_ids, utf8
 
 WINDOW = 35
 SEED = 8
@@ -47,12 +47,10 @@ _PLACE = np.uint64((1 << 28) - 1)
 class Words:
     """The words of some texts in one array, and what the windows among them pick."""
 
-    def __init__(self, texts: pa.Array, hasher: WordHasher, window: int, seed: int) -> None:
-        found = [hasher(x.as_buffer().to_pybytes()) for x in texts]
-        self.lengths = np.array([len(x) for x in found], np.int64)
+    def __init__(self, texts: pa.Array, window: int, seed: int) -> None:
+        self.words, self.lengths = hashed_words(texts)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.words = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        self.row = np.repeat(np.arange(len(found)), self.lengths)
+        self.row = np.repeat(np.arange(len(texts)), self.lengths)
         self.phrase = sequence_hashes(self.words, seed, 1)
         self.valid, self.picked = np.zeros(0, bool), np.zeros(0, np.int64)
         if len(self.words) >= window:
@@ -75,9 +73,8 @@ def _rows(**columns) -> pa.Table:
 
 def _phrases(window: int, seed: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in by_bytes(batches, "text"):
-            x = Words(batch.column("text"), hasher, window, seed)
+            x = Words(batch.column("text"), window, seed)
             at = np.unique(x.picked[x.valid])
             shard = np.asarray(batch.column("shard"), np.int64)[x.row[at]]
             phrase = x.phrase[at].view(np.int64)
@@ -94,7 +91,7 @@ def _windows(window: int, seed: int):
         if not docs.num_rows or not phrases.num_rows:
             return _rows(hash=pa.array([], pa.int64()), shard=pa.array([], pa.int64()), n=pa.array([], pa.int64()))
         docs = docs.combine_chunks()
-        x = Words(docs.column("text").chunk(0), WordHasher(), window, seed)
+        x = Words(docs.column("text").chunk(0), window, seed)
         known = np.unique(phrases.column("phrase").to_numpy().view(np.uint64))
         at = np.flatnonzero(x.valid)
         at = at[np.isin(x.phrase[x.picked[at]], known)]
@@ -163,7 +160,7 @@ def _cut(window: int, seed: int):
             return _rows(id=pa.array([], pa.int64()), n_words=pa.array([], pa.int64()), n_removed=pa.array([], pa.int64()), kept_sha256=pa.array([], pa.string()), kept=pa.array([], pa.string()))
         docs = docs.combine_chunks()
         texts = docs.column("text").chunk(0)
-        x = Words(texts, WordHasher(), window, seed)
+        x = Words(texts, window, seed)
         gone = covered(x, texts, np.unique(repeated.column("hash").to_numpy().view(np.uint64)), window, seed)
         kept, removed = [], []
         for row, text in enumerate(texts):
@@ -183,10 +180,10 @@ def remove_repeated(df: DataFrame, id: str = "doc_id", text: str = "text", windo
     Windows are judged on the input. `kept` is the words left, joined by single spaces.
     """
     docs = df.select(F.col(id).cast("long").alias("id"), utf8(F.col(text)).alias("text"))
-    docs, nulls = null_ids(docs)
+    docs, keys = unique_ids(docs)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
-    docs = docs.withColumn("shard", F.pmod(F.xxhash64(F.lit(11), "id", "text"), F.lit(shards)))
+    docs = docs.withColumn("shard", F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(shards)))
 
     picked = docs.select("text", "shard").mapInArrow(_phrases(window, seed), "phrase long, shard long, n long")
     by_shard = picked.groupBy("phrase", "shard").agg(F.sum("n").alias("n"))
@@ -196,7 +193,5 @@ def remove_repeated(df: DataFrame, id: str = "doc_id", text: str = "text", windo
     repeated = windows.withColumn("all", F.sum("n").over(W.partitionBy("hash"))).where("all > 1").select("shard", "hash")
     schema = "id long, n_words long, n_removed long, kept_sha256 string, kept string"
     out = docs.groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(_cut(window, seed), schema)
-    if nulls is not None:
-        out = with_nulls(out, nulls)
-    out = out.withColumnRenamed("id", id)
+    out = own_ids(out, keys).withColumnRenamed("id", id)
     return out if with_text else out.drop("kept")

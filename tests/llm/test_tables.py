@@ -1,6 +1,7 @@
 """Operators that join or group: repeated passages, mixing, exact top-k, URL lists, the pipeline."""
 
 import hashlib
+import math
 import random
 import tracemalloc
 from collections import Counter
@@ -11,7 +12,6 @@ import pytest
 
 import corpus_pipeline
 from spindrift.llm import mixing, phrases, topk, urlfilter
-from spindrift.llm.common import WordHasher
 
 
 def cut(rows, window):
@@ -65,7 +65,7 @@ def test_memory_of_near_copies_grows_in_proportion():
                 w[rng.randrange(300)] = f"x{rng.random()}"
             texts.append(" ".join(w).encode())
         texts = pa.array(texts, pa.binary())
-        x = phrases.Words(texts, WordHasher(), 35, 8)
+        x = phrases.Words(texts, 35, 8)
         hashes, times = np.unique(phrases.sequence_hashes(x.words, 35, 2)[x.valid], return_counts=True)
         tracemalloc.start()
         gone = phrases.covered(x, texts, hashes[times > 1], 35, 8)
@@ -151,13 +151,14 @@ def test_fit_takes_documents_longer_than_the_knapsack():
             assert got <= budget and (got == best if budget <= 4 * min(lengths) else budget - got < max(lengths))
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize(("group", "block", "queries"), [(64, 16, 16), (100, 100, 300), (16384, 4096, 8192)])
+def test_top_k_equals_brute_force(spark, group, block, queries):
     rng = np.random.default_rng(5)
     x = (rng.normal(size=(700, 6)) * rng.choice([0.1, 1, 5], size=(700, 1))).round(2)
     x[300:420] = x[0]
     rows = [(i, v.tolist(), "x") for i, v in enumerate(x)] + [(900, None, "x"), (920, [1.0, None], "x"), (940, [float("nan")] * 6, "x"), (960, [1.0], "x"), (980, [], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
-    got = topk.inner_top_k(df, topk.F.col("vec_id") % 20 == 0, candidates=64, queries=16).collect()
+    got = topk.inner_top_k(df, topk.F.col("vec_id") % 20 == 0, group=group, block=block, queries=queries).collect()
     whole = {i: np.pad(np.floor(64 * np.array(v)), (0, 6 - len(v))).astype(int) for i, v, _ in rows if v is not None and all(c is not None and np.isfinite(c) for c in v)}
     want = []
     for q in (i for i in whole if i % 20 == 0):
@@ -169,6 +170,35 @@ def test_top_k_equals_brute_force(spark):
     assert len(few) == 6
 
 
+@pytest.mark.parametrize("scale", [2**20, 2**29, 2**31, 2**55, 2**70])
+def test_top_k_of_large_components_equals_exact_integers(spark, scale):
+    rng = random.Random(scale)
+    rows = [(i, [rng.uniform(-1, 1) * scale / 64 for _ in range(3)]) for i in range(120)] + [(200, [0.0]), (201, [1.7e308, -1.7e308])]
+    got = topk.inner_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), topk.F.col("vec_id") % 10 == 0, k=7, group=40, block=20, queries=8).collect()
+
+    def cut(x):
+        return max(-(2**63) + 1, min(2**63 - 1, x))
+
+    def long(x):
+        return max(-(2**63), min(2**63 - 1, math.floor(x))) if math.isfinite(x) else (2**63 - 1 if x > 0 else -(2**63))
+
+    whole = {i: [long(64.0 * x) for x in v] + [0] * (3 - len(v)) for i, v in rows}
+    want = []
+    for q in (i for i in whole if i % 10 == 0):
+        scores = sorted((-cut(sum(a * b for a, b in zip(whole[q], whole[c], strict=True))), c) for c in whole if c != q)[:7]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scores)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_top_k_of_empty_vectors_and_shared_ids(spark):
+    rows = [(0, []), (1, []), (2, [])]
+    got = topk.inner_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), topk.F.col("vec_id") == 0).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 0), (0, 2, 2, 0)]
+    rows = [(0, [1.0]), (0, [-1.0]), (1, [1.0]), (1, [2.0])]
+    got = topk.inner_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), topk.F.col("vec_id") == 0, k=1).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, -4096), (0, 1, 1, 8192)]
+
+
 def test_url_lists(spark):
     log = [("example.com", "spam", "add", 10), ("example.com", "spam", "add", 12), ("example.com", "spam", "remove", 20), ("example.com", "spam", "add", 30), ("a.b.org/x/y", "adult", "add", 0), ("b.org", "bad", "add", 5), ("b.org", "bad", "remove", 5), (None, "bad", "add", 0), ("idle.org", "bad", "remove", 0)]
     urls = [(1, "HTTP://u:p@Www.Example.COM.:80/q?x", t) for t in (9, 10, 19, 20, 29, 30, 99)] + [(2, "https://a.b.org/x/y/z#f", 3), (3, "https://a.b.org/x/yz", 3), (4, None, 3), (5, "no url", 3), (6, "http://notexample.com/", 15), (7, "http://example.com", None), (2, "https://a.b.org/x/y/z#f", 3)]
