@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import langid, mixing, partenum, pii, viterbi
-from spindrift.llm.common import materialize, null_ids, table, with_nulls, word_count
+from spindrift.llm.common import materialize, own_ids, table, unique_ids, word_count
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +27,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near duplicates: 5-word shingles, similarity of 0.8 or more.
 
-    Of a group with null ids only, one document stays.
+    Rows that share an id are documents of their own. Of them and of those without an id, which come after all others,
+    any one stays.
     """
-    keyed, nulls = null_ids(docs, "doc_id")
+    keyed, keys = unique_ids(docs, "doc_id")
     groups = partenum.jaccard_components(keyed, partenum.Threshold(5, 4, 5))
-    others = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = keyed.join(others, "doc_id", "left_anti")
-    return (kept if nulls is None else with_nulls(kept, nulls, "doc_id")).select(*docs.columns)
+    others = groups.where("component_id <> doc_id").select("doc_id")
+    return own_ids(keyed.join(others, "doc_id", "left_anti"), keys, "doc_id").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
