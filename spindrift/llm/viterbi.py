@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The text is read character by character. Only the boundaries that a piece could still start at, as many as the longest
-piece has characters, stay alive; as soon as the best paths to all of them pass one boundary, the pieces up to there are
-committed and forgotten. Where no piece of the vocabulary can cross a boundary, as before a word's space mark, that is so
-by itself, so the search runs from one such boundary to the next, and short stretches are remembered.
+The text is read in parts through an automaton that finds the pieces ending at each character. Only the boundaries that a
+piece could still start at, as many as the longest piece has characters, stay alive; as soon as the best paths to all of
+them pass one boundary, the pieces up to there are committed and forgotten. Where no piece of the vocabulary can cross a
+boundary, as before a word's space mark, that is so by itself, so the search runs from one such boundary to the next, and
+the ids that it gave for short stretches are remembered.
 
 A model of scores (unigram) takes the segmentation with the largest sum of piece scores. A model of merges (BPE) has one
 segmentation of each prefix, and that is known by its neighbours: a sequence of pieces is what merging gives if and only
@@ -70,7 +71,7 @@ def load(path: str = MODEL) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes texts; remembers a bounded number of short stretches."""
+    """Encodes texts; remembers the ids of a bounded number of short stretches."""
 
     MOST, SHORT = 500_000, 32
 
@@ -79,29 +80,30 @@ class Encoder:
         # No piece has a space mark after another character: no path crosses the boundary before one.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in vocabulary.pieces)
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}]*")
-        self.known: dict[str, bytes] = {}
+        self.known, self.spelled = _Known(self), _Spelled(vocabulary)
         self.neighbours: dict[tuple[str, str], bool] = {}
-        if vocabulary.merges:
-            self.automaton = ahocorasick.Automaton()
-            for p in vocabulary.pieces:
-                self.automaton.add_word(p, p)
-            self.automaton.make_automaton()
-        else:
-            #: Every beginning of a piece; those that are pieces with id and score.
-            self.begun = {p[:n]: None for p in vocabulary.pieces for n in range(1, len(p))} | dict(vocabulary.pieces)
-
-    def fallback(self, char: str) -> Iterable[int]:
-        return (self.v.bytes[b] for b in char.encode()) if self.v.bytes else (self.v.unknown,)
+        self.automaton = ahocorasick.Automaton()
+        for p in vocabulary.pieces:
+            self.automaton.add_word(p, (p, len(p)))
+        self.automaton.make_automaton()
 
     def merged(self, text: str) -> list[str]:
         """What merging makes of a short text: of all neighbours that join to a piece, the one of best score first."""
+        pieces, none = self.v.pieces, -np.inf
+
+        def joined(i: int) -> float:
+            return piece[1] if (piece := pieces.get(parts[i] + parts[i + 1])) else none
+
         parts = list(text)
-        while len(parts) > 1:
-            scores = [piece[1] if (piece := self.v.pieces.get(a + b)) else -np.inf for a, b in zip(parts, parts[1:], strict=False)]
-            if (best := max(scores)) == -np.inf:
-                break
+        scores = [joined(i) for i in range(len(parts) - 1)]
+        while scores and (best := max(scores)) != none:
             at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = joined(at - 1)
+            if at < len(scores):
+                scores[at] = joined(at)
         return parts
 
     def follows(self, before: str, piece: str) -> bool:
@@ -113,122 +115,126 @@ class Encoder:
             known = self.neighbours[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
         return known
 
-    def only(self, text: str, back: list[int], before: str) -> int:
-        """Where the last piece of a text begins by merging; `before` is the piece before the text."""
-        e = len(text)
-        for s in range(max(0, e - self.longest), e):
-            if text[s:] in self.v.pieces or s == e - 1:
-                if self.follows(text[back[s] : s] if s else before, text[s:]):
-                    return s
-        raise AssertionError("merging has a last piece for every text")
+    def stream(self, text: str | Iterable[str], window: int | None = None) -> Iterator[list[int]]:
+        """Ids of the best path through a text or its parts, committed once no path that is alive avoids them.
 
-    def stream(self, chars: Iterable[str], window: int | None = None) -> Iterator[int]:
-        """Ids of the best path, each committed once no path that is alive avoids it.
-
-        Positions count from the last committed boundary; `window` is how many more than the alive ones are kept before
-        the paths are compared (by default as many as the longest piece has characters).
+        Positions count from the last committed boundary. The longest piece's characters and `window` more (by default
+        as many again) are held before the paths are compared, so memory is bounded whatever the text's length.
+        """
+        window = self.longest if window is None else window
+        most = self.longest + window
+        parts = (text[i : i + most] for i in range(0, len(text), most)) if isinstance(text, str) else text
+        held, extend = "", self.follow if self.v.merges else self.add
+        last, best = [""], [0.0]  # by boundary: the last piece of the best path to it, and that path's sum
+        for part in parts:
+            held += part
+            extend(held, last, best)
+            while len(held) >= most and (met := self.met(last)):
+                yield self.ids(last, met)
+                held, last, best = held[met:], last[met:], best[met:]
+        yield self.ids(last, len(held))
+
+    def ending(self, held: str, done: int) -> Iterator[tuple[int, tuple[str, int]]]:
+        """(end, (piece, its length)) of the pieces in held that end after `done` characters, and some that end before.
+
+        Of the pieces that end at one boundary the longest comes first.
         """
-        pieces, longest, lost = self.v.pieces, self.longest, self.lost
-        window = longest if window is None else window
-        text, best, back, before = "", [0.0], [0], ""
-        for char in chars:
-            text += char
-            e = len(text)
-            score, origin = -np.inf, e - 1
-            if self.v.merges:
-                origin = self.only(text, back, before)
-            else:
-                for s in range(max(0, e - longest), e):
-                    if (piece := pieces.get(text[s:e])) is not None and best[s] + piece[1] > score:
-                        score, origin = best[s] + piece[1], s
-                if char not in pieces and best[e - 1] + lost > score:
-                    score, origin = best[e - 1] + lost, e - 1
-            best.append(score)
-            back.append(origin)
-            if e >= longest + window:
-                # The boundary at which the best paths to all alive positions meet.
-                alive = set(range(e - longest + 1, e + 1))
-                while len(alive) > 1:
-                    last = max(alive)
-                    alive.discard(last)
-                    alive.add(back[last])
-                if met := alive.pop():
-                    yield from self.ids(text, back, met)
-                    before = text[back[met] : met]
-                    text, best, back = text[met:], best[met:], [max(0, b - met) for b in back[met:]]
-        yield from self.ids(text, back, len(text))
-
-    def ids(self, text: str, back: list[int], end: int) -> list[int]:
-        """Ids of the best path to a position."""
-        out: list[list[int]] = []
+        begin = max(0, done - self.longest + 1)
+        found = self.automaton.iter(held[begin:])
+        return ((begin + end, x) for end, x in found) if begin else found
+
+    def follow(self, held: str, last: list[str], best: list[float]) -> None:
+        """Extend `last` to all of `held`, for merges: each boundary takes the one piece ending there that can follow the piece before it."""
+        known, at = self.neighbours, len(last)
+        for end, (piece, n) in self.ending(held, at - 1):
+            e = end + 1
+            if e < at:
+                continue  # it has its piece
+            last += held[at - 1 : e - 1]  # characters without a piece
+            at = e
+            before = last[e - n]
+            if (fits := known.get((before, piece))) is None:
+                fits = self.follows(before, piece)
+            if fits:
+                last.append(piece)
+                at = e + 1
+        last += held[at - 1 :]
+
+    def add(self, held: str, last: list[str], best: list[float]) -> None:
+        """Extend `last` and `best` to all of `held`, for scores: each boundary takes the piece of the largest sum, of equals the longest."""
+        pieces = self.v.pieces
+
+        def close(e: int) -> None:
+            """Fix all boundaries up to e: a character without a piece may stand for itself."""
+            for i in range(len(last), e + 1):
+                score, piece = found.pop(i, (-np.inf, ""))
+                if held[i - 1] not in pieces and best[i - 1] + self.lost > score:
+                    score, piece = best[i - 1] + self.lost, held[i - 1]
+                best.append(score)
+                last.append(piece)
+
+        found: dict[int, tuple[float, str]] = {}
+        done = len(last) - 1
+        for end, (piece, n) in self.ending(held, done):
+            e = end + 1
+            if e <= done:
+                continue
+            close(e - 1)
+            if (score := best[e - n] + pieces[piece][1]) > found.get(e, (-np.inf, ""))[0]:
+                found[e] = score, piece
+        close(len(held))
+
+    def met(self, last: list[str]) -> int:
+        """The boundary that the best paths to all alive boundaries, those at which a piece can still begin, have in common."""
+        alive = set(range(max(0, len(last) - self.longest), len(last)))
+        while len(alive) > 1:
+            e = max(alive)
+            alive.discard(e)
+            alive.add(e - len(last[e]))
+        return alive.pop()
+
+    def ids(self, last: list[str], end: int) -> list[int]:
+        """Ids of the best path to a boundary."""
+        out = []
         while end:
-            begin = back[end]
-            piece = self.v.pieces.get(text[begin:end])
-            out.append([piece[0]] if piece else list(self.fallback(text[begin:end])))
-            end = begin
-        return [i for x in reversed(out) for i in x]
-
-    def short(self, text: str) -> list[int]:
-        """As `stream`, for a text that needs no window."""
-        if self.v.merges:
-            return self.path(text)
-        begun, n = self.begun, len(text)
-        best, back = [-np.inf] * (n + 1), [0] * (n + 1)
-        best[0] = 0.0
-        for s in range(n):
-            score, char = best[s], text[s]
-            if char not in self.v.pieces and score + self.lost > best[s + 1]:
-                best[s + 1], back[s + 1] = score + self.lost, s
-            for e in range(s + 1, n + 1):
-                piece = begun.get(text[s:e], 0)
-                if piece:
-                    if score + piece[1] > best[e]:
-                        best[e], back[e] = score + piece[1], s
-                elif piece == 0:
-                    break
-        return self.ids(text, back, n)
-
-    def path(self, text: str) -> list[int]:
-        """As `stream`, for merges: each boundary takes the one piece ending there that can follow the piece before it."""
-        last: list[str | None] = ["", *[None] * len(text)]
-        known = self.neighbours
-        for end, piece in self.automaton.iter(text):
-            if last[end + 1] is None:
-                s = end + 1 - len(piece)
-                before = last[s]
-                if before is None:  # no piece ends here: a character without one
-                    before = last[s] = text[s - 1]
-                if (fits := known.get((before, piece))) is None:
-                    fits = self.follows(before, piece)
-                if fits:
-                    last[end + 1] = piece
-        out: list[list[int]] = []
-        e = len(text)
-        while e:
-            token = last[e] or text[e - 1]
-            piece = self.v.pieces.get(token)
-            out.append([piece[0]] if piece else list(self.fallback(token)))
-            e -= len(token)
-        return [i for x in reversed(out) for i in x]
+            out.append(last[end])
+            end -= len(last[end])
+        return [i for x in reversed(out) for i in self.spelled[x]]
 
     def encode(self, text: str) -> np.ndarray:
         text = text.replace(" ", SPACE)
         if self.v.prefix and text:
             text = SPACE + text
         if not self.cuts:
-            return np.array(list(self.stream(text)), np.int32)
-        known = self.known
-        if len(known) > self.MOST:
-            known.clear()
-        out = []
-        for stretch in self.stretch.findall(text):
-            if (found := known.get(stretch)) is None:
-                if len(stretch) <= self.SHORT:
-                    found = known[stretch] = array("i", self.short(stretch)).tobytes()
-                else:
-                    found = array("i", self.stream(stretch)).tobytes()
-            out.append(found)
-        return np.frombuffer(b"".join(out), np.int32)
+            return np.concatenate([np.array(x, np.int32) for x in self.stream(text)])
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.stretch.findall(text))), np.int32)
+
+
+class _Spelled(dict):
+    """The ids of pieces, and of characters without one."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        super().__init__((p, (i,)) for p, (i, _) in vocabulary.pieces.items())
+        self.v = vocabulary
+
+    def __missing__(self, char: str) -> tuple[int, ...]:
+        return tuple(self.v.bytes[b] for b in char.encode()) if self.v.bytes else (self.v.unknown,)
+
+
+class _Known(dict):
+    """The ids of stretches, searched when first asked for; of short ones they are kept."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, stretch: str) -> bytes:
+        found = b"".join([array("i", ids).tobytes() for ids in self.encoder.stream(stretch)])
+        if len(stretch) <= self.encoder.SHORT:
+            self[stretch] = found
+        return found
 
 
 class Decoder:
