@@ -1,16 +1,19 @@
 """Toxicity scores by weak supervision.
 
-Labelled training rows give terms (words, word beginnings, and beginnings that several words have) that occur with one label far more often than with the
-other. The terms are dealt into many voters: lexicon voters of words, pattern voters of beginnings, for either class, each of which votes or abstains on a text. A generative label model estimates by EM how often each voter votes
-under either class, and how voters are correlated within a class, so that voters that repeat each other count once. Its
-posterior probabilities are the labels that a linear classifier of the voters' terms is trained on.
+Labelled training rows give terms (words, word beginnings, and beginnings that several words have) that occur with one
+label far more often than with the other. The terms are dealt into many voters: lexicon voters of words, pattern voters of
+beginnings, for either class, each of which votes for its class or abstains on a text. The given label is one more voter.
+A generative label model starts at the given labels and estimates by EM how often each voter, the given label too, votes
+under either class, and how far voters repeat each other within a class; voters that repeat each other count once. Its
+posterior probabilities, in which the voters can overrule a given label, are the labels that a linear classifier of the
+voters' terms is trained on.
 
 The training set is bounded: at most about SAMPLE rows of each label, chosen by a seeded hash of their ids, with texts of
 SAMPLE_BYTES at most. Everything else covers all rows.
 
 Defined results: null and empty texts get the classifier's score of no terms; without labelled rows of both labels every
-score is the share of label 1 (0 if there is none); repeated labels of an id count one by one; repeated rows have equal
-results. Columns of the input named score or predicted are replaced.
+score is the share of label 1 (0 if there is none); repeated equal labels of an id count once, contradicting ones count
+one for each label; repeated rows have equal results. Columns of the input named score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ VOTERS = 40
 """Voters of each family."""
 TERMS = 800
 """Most terms of a family."""
+REPEATING = 0.5
+"""Correlation within a class above which voters share their weight."""
 L2 = 1e-4
 ROUNDS = 300
 BEGINNINGS = (4, 5, 6)
@@ -104,23 +109,45 @@ def votes(x: Terms, voters: Sequence[np.ndarray]) -> np.ndarray:
     return out
 
 
-def label_model(v: np.ndarray, given: np.ndarray, rounds: int = 10, given_rate: float = 0.95) -> np.ndarray:
-    """Posterior probability of label 1 of each row of votes; the given labels are one more voter of known accuracy.
+@dataclass(frozen=True)
+class LabelModel:
+    """What EM estimates of binary voters: `rates` by class and voter, `repeats` by pair of voters, and the rows' posteriors.
+
+    repeats is the correlation of two voters within a class, averaged over both classes.
+    """
+
+    share: float
+    rates: np.ndarray
+    repeats: np.ndarray
+    posterior: np.ndarray
+
+    @property
+    def accuracies(self) -> np.ndarray:
+        """By voter, how often its class is right when it votes; its class is the one that it votes under more often."""
+        votes = self.rates * np.array([[1 - self.share], [self.share]])
+        return votes.max(axis=0) / votes.sum(axis=0)
+
+
+def label_model(v: np.ndarray, start: np.ndarray, rounds: int = 25, repeating: float = REPEATING) -> LabelModel:
+    """EM for two classes over rows of votes: 1 where a voter votes, 0 where it abstains.
 
-    EM for two classes. Each class is described by its voters' rates and by how they vary together; the rows' log odds
-    are those of two Gaussians with the pooled within-class covariance, which discounts correlated voters.
+    start is the first guess of label 1's probability, and no evidence after that. Given a class, voters count as
+    independent, but one that has a correlation above `repeating` with others there shares its weight with them.
     """
-    own = np.log(given_rate / (1 - given_rate)) * (2.0 * given - 1)
-    p = 1 / (1 + np.exp(-own))
+    p = 0.25 + 0.5 * start
     for _ in range(rounds):
         share = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
-        rates = [(w @ v + 0.5 * v.mean(axis=0)) / (w.sum() + 0.5) for w in (1 - p, p)]
-        spread = sum(((v - r) * w[:, None]).T @ (v - r) for w, r in zip((1 - p, p), rates, strict=True)) / len(v)
-        spread = 0.9 * spread + (0.1 * np.trace(spread) / len(spread) + 1e-3) * np.eye(len(spread))
-        direction = np.linalg.solve(spread, rates[1] - rates[0])
-        odds = (v - (rates[0] + rates[1]) / 2) @ direction + np.log(share / (1 - share)) + own
+        rates = np.array([(w @ v + 0.01) / (w.sum() + 0.5) for w in (1 - p, p)]).clip(1e-4, 1 - 1e-4)
+        repeats = np.zeros((v.shape[1], v.shape[1]))
+        for w, r, part in zip((1 - p, p), rates, (1 - share, share), strict=True):
+            spread = ((v - r) * w[:, None]).T @ (v - r) / max(1.0, w.sum())
+            repeats += part * spread / np.sqrt(np.outer(r * (1 - r), r * (1 - r)))
+        np.fill_diagonal(repeats, 0)
+        weight = 1 / (1 + np.where(repeats > repeating, repeats, 0).sum(axis=1))
+        yes, no = weight * np.log(rates[1] / rates[0]), weight * np.log((1 - rates[1]) / (1 - rates[0]))
+        odds = v @ yes + (1 - v) @ no + np.log(share / (1 - share))
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return p
+    return LabelModel(share, rates, repeats, p)
 
 
 def linear(x: Terms, posterior: np.ndarray, used: np.ndarray, l2: float = L2, rounds: int = ROUNDS) -> ToxicityModel:
@@ -178,7 +205,8 @@ def train(labelled: DataFrame, id: str = "doc_id", text: str = "text", label: st
     voters = lexicons(x, y)
     if not voters:
         return ToxicityModel(bias=float(np.log(counts[1] / counts[0])))
-    return linear(x, label_model(votes(x, voters), y), np.unique(np.concatenate(voters)))
+    found = label_model(np.column_stack([votes(x, voters), y]), y)
+    return linear(x, found.posterior, np.unique(np.concatenate(voters)))
 
 
 class Scorer:
