@@ -4,18 +4,22 @@ The reader looks at box headers and sample tables only; coded payloads are never
 string losslessly as 8-bit PCM frames in one track, and `read_samples` gets it back through the sample tables.
 
 Defined results: null content gives a null `media`; content that is no well-formed container gives `error` and no
-tracks; a track without `stss` has every sample as a keyframe; equal bytes give equal results.
+tracks, and so does one whose tables name more bytes than it has or whose containers nest deeper than DEEPEST; a track
+without `stss` has every sample as a keyframe; equal bytes give equal results.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import by_bytes
 
 FRAME = 576
 """Bytes of a stored sample (one access unit of 8-bit mono PCM)."""
@@ -29,6 +33,16 @@ MEDIA_TYPE = (
     "timescale:long,duration:long,n_samples:long,n_keyframes:long,keyframes:array<struct<offset:long,size:long>>>>>"
 )
 
+DEEPEST = 64
+"""Containers within containers; a file that nests deeper is malformed."""
+BATCH = 4 << 20
+"""Bytes of content that a task reads or writes at once, or one row."""
+
+_NUMBER = pa.int64()
+_RANGES = pa.list_(pa.struct([("offset", _NUMBER), ("size", _NUMBER)]))
+_TRACK = [("track_id", _NUMBER), ("handler", pa.string()), ("codec", pa.string()), ("timescale", _NUMBER), ("duration", _NUMBER), ("n_samples", _NUMBER), ("n_keyframes", _NUMBER), ("keyframes", _RANGES)]
+_ARROW = pa.struct([("error", pa.string()), ("brand", pa.string()), ("duration_s", pa.float64()), ("tracks", pa.list_(pa.struct(_TRACK)))])
+
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"mvex", b"dinf"}
 
 
@@ -133,6 +147,8 @@ def _sizes(data: bytes, kind: bytes, body: int, end: int) -> np.ndarray:
     fixed, n = struct.unpack_from(">2I", data, body + 4)
     if kind == b"stsz":
         if fixed:
+            if n * fixed > len(data):
+                raise Malformed(f"stsz says {n} samples of {fixed} bytes")
             return np.full(n, fixed, np.int64)
         if n * 4 > end - body - 12:
             raise Malformed("stsz is cut")
@@ -165,7 +181,10 @@ def sample_ranges(data: bytes, stbl: dict[bytes, tuple[int, int]]) -> tuple[np.n
     before = np.cumsum(sizes) - sizes
     first = np.cumsum(each) - each
     used = each > 0
-    return np.repeat(chunks[used] - before[first[used]], each[used]) + before, sizes
+    offsets = np.repeat(chunks[used] - before[first[used]], each[used]) + before
+    if offsets.min() < 0 or (offsets + sizes).max() > len(data):
+        raise Malformed("a sample lies outside the file")
+    return offsets, sizes
 
 
 def _tracks(data: bytes) -> Iterator[tuple[dict, dict[bytes, tuple[int, int]]]]:
@@ -173,7 +192,9 @@ def _tracks(data: bytes) -> Iterator[tuple[dict, dict[bytes, tuple[int, int]]]]:
     movie: dict = {"brand": None, "timescale": 0, "duration": 0}
     found: list[tuple[dict, dict]] = []
 
-    def walk(start: int, end: int, track: dict | None, stbl: dict | None) -> None:
+    def walk(start: int, end: int, track: dict | None, stbl: dict | None, depth: int = 0) -> None:
+        if depth > DEEPEST:
+            raise Malformed(f"boxes nest deeper than {DEEPEST} at {start}")
         for kind, body, stop in boxes(data, start, end):
             if kind == b"ftyp":
                 movie["brand"] = data[body : body + 4].decode("latin-1")
@@ -181,9 +202,9 @@ def _tracks(data: bytes) -> Iterator[tuple[dict, dict[bytes, tuple[int, int]]]]:
                 movie["timescale"], movie["duration"] = _times(data, body)
             elif kind == b"trak":
                 found.append(({"track_id": 0, "handler": None, "codec": None, "timescale": 0, "duration": 0}, {}))
-                walk(body, stop, *found[-1])
+                walk(body, stop, *found[-1], depth + 1)
             elif kind in CONTAINERS:
-                walk(body, stop, track, stbl)
+                walk(body, stop, track, stbl, depth + 1)
             elif track is None or stbl is None:
                 continue
             elif kind == b"tkhd":
@@ -218,8 +239,6 @@ def describe(data: bytes) -> dict:
                 offsets_k, sizes_k = offsets[keys], sizes[keys]
             else:
                 offsets_k, sizes_k = offsets, sizes
-            if len(offsets) and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
-                raise Malformed("a sample lies outside the file")
             if not track["duration"] and b"stts" in stbl:
                 runs = _table(data, *stbl[b"stts"], 2)
                 track["duration"] = int((runs[:, 0] * runs[:, 1]).sum())
@@ -249,18 +268,6 @@ def read_samples(data: bytes, track: int = 0) -> bytes | None:
 # ---------------------------------------------------------------- columns
 
 
-def _write(payload: pd.Series) -> pd.Series:
-    return payload.map(lambda x: None if x is None else write_samples(bytes(x)))
-
-
-def _read(content: pd.Series) -> pd.Series:
-    return content.map(lambda x: None if x is None else read_samples(bytes(x)))
-
-
-def _describe(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([describe(b"") | {"error": "null"} if x is None else describe(bytes(x)) for x in content], columns=["error", "brand", "duration_s", "tracks"])
-
-
 def padded(content: Column, frame: int = FRAME) -> Column:
     """Binary content with bytes of 255 appended up to a positive multiple of frame."""
     n = F.octet_length(content)
@@ -268,19 +275,33 @@ def padded(content: Column, frame: int = FRAME) -> Column:
     return F.concat(content, F.unhex(F.repeat(F.lit(f"{PAD:02X}"), missing)))
 
 
-def stored(payload: Column) -> Column:
-    """A container that holds the payload as 8-bit samples."""
-    return F.pandas_udf(_write, "binary")(payload)
+def _mapped(df: DataFrame, content: str, new: list[tuple[str, str, pa.DataType]], apply: Callable[[bytes], tuple]) -> DataFrame:
+    """df with new columns made of the bytes in column content, null where it is null; rows are taken by their bytes."""
+    rest = [c for c in df.columns if c not in [n for n, _, _ in new]]
+    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{content}`").alias("__content"))
+    schema = source.drop("__content").schema
+    for name, kind, _ in new:
+        schema = schema.add(name, T.DataType.fromDDL(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "__content", BATCH):
+            found = [(None,) * len(new) if x is None else apply(x) for x in batch.column("__content").to_pylist()]
+            cells = [pa.array([r[i] for r in found], kind) for i, (_, _, kind) in enumerate(new)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cells], [*rest, *[n for n, _, _ in new]])
+
+    return source.mapInArrow(run, schema)
 
 
-def samples(content: Column) -> Column:
-    """The payload of a container's first track, read through its sample tables."""
-    return F.pandas_udf(_read, "binary")(content)
+def stored(df: DataFrame, payload: str = "payload", out: str = "content") -> DataFrame:
+    """df with a container in column `out` that holds the payload as 8-bit samples. A column named `out` is replaced."""
+    return _mapped(df, payload, [(out, "binary", pa.binary())], lambda x: (write_samples(x),))
 
 
-def media_columns(df: DataFrame, content: str = "content", out: str = "media") -> DataFrame:
+def media_columns(df: DataFrame, content: str = "content", out: str = "media", samples: str | None = None) -> DataFrame:
     """df with a struct column `out` that describes the container in column `content`.
 
-    Row by row, without a shuffle. A column that is already named `out` is replaced.
+    samples names one more column, of the first track's bytes read through its sample tables; null where they can't be
+    read. Row by row, without a shuffle. Columns that are already named so are replaced.
     """
-    return df.withColumn(out, F.when(F.col(content).isNotNull(), F.pandas_udf(_describe, MEDIA_TYPE)(F.col(content))))
+    new = [(out, MEDIA_TYPE, _ARROW)] + ([(samples, "binary", pa.binary())] if samples else [])
+    return _mapped(df, content, new, lambda x: (describe(x), read_samples(x)) if samples else (describe(x),))

@@ -17,8 +17,8 @@ def bucket(n: int):
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", utf8(F.col("text")).alias("content"))
-    kept = docs.select("doc_id", F.octet_length("content").cast("long").alias("n_bytes"), media.stored(media.padded(F.col("content"))).alias("content"))
-    read = media.media_columns(kept).withColumn("payload", media.samples(F.col("content")))
+    padded = docs.select("doc_id", F.octet_length("content").cast("long").alias("n_bytes"), media.padded(F.col("content")).alias("payload"))
+    read = media.media_columns(media.stored(padded).drop("payload"), samples="payload")
     track = F.col("media.tracks")[0]
     ranges = F.array_join(F.transform(track["keyframes"], lambda k: F.concat_ws(":", k["offset"], k["size"])), ",")
     return read.select(

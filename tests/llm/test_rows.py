@@ -3,8 +3,11 @@
 import hashlib
 import os
 import random
+import struct
 import zlib
+from itertools import chain
 
+import numpy as np
 import pytest
 import sentencepiece
 import zstandard
@@ -32,7 +35,7 @@ def test_media_query(spark, folder):
         assert (r["n_bytes"], r["payload_bytes"]) == (len(data), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
         whole = media.write_samples(payload)
-        assert r["media_bytes"] == len(whole) and r["media_sha256"] == hashlib.sha256(whole).hexdigest()
+        assert plain_samples(whole) == payload and r["media_bytes"] == len(whole) and r["media_sha256"] == hashlib.sha256(whole).hexdigest()
 
 
 def test_media_tables():
@@ -58,6 +61,56 @@ def test_damaged_media():
     assert media.read_samples(whole) == payload
 
 
+def plain_samples(data):
+    """The samples of a container with one track of fixed sample sizes, found without the operator's reader."""
+
+    def inside(kind, start, end):
+        while start < end:
+            size, name = struct.unpack_from(">I4s", data, start)
+            if name == kind:
+                return start + 8, start + size
+            start += size
+        raise AssertionError(kind)
+
+    at = 0, len(data)
+    for kind in (b"moov", b"trak", b"mdia", b"minf", b"stbl"):
+        at = inside(kind, *at)
+    table = {k: inside(k, *at)[0] + 4 for k in (b"stsz", b"stsc", b"stco")}
+    size, n = struct.unpack_from(">2I", data, table[b"stsz"])
+    chunks = struct.unpack_from(f">{struct.unpack_from('>I', data, table[b'stco'])[0]}I", data, table[b"stco"] + 4)
+    runs = list(struct.iter_unpack(">3I", data[table[b"stsc"] + 4 :][: 12 * struct.unpack_from(">I", data, table[b"stsc"])[0]]))
+    out = []
+    for i, offset in enumerate(chunks):
+        each = [count for first, count, _ in runs if first <= i + 1][-1]
+        out.append(data[offset : offset + each * size])
+    assert sum(map(len, out)) == n * size
+    return b"".join(out)
+
+
+@pytest.mark.parametrize("frames", [1, 7, 8, 9, 41])
+def test_stored_media_by_an_independent_reader(frames):
+    payload = os.urandom(576 * frames)
+    assert plain_samples(media.write_samples(payload)) == payload
+
+
+def test_hostile_media(spark):
+    nested = b""
+    for _ in range(1500):
+        nested = struct.pack(">I4s", 8 + len(nested), b"moov") + nested
+    assert "deeper" in media.describe(nested)["error"] and media.read_samples(nested) is None
+    whole = bytearray(media.write_samples(os.urandom(576 * 9)))
+    huge, outside = bytearray(whole), bytearray(whole)
+    at = whole.index(b"stsz") + 8
+    huge[at : at + 8] = struct.pack(">2I", 576, 2**32 - 1)
+    assert "stsz" in media.describe(bytes(huge))["error"] and media.read_samples(bytes(huge)) is None
+    at = whole.index(b"stco") + 12
+    outside[at : at + 4] = struct.pack(">I", len(whole) - 10)
+    assert "outside" in media.describe(bytes(outside))["error"] and media.read_samples(bytes(outside)) is None
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate([nested, huge, outside, whole])] + [(4, None)], "id long, content binary")
+    got = {r["id"]: r for r in media.media_columns(df, samples="payload").collect()}
+    assert [got[i]["payload"] is None for i in range(5)] == [True, True, True, False, True] and got[4]["media"] is None
+
+
 def test_media_columns(spark):
     df = spark.createDataFrame([(1, None, "kept"), (2, bytearray(b"junk"), "kept"), (3, bytearray(media.write_samples(b"a" * 576)), "kept")], "id long, content binary, media string")
     got = {r["id"]: r["media"] for r in media.media_columns(df).collect()}
@@ -110,6 +163,44 @@ def test_toxicity(spark):
     assert toxicity.train(df.where("toxic = 0")).weights == {} and toxicity.predict(df.where("false"), model).count() == 0
 
 
+def test_label_model_recovers_planted_voters():
+    rng = np.random.default_rng(3)
+    truth = (rng.random(4000) < 0.4).astype(float)
+    planted = [(0.3, 0.02), (0.25, 0.05), (0.4, 0.03), (0.02, 0.3), (0.05, 0.5), (0.35, 0.01), (0.01, 0.2), (0.3, 0.1)]  # rates under label 1 and 0
+    v = np.column_stack([rng.random(4000) < np.where(truth == 1, one, none) for one, none in planted]).astype(float)
+    given = np.where(rng.random(4000) < 0.9, truth, 1 - truth)
+    v = np.column_stack([v, v[:, 2], given])  # the ninth voter repeats the third
+    found = toxicity.label_model(v, given)
+    assert np.abs(found.rates[:, :8] - np.array(planted).T[::-1]).max() < 0.05
+    right = [max(a * 0.4, b * 0.6) / (a * 0.4 + b * 0.6) for a, b in planted]
+    assert np.abs(found.accuracies[:8] - right).max() < 0.07 and abs(found.accuracies[9] - 0.9 * 0.4 / (0.9 * 0.4 + 0.1 * 0.6)) < 0.05
+    assert found.repeats[2, 8] > 0.99 and np.abs(found.repeats[:8, :8]).max() < 0.2
+    # The voters overrule wrong labels: the posterior is right more often than the labels that it starts from.
+    assert ((found.posterior > 0.5) == truth).mean() > (given == truth).mean() + 0.02
+
+
+def test_toxicity_with_wrong_labels(spark):
+    rng = random.Random(8)
+    rows, right = [], {}
+    for i in range(1500):
+        right[i] = int(i % 3 == 0)
+        w = [f"word{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(12))}" for _ in range(30)]
+        for k in range(5 * right[i]):
+            w[k] = "vile" + rng.choice("abcdefghijkl")
+        rows.append((i, " ".join(w), 1 - right[i] if rng.random() < 0.08 else right[i]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.where("doc_id < 1000"))
+    got = toxicity.predict(df.where("doc_id >= 1000"), model).collect()
+    assert sum(r["predicted"] == right[r["doc_id"]] for r in got) >= 0.98 * len(got)
+
+
+def test_repeated_and_contradicting_labels(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, None), (None, 1), (4, 1), (3, 7)], "doc_id long, toxic int")
+    got = toxicity.labelled(docs, labels).collect()
+    assert sorted((r["doc_id"], r["toxic"]) for r in got) == [(1, 1), (2, 0), (2, 1)]
+
+
 def test_toxicity_and_language_queries_on_odd_rows(spark, folder):
     assert queries.op2_language(spark, folder).count() == len(ODD)
     assert queries.op5_toxicity(spark, folder).count() == len(ODD)
@@ -137,9 +228,9 @@ def test_streaming_search_is_optimal_for_any_window():
         e, back = viterbi.Encoder(v), {i: (p, s) for p, (i, s) in pieces.items()}
         text = "".join(rng.choice("aabc d") for _ in range(80))
         marked = viterbi.SPACE + text.replace(" ", viterbi.SPACE)
-        want = e.short(marked)
+        want = list(chain.from_iterable(e.stream(marked, len(marked))))
         for window in (0, 1, 7, None):
-            assert list(e.stream(marked, window)) == want
+            assert list(chain.from_iterable(e.stream(marked, window))) == list(chain.from_iterable(e.stream(iter(marked), window))) == want
         assert e.encode(text).tolist() == want and viterbi.Decoder(v).decode(want) == text
         assert sum(back[i][1] if i in back else e.lost for i in want) == best_score(v, marked, e.lost)
 
@@ -157,7 +248,22 @@ def test_merges_equal_those_of_the_library_for_any_window():
         if text:
             marked = viterbi.SPACE + text.replace(" ", viterbi.SPACE)
             for window in (0, 5, None):
-                assert list(e.stream(marked, window)) == want
+                assert list(chain.from_iterable(e.stream(marked, window))) == list(chain.from_iterable(e.stream(iter(marked), window))) == want
+
+
+def test_every_text_goes_through_the_search_and_long_ones_are_committed_on_the_way(monkeypatch):
+    v = viterbi.load()
+    e, searched = viterbi.Encoder(v), []
+    stream = e.stream
+    monkeypatch.setattr(e, "stream", lambda text: searched.append(text) or stream(text))
+    text = "some words, and a_word_that_never_ends" + "abcdefghij" * 300
+    ids = e.encode(text)
+    assert "".join(searched) == viterbi.SPACE + text.replace(" ", viterbi.SPACE) and ids.tolist() == sentencepiece.SentencePieceProcessor(model_file=viterbi.MODEL).encode(text)
+    read, longest = [], max(searched, key=len)
+    found = stream(read.append(c) or c for c in longest)
+    for _ in range(5):
+        assert next(found)
+    assert len(read) < 400 < len(longest)
 
 
 def test_round_trip_with_the_public_model(spark):
