@@ -36,7 +36,7 @@ FIRST = 4
 """Others that a class is checked against before components are known; the rest are checked after."""
 BATCH = 1 << 20
 """Bytes of text whose sets are made at once."""
-BLOCK = 2048
+BLOCK = 512
 """Classes of one bucket that one step compares with as many others; larger buckets are cut into pairs of blocks."""
 
 
@@ -159,12 +159,12 @@ def sketches(sets: Sets, threshold: Threshold) -> list[bytes]:
     """A parity sketch of each set: bit b is whether it has an odd number of features that hash to b.
 
     Each element in just one of two sets changes one bit of one of them, so as many bits as differ, elements differ at
-    least. A sketch has sixteen bits for each difference that the set's band tolerates, so few bits cancel out. Twice as
+    least. A sketch has eight bits for each difference that the band tolerates, so few bits cancel out. Twice as
     long a sketch, folded, is the shorter one.
     """
     own = instances(sets.sizes, threshold)[0]
     words = np.ones(len(sets.sizes), np.int64)
-    words[own[0]] = 2 ** np.ceil(np.log2(np.maximum(1, own[2] / 4))).astype(np.int64)
+    words[own[0]] = 2 ** np.ceil(np.log2(np.maximum(1, own[2] / 8))).astype(np.int64)
     cell, out = mix(sets.values, 9), [b""] * len(words)
     for n in np.unique(words).tolist():
         of = np.flatnonzero(words == n)
