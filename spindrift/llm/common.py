@@ -28,13 +28,13 @@ def unique_ids(docs: DataFrame, id: str = "id") -> tuple[DataFrame, DataFrame |
     """docs with a key of its own in place of each null or repeated value of the long column id, and (key, id) of such rows.
 
     Those rows are written to the shared folder, so that they keep their keys. Keys are consecutive numbers that no row
-    has as its id: after the largest id, or else where there is room. None: all ids are unique.
+    has as its id: after the largest id, or else where there is room, those of nulls last. None: all ids are unique.
     """
     again = docs.where(F.col(id).isNotNull()).groupBy(id).agg(F.count("*").alias("__n")).where("__n > 1").select(id)
     nulls, again = docs.where(F.col(id).isNull()), materialize(again, "repeated-ids")
     odd, known = nulls, docs.where(F.col(id).isNotNull())
     if not again.isEmpty():
-        odd, known = odd.unionByName(docs.join(again, id, "left_semi").select(docs.columns)), known.join(again, id, "left_anti").select(docs.columns)
+        odd, known = docs.join(again, id, "left_semi").select(docs.columns).unionByName(nulls), known.join(again, id, "left_anti").select(docs.columns)
     elif nulls.isEmpty():
         return docs, None
     stored = materialize(odd.withColumn("__n", F.monotonically_increasing_id()), "own-ids")

@@ -79,6 +79,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", dictionar
                 taken.append(piece_bytes)
                 size += len(piece_bytes) + 1
         out[name] = b" ".join(taken)
+    # zstandard takes no shorter dictionary: a language with fewer bytes of letters can't be predicted.
     return LanguageModel({k: v for k, v in out.items() if len(v) >= 8})
 
 

@@ -278,14 +278,15 @@ def padded(content: Column, frame: int = FRAME) -> Column:
 def _mapped(df: DataFrame, content: str, new: list[tuple[str, str, pa.DataType]], apply: Callable[[bytes], tuple]) -> DataFrame:
     """df with new columns made of the bytes in column content, null where it is null; rows are taken by their bytes."""
     rest = [c for c in df.columns if c not in [n for n, _, _ in new]]
-    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{content}`").alias("__content"))
-    schema = source.drop("__content").schema
+    own = "_".join(["__content", *rest])  # the name of no other column
+    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{content}`").alias(own))
+    schema = source.drop(own).schema
     for name, kind, _ in new:
         schema = schema.add(name, T.DataType.fromDDL(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "__content", BATCH):
-            found = [(None,) * len(new) if x is None else apply(x) for x in batch.column("__content").to_pylist()]
+        for batch in by_bytes(batches, own, BATCH):
+            found = [(None,) * len(new) if x is None else apply(x) for x in batch.column(own).to_pylist()]
             cells = [pa.array([r[i] for r in found], kind) for i, (_, _, kind) in enumerate(new)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cells], [*rest, *[n for n, _, _ in new]])
 

@@ -36,7 +36,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
     Sources by code point, null last, have the weights in turn. Targets split share * total by weight and stop at
     most * source_size; the excess goes to the others by weight. With the sources in the order in which they are
-    filled, the level that those from each one on would share rises until the first that isn't full, then falls.
+    filled, the level that those from each one on would share rises until the first that isn't full, then falls. The
+    windows over all sources hold one row a source, a few numbers and a name each, whatever the number of documents.
     """
     every, code_point = W.partitionBy(), W.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(code_point) - 1, F.lit(len(weights))) + 1).cast("int"))

@@ -280,16 +280,17 @@ def encode_checked(df: DataFrame, vocabulary: Vocabulary, text: str = "text") ->
 def _map(df: DataFrame, vocabulary: Vocabulary, column: str, new: list[tuple[str, str]], apply) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # one model file
     rest = [c for c in df.columns if c not in dict(new)]
-    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`").alias("__column"))
+    own = "_".join(["__column", *rest])  # the name of no other column
+    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`").alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = coders(shared.value)
-        for batch in by_bytes(batches, "__column", 2 << 20) if pa.types.is_string(source_type) else _halves(batches):
-            cells = apply(batch.column("__column"), encoder, decoder)
+        for batch in by_bytes(batches, own, 2 << 20) if pa.types.is_string(source_type) else _halves(batches):
+            cells = apply(batch.column(own), encoder, decoder)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cells], [*rest, *[n for n, _ in new]])
 
     source_type = pa.string() if dict(df.dtypes)[column] == "string" else pa.list_(pa.int32())
-    schema = source.drop("__column").schema
+    schema = source.drop(own).schema
     for name, kind in new:
         schema = schema.add(name, {"array<int>": T.ArrayType(T.IntegerType())}.get(kind, kind))
     return source.mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 import struct
 import zlib
 from itertools import chain
@@ -117,6 +118,34 @@ def test_media_columns(spark):
     assert got[1] is None and got[2]["error"] and got[3]["tracks"][0]["n_samples"] == 1
 
 
+def test_language_equals_compressing_with_each_dictionary(spark):
+    rows = language_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df.where("doc_id % 4 <> 2"))
+    texts = [t for _, t, _ in rows[:20]] + ["ka", "ka " * 5000, "QX zz!!", "kato sch", None, "", "12 34"]
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        reduced = re.sub(r"[^a-z]+", " ", (texts[r["doc_id"]] or "").lower())
+        if not reduced.strip():
+            assert (r["lang_pred"], r["accepted"]) == ("und", False)
+            continue
+        data, sizes = reduced.encode(), {}
+        for name, content in model.dictionaries.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[name] = sum(len(c.compress(data[i : i + model.block])) for i in range(0, len(data), model.block))
+        least = min(sizes.values())
+        assert r["lang_pred"] == next(k for k in model.dictionaries if sizes[k] == least)  # ties: the language of most rows
+        lead = sorted(sizes.values())[1] - least
+        assert r["accepted"] == (lead > 0 and lead / max(1, least) >= langid.MIN_MARGIN)
+
+
+def test_one_language_only(spark):
+    rows = [(i, f"some words of one language {i}", "xx") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {(r["lang_pred"], r["accepted"]) for r in langid.predict(df, langid.train(df)).collect()} == {("xx", True)}
+
+
 def language_rows():
     rng = random.Random(4)
     syllables = {"xx": ["ka", "to", "mi", "re"], "yy": ["sch", "und", "ein", "vor"]}

@@ -118,6 +118,23 @@ def test_mixing(spark):
     assert mixing.mix(df.where("false")).count() == 0
 
 
+def test_mixing_takes_no_document_more_than_twice_and_the_budget_that_can_be_fitted(spark):
+    rows = [(1, "a " * 5, "s"), (1, "a " * 5, "s"), (1, "b " * 7, "s"), (2, "c " * 3, "s"), (None, "d " * 11, "t"), (None, "d " * 11, "t"), (3, "e " * 90, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(t.split())) for i, t, _ in rows)
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in got)
+    for source in {s for _, _, s in rows}:
+        own = [(i, len(t.split())) for i, t, s in rows if s == source]
+        total, target = sum(n for _, n in own), next(r["target"] for r in got if (r["doc_id"], r["size"]) == own[0])
+        whole = int(target // total)
+        sums = {0}
+        for _, n in own:
+            sums |= {s + n for s in sums}
+        taken = sum(r["taken"] for r in got if (r["doc_id"], r["size"]) in own)
+        assert taken == whole * total + max(s for s in sums if s <= round(target - whole * total))
+
+
 def test_fit_reaches_every_budget_that_can_be_reached():
     rng = random.Random(3)
     for _ in range(40):
@@ -263,3 +280,26 @@ def test_pipeline(spark, tmp_path):
     assert set(often) <= {tuple(r) for r in odd.collect()} and max(often.values()) <= 4 and (None, "one two three", "en", "s0", 0) in often
     out = corpus_pipeline.run(spark, folder)
     assert out.where("not round_trip").count() == 0 and out.count() > 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_empty_tables_odd_rows_and_clashing_columns(spark, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, size long, sig long, content string, __column string, component_id string, score double"
+    rest = (1, 2, "c", "d", "e", 0.5)
+    long = "word " * 30000
+    text = "the quick brown fox jumps over the lazy dog and runs away into the dark forest"
+    rows = [(1, text, "en", "s", 0, *rest), (1, text, "en", "s", 0, *rest), (None, text, None, None, None, *rest), (None, None, "en", "s", 0, *rest), (2, "", "de", "t", 0, *rest), (3, long, "en", "s", 0, *rest), (4, " \x0b", "de", None, 0, *rest)]
+    df = spark.createDataFrame(rows, columns)
+    assert stage(spark, df.where("false"), "").count() == 0
+    out = stage(spark, df, "").collect()
+    assert name == "token_ids" or all(list(r.asDict()) == df.columns for r in out)
+    texts = Counter((r["doc_id"], r["text"]) for r in out) if name != "token_ids" else None
+    if name == "near_duplicates":
+        assert texts == Counter([(1, text), (None, None), (2, ""), (3, long), (4, " \x0b")])
+    if name == "personal_data":
+        assert texts == Counter((r[0], r[1] or "") for r in rows) or texts == Counter((r[0], r[1]) for r in rows)
+    if name == "source_mix":
+        assert set(texts) <= {(r[0], r[1]) for r in rows} and (3, long) in texts
+    if name == "token_ids":
+        assert len(out) == len(rows) and all(r["round_trip"] in (True, None) for r in out)
