@@ -341,7 +341,8 @@ def selection_export(spark, d):
 
 @query()
 def pca_2d(spark, d):
-    return reduce.pca(read(spark, d, "embeddings"), 2).select("vec_id", F.round(F.col("coordinates")[0], 6).alias("x"), F.round(F.col("coordinates")[1], 6).alias("y"))
+    flat = reduce.pca(read(spark, d, "embeddings"), 2).select("vec_id", F.col("coordinates")[0].alias("x"), F.col("coordinates")[1].alias("y"))
+    return reduce.scaled(flat, ["x", "y"]).select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query()
