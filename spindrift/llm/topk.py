@@ -193,18 +193,29 @@ def walk(q: np.ndarray, q_ids: np.ndarray, kth: np.ndarray, candidates: list[tup
     return top[0][enough], top[1][enough], top[2][enough]
 
 
-def _search(width: int, k: int, turn: np.ndarray):
+def _search(width: int, k: int, block: int, turn: np.ndarray):
+    def joined(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and vectors of some blocks."""
+        return np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows]), np.concatenate([_unpacked(r["vectors"], r["size"], width) for r in rows])
+
     def apply(c: pa.Table, q: pa.Table) -> pa.Table:
         names, cells = ["query", "query_id", "vec_id", "score"], [np.zeros(0, np.int64)] * 4
         if c.num_rows and q.num_rows:
-            rows = sorted(c.to_pylist(), key=lambda r: (-r["longest"], r["block"]))
-            candidates = [(r["longest"], np.frombuffer(r["ids"], np.int64), _unpacked(r["vectors"], r["size"], width)) for r in rows]
-            found = []
-            for r in q.to_pylist():
-                ids, vectors = np.frombuffer(r["ids"], np.int64), _unpacked(r["vectors"], r["size"], width)
-                at, vec, scores = walk(vectors, ids, np.frombuffer(r["kth"], np.int64), candidates, k, turn)
-                found.append((at + (r["q_block"] << 20), ids[at], vec, scores))
-            cells = [np.concatenate(x) for x in zip(*found, strict=True)]
+            # Neighbouring blocks that range partitions have left small are walked as one.
+            runs, room = [], 0
+            for r in sorted(c.to_pylist(), key=lambda r: (-r["longest"], r["block"])):
+                n = len(r["ids"]) // 8
+                if n > room:
+                    runs.append([])
+                    room = block
+                runs[-1].append(r)
+                room -= n
+            candidates = [(run[0]["longest"], *joined(run)) for run in runs]
+            rows = q.to_pylist()
+            ids, vectors = joined(rows)
+            number = np.concatenate([np.arange(len(r["ids"]) // 8) + (r["q_block"] << 20) for r in rows])
+            at, vec, scores = walk(vectors, ids, np.concatenate([np.frombuffer(r["kth"], np.int64) for r in rows]), candidates, k, turn)
+            cells = [number[at], ids[at], vec, scores]
         return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(names, cells, strict=True)})
 
     return apply
@@ -249,7 +260,7 @@ def inner_top_k(df: DataFrame, is_query: Column, k: int = 20, factor: float = 64
         pairs = materialize(own.join(least, F.col("longest") * (1 + 1e-9) >= F.col("least")).select("g", "s"), "pairs")
         asked = pairs.toDF("of_g", "of_s").join(q.join(bound.select("q_block", "kth"), "q_block"), F.col("of_s") == F.col("s"))
         sides = pairs.join(c, "g").groupBy("g", "s"), asked.groupBy("of_g", "of_s")
-        found = sides[0].cogroup(sides[1]).applyInArrow(_search(width, k, turn), schema)
+        found = sides[0].cogroup(sides[1]).applyInArrow(_search(width, k, block, turn), schema)
         top = materialize(top.union(found).withColumn("rank", rank).where(F.col("rank") <= k).select("query", "query_id", "vec_id", "score"), "top")
         start = 2 * start + 1
     return top.withColumn("rank", rank).select("query_id", "rank", "vec_id", "score")
