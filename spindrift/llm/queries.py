@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, partenum, phrases, pii, topk, toxicity, urlfilter, viterbi
+from . import langid, lines, media, mixing, partenum, phrases, pii, topk, toxicity, urlfilter, viterbi
 from .common import table, utf8
 
 
@@ -104,6 +104,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "fetched_at", "blocked", F.array_join("categories", ",").alias("categories"), F.array_join("matched", ",").alias("matched"))
 
 
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_language": op2_language,
@@ -115,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_jaccard": op9_jaccard,
     "op10_url_filter": op10_url_filter,
+    "op11_line_rules": op11_line_rules,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_repeats": """
@@ -172,4 +177,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT p.page_id, p.url, p.fetched_at, count(hits.key) > 0 AS blocked,
                coalesce(string_agg(DISTINCT category, ',' ORDER BY category), '') AS categories, coalesce(string_agg(DISTINCT key, ',' ORDER BY key), '') AS matched
         FROM p LEFT JOIN hits ON hits.page_id = p.page_id AND hits.url = p.url GROUP BY p.page_id, p.url, p.fetched_at""",
+    "op11_line_rules": r"""
+        WITH d AS (SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT n, unnest(w) AS word, unnest(range(len(w))) AS i FROM (SELECT n, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d)),
+        s AS (SELECT n, i, string_agg(word, ' ') OVER o AS seq, count(*) OVER o AS k FROM w WINDOW o AS (PARTITION BY n ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+        again AS (SELECT n, i FROM (SELECT n, i, count(*) OVER (PARTITION BY n, seq) AS times FROM s WHERE k = 5) WHERE times > 1),
+        marked AS (SELECT w.n, count(again.i) OVER (PARTITION BY w.n ORDER BY w.i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > 0 AS twice FROM w LEFT JOIN again USING (n, i)),
+        repeats AS (SELECT n, count(*) FILTER (twice) AS n_repeat_words FROM marked GROUP BY n),
+        l AS (SELECT n, source, t, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS own FROM (SELECT n, source, t, unnest(string_split(t, chr(10))) AS line FROM d)),
+        x AS (SELECT n, source, t, line, len(own) AS words, translate(array_to_string(own, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM l WHERE len(own) > 0),
+        dups AS (SELECT n, count(*) - count(DISTINCT line) AS n_dup_lines FROM x GROUP BY n),
+        hosts AS (SELECT source, count(DISTINCT t) AS texts FROM x GROUP BY source),
+        above AS (SELECT x.source, norm FROM x JOIN hosts ON x.source IS NOT DISTINCT FROM hosts.source GROUP BY x.source, norm, texts HAVING count(DISTINCT t) > 10 AND count(DISTINCT t) * 1000 > texts),
+        gone AS (SELECT n, sum(words) AS removed FROM x JOIN above ON x.source IS NOT DISTINCT FROM above.source AND x.norm = above.norm GROUP BY n),
+        m AS (SELECT doc_id, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(removed, 0) AS BIGINT) AS removed
+              FROM d LEFT JOIN dups USING (n) LEFT JOIN repeats USING (n) LEFT JOIN gone USING (n)),
+        f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_words - removed AS n_left FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_left >= 10 AND 100 * n_left >= 20 * n_words AS kept, n_left FROM f""",
 }
