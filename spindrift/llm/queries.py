@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, media, mixing, partenum, phrases, pii, topk, toxicity, urlfilter, viterbi
+from . import divergence, langid, lines, media, mixing, partenum, phrases, pii, topk, toxicity, urlfilter, viterbi
 from .common import table, utf8
 
 
@@ -108,6 +108,10 @@ def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_rules(table(spark, sf_dir, "documents"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_language": op2_language,
@@ -120,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard": op9_jaccard,
     "op10_url_filter": op10_url_filter,
     "op11_line_rules": op11_line_rules,
+    "op13_divergence": op13_divergence,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_repeats": """
@@ -195,4 +200,24 @@ ORACLE_SQL: dict[str, str] = {
               FROM d LEFT JOIN dups USING (n) LEFT JOIN repeats USING (n) LEFT JOIN gone USING (n)),
         f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_words - removed AS n_left FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_left >= 10 AND 100 * n_left >= 20 * n_words AS kept, n_left FROM f""",
+    "op13_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT n, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT n) >= 3),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+        lc AS (SELECT lang, term, sum(c) AS c FROM c GROUP BY ALL),
+        n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+        ln AS (SELECT lang, sum(c) AS n FROM lc GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, CAST(1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 1) // (coalesce(n.n, 0) + v.v) AS HUGEINT) AS p
+              FROM groups g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        lp AS (SELECT k.lang, k.term, CAST(1 + 1000000000::HUGEINT * (coalesce(lc.c, 0) + 1) // (ln.n + v.v) AS HUGEINT) AS p FROM kept k JOIN v USING (lang) JOIN ln USING (lang) JOIN lc ON lc.lang = k.lang AND lc.term = k.term),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+                  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+                    ON s.lang = a.lang AND s.source = a.source AND s.other = b.source),
+        terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST((p.p - lp.p) * (p.p - lp.p) // lp.p AS BIGINT) AS value FROM p JOIN lp ON lp.lang = p.lang AND lp.term = p.term WHERE p.c > 0 AND p.p > lp.p),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200""",
 }
