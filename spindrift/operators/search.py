@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_literally
 from ..functions.vector import cosine_similarity, doubles, norm
+from ..shared import stored
+from .neighbors import Index
 
 BLOCK = 2048
 
@@ -76,19 +78,33 @@ def _by_blocks(df: DataFrame, id: str, vector: str, block: int, choose: Callable
 def knn(df: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(id, neighbor_id, distance, rank): the k nearest other rows by cosine distance, ties by smaller id.
 
-    Rows are packed into blocks; each pair of blocks is one task's matrix product and sends on k candidates a row, so
-    neither all pairs of rows nor all rows are ever in one place. Rows without length are at distance 1 from all.
+    Equal vectors are one entry of a pivot index (neighbors.Index), with their k + 1 smallest ids, so copies cost no
+    more than one row until the result. Rows without length are at distance 1 from all and are answered by the smallest
+    ids; vectors that are null or not finite are nobody's neighbours and have none.
     """
-
-    def nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        take = np.argsort(d, axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(a)), take.shape[1])
-        keep = np.isfinite(d[row, take.reshape(-1)])
-        return row[keep], take.reshape(-1)[keep]
-
-    found = _by_blocks(df, id, vector, block, nearest)
-    rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "neighbor_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("id", id)
+    length = norm(F.col("v"))
+    rows = df.select(F.col(id).cast("long").alias("id"), doubles(F.col(vector)).alias("v")).where("v is not null and id is not null")
+    rows = stored(rows.where(~F.isnan(length) & (length < float("inf"))).withColumn("flat", length == 0), "vectors")
+    first = F.row_number().over(W.partitionBy("v").orderBy("id"))
+    classes = rows.select("id", "v").withColumn("n", first).where(F.col("n") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    classes = stored(classes.select(F.col("ids")[0].alias("rep"), "v", "ids"), "classes")
+    own = stored(rows.join(classes.select(F.col("v").alias("w"), "rep"), F.col("v") == F.col("w")).select("id", "rep", "flat"), "rows")
+    near = Index(classes.select(F.col("rep").alias("id"), "v"), True, block).knn(k).select(F.col("id").alias("of"), F.col("neighbor_id").alias("rep"), "distance")
+    ids = classes.select("rep", "ids")
+    others = near.join(ids, "rep").select("of", F.explode("ids").alias("neighbor_id"), "distance")
+    # A row's nearest are its copies and the nearest of other classes; those of a class are ranked once.
+    best = F.row_number().over(W.partitionBy("of").orderBy("distance", "neighbor_id"))
+    ranked = others.withColumn("n", best).where(F.col("n") <= k).groupBy("of").agg(F.collect_list(F.struct("distance", "neighbor_id")).alias("near"))
+    lists = stored(ids.join(ranked, F.col("rep") == F.col("of"), "left").select(F.col("rep").alias("class"), "ids", F.coalesce("near", F.array().cast("array<struct<distance:double,neighbor_id:bigint>>")).alias("near")), "lists")
+    of_rows = own.where("not flat").join(lists, F.col("rep") == F.col("class"))
+    copies = F.transform(F.filter("ids", lambda x: x != F.col("id")), lambda x: F.struct(F.lit(0.0).alias("distance"), x.alias("neighbor_id")))
+    # Rows without length are as far from all: their nearest are the smallest ids.
+    smallest = rows.select("id").orderBy("id").limit(k + 1).agg(F.collect_list("id").alias("ids"))
+    flat = own.where("flat").select("id").join(F.broadcast(smallest))  # one row
+    even = F.transform(F.filter("ids", lambda x: x != F.col("id")), lambda x: F.struct(F.lit(1.0).alias("distance"), x.alias("neighbor_id")))
+    every = of_rows.select("id", F.concat(copies, "near").alias("x")).unionByName(flat.select("id", even.alias("x")))
+    taken = every.select("id", F.posexplode(F.slice(F.array_sort("x"), 1, k)).alias("n", "x"))
+    return taken.select(F.col("id").alias(id), F.col("x.neighbor_id").alias("neighbor_id"), F.col("x.distance").alias("distance"), (F.col("n") + 1).alias("rank"))
 
 
 def links_within(df: DataFrame, reach: float, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
