@@ -111,7 +111,7 @@ class Index:
                 for s in range(0, batch.num_rows, 2048):
                     part = batch.slice(s, 2048)
                     x = metric.prepared(part.column("v").flatten().to_numpy().reshape(part.num_rows, width))
-                    d = metric.straight(x, pivots)
+                    d = np.round(metric.straight(x, pivots) / metric.scale, 9) * metric.scale
                     at = d.argmin(axis=1)
                     yield _batch(id=part.column("id"), pivot=at, away=d[np.arange(len(x)), at], v=pa.array([r.tobytes() for r in np.ascontiguousarray(x)], pa.binary()))
 

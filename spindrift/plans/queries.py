@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import errors
 from ..functions import text as tx
 from ..functions.vector import cosine_similarity, doubles
-from ..operators import augment, conversation, reduce, search, table
+from ..operators import augment, conversation, hierarchy, manifold, reduce, search, table
 from ..operators import cluster as cl
 from ..shared import shared_dir
 from ..sources import normalize, readers
@@ -350,6 +350,16 @@ def density_clusters(spark, d):
     return cl.density_clusters(read(spark, d, "embeddings"))
 
 
+@query()
+def layout_2d(spark, d):
+    return manifold.layout(read(spark, d, "embeddings")).select("vec_id", F.col("coordinates")[0].alias("x"), F.col("coordinates")[1].alias("y"))
+
+
+@query()
+def hierarchical_clusters(spark, d):
+    return hierarchy.hierarchical_clusters(read(spark, d, "embeddings"))
+
+
 @query("SELECT doc_id, CAST(length(t) AS DOUBLE) AS n_chars, CAST(length(t) - length(replace(t, ' ', '')) AS DOUBLE) AS n_spaces FROM (SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN '[empty]' ELSE text END AS t FROM documents)")
 def embed_fake(spark, d):
     texts = read(spark, d, "documents").select("doc_id", tx.embeddable(F.coalesce("text", F.lit(""))).alias("t"))

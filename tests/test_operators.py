@@ -191,7 +191,7 @@ def test_catalog_keeps_the_last_version(spark, tmp_path):
 def test_layer_from_turns(spark, n):
     rows = [(i, f"c{i % 3}", i, f"word {'x' * (i % 7)}") for i in range(n)]
     df = spark.createDataFrame(rows, "row_index long, conv string, turn long, text string")
-    points = layer.build_layer(conversation.compose(df, "conv", ["turn"], ["text"], "turn_only"), augment.EchoProvider(), k=3, min_size=2, min_samples=2)
+    points = layer.build_layer(conversation.compose(df, "conv", ["turn"], ["text"], "turn_only"), augment.EchoProvider(), k=3, min_size=2, min_samples=2, reduction="axes")
     joined = layer.layer_table(points, df, {"text": "Text"})
     assert joined.count() == n and "original_Text" in joined.columns
     assert layer.filter_from_points(points, "label = 'c1'").count() == n // 3
