@@ -145,14 +145,14 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
     """(id, size, source_size, target, taken) of every row; taken is a multiple of size."""
     rows = df.select(F.col(id).alias("id"), word_count(F.col(text)).alias("size"), F.col(source).cast("string").alias("source"))
     rows = rows.withColumn("key", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source")))
-    rows = materialize(rows, "sizes")
+    rows = materialize(rows.withColumn("n_row", F.monotonically_increasing_id()), "sizes")
     counts = rows.groupBy("key", "source", "size").agg(F.count("*").alias("n"))
     sources = counts.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = targets(sources, weights, share, most).select("key", "source_size", "target")
     plan = counts.select("key", "size", "n").join(goal, "key").groupBy("key")
     plan = materialize(plan.applyInPandas(_plan, "key string, size long, n long, source_size long, target double, whole long, chosen long"), "plan")
 
-    ranked = rows.select("id", "key", "size", F.xxhash64(F.lit(seed), "id").alias("h")).join(plan, ["key", "size"])
+    ranked = rows.select("id", "key", "size", F.when(F.col("id").isNull(), F.xxhash64(F.lit(seed), "n_row")).otherwise(F.xxhash64(F.lit(seed), "id")).alias("h")).join(plan, ["key", "size"])
     split = F.col("size").isNotNull() & (F.col("chosen") > 0) & (F.col("chosen") < F.col("n"))
     simple = ranked.where(~split).withColumn("copies", F.col("whole") + (F.col("chosen") > 0).cast("long"))
     some = ranked.where(split).withColumn("bucket", F.pmod("h", F.ceil(F.col("n") / BUCKET)))

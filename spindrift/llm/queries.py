@@ -12,7 +12,8 @@ from .common import table, utf8
 
 
 def bucket(n: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+    """crc32 of the id's text mod n; a null id counts as empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +162,7 @@ ORACLE_SQL: dict[str, str] = {
     "op10_url_filter": r"""
         WITH p AS (
             SELECT page_id, url, CAST(page_id * 7 % 360 AS INTEGER) AS fetched_at,
-                   nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') AS host,
+                   nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]+)', 1), '\.+$', ''), '') AS host,
                    [x FOR x IN string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') IF x <> ''] AS parts
             FROM pages),
         listed AS (
@@ -179,7 +180,7 @@ ORACLE_SQL: dict[str, str] = {
         valid AS (SELECT *, lead(day) OVER (PARTITION BY key, category ORDER BY day) AS until FROM changes WHERE active <> was),
         asked AS (
             SELECT page_id, url, fetched_at, unnest(list_concat(
-                [array_to_string(string_split(host, '.')[i:], '.') FOR i IN range(1, len(string_split(host, '.')) + 1)],
+                CASE WHEN regexp_full_match(host, '\[.*|[0-9]+(\.[0-9]+){3}') THEN [host] ELSE [array_to_string(string_split(host, '.')[i:], '.') FOR i IN range(1, len(string_split(host, '.')) + 1)] END,
                 [host || '/' || array_to_string(parts[1:i], '/') FOR i IN range(1, len(parts) + 1)])) AS key
             FROM p WHERE host IS NOT NULL),
         hits AS (

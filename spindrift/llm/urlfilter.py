@@ -7,7 +7,8 @@ by the capture's time.
 
 Defined results: null URLs and URLs without a host match nothing and are allowed; captures without a time match nothing;
 entries of one date are one step, and a removal on the same date as an addition wins; additions of an active entry and
-removals of an inactive one change nothing; list rows without key, category or date are left out; repeated captures come
+removals of an inactive one change nothing; a key's host counts in lower case; addresses match as a whole, without parent
+domains; list rows without key, category or date are left out; repeated captures come
 back repeated. Capture columns named like the results are replaced.
 """
 
@@ -24,12 +25,20 @@ BROADCAST_ROWS = 500_000
 
 
 def host(url: Column) -> Column:
-    """Lower-case host, without user, port and final dot; null if there is none."""
-    h = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    """Lower-case host, without user, port and final dot; null if there is none.
+
+    User data ends at the last @ before the path; a bracketed address is a host with its brackets.
+    """
+    h = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]+)", 1)
     h = F.regexp_replace(h, r"\.+$", "")
     return F.when(h != "", h)
 
 
+def is_address(host: Column) -> Column:
+    """Whether a host is a bracketed or dotted address, which has no parent domains."""
+    return host.rlike(r"^(\[.*|[0-9]+(\.[0-9]+){3})$")
+
+
 def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
@@ -42,7 +51,7 @@ def keys(url: Column, deepest: Column) -> Column:
     h, p = host(url), path(url)
     labels, parts = F.split(h, r"\."), F.filter(F.split(p, "/"), lambda x: x != "")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    domains = F.when(is_address(h), F.array(h)).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), ".")))
     depth = F.least(F.size(parts), deepest)
     prefixes = F.when(depth > 0, F.transform(F.sequence(F.lit(1), depth), lambda i: F.concat(h, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))))
     return F.when(h.isNotNull(), F.array_distinct(F.concat(domains, F.coalesce(prefixes, F.array().cast("array<string>")))))
@@ -51,6 +60,8 @@ def keys(url: Column, deepest: Column) -> Column:
 def intervals(log: DataFrame) -> DataFrame:
     """(key, category, valid_from, valid_to) from (key, category, action, at); valid_to is null while an entry is active."""
     steps = log.where("key is not null and category is not null and at is not null and action in ('add', 'remove')")
+    of = F.substring_index("key", "/", 1)
+    steps = steps.withColumn("key", F.concat(F.lower(of), F.substr("key", F.length(of) + 1)))
     steps = steps.groupBy("key", "category", "at").agg(F.min(F.col("action") == "add").alias("on"))
     w = W.partitionBy("key", "category").orderBy("at")
     changed = steps.withColumn("was", F.coalesce(F.lag("on").over(w), F.lit(False))).where("on <> was")

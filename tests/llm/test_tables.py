@@ -303,3 +303,21 @@ def test_stages_take_empty_tables_odd_rows_and_clashing_columns(spark, name):
         assert set(texts) <= {(r[0], r[1]) for r in rows} and (3, long) in texts
     if name == "token_ids":
         assert len(out) == len(rows) and all(r["round_trip"] in (True, None) for r in out)
+
+
+def test_hosts_of_addresses_and_users(spark):
+    urls = {
+        "http://[2001:db8::1]/a": "[2001:db8::1]", "http://[2001:DB8::2]:80/b": "[2001:db8::2]", "http://x@[::1]:1?q": "[::1]", "http://user:p@ss@h.org/x": "h.org", "http://h.org?a@b": "h.org",
+        "http://h.org/a@b.com": "h.org", "HTTP://Ex.COM.:8080": "ex.com", "http://1.2.3.4:9/": "1.2.3.4", "http:///a": None, "http://@": None, "http://a:b@c.d": "c.d", "nothing": None, None: None,
+    }
+    df = spark.createDataFrame([(u, 5) for u in urls], "url string, fetched_at int")
+    assert {r[0]: r[1] for r in df.select("url", urlfilter.host(df["url"])).collect()} == urls
+    log = spark.createDataFrame([(k, "c", "add", 0) for k in ("EX.com", "3.4", "4", "[2001:db8::1]", "H.org/x", "h.org/A")], "key string, category string, action string, at int")
+    found = {r["url"]: r["matched"] for r in urlfilter.evaluate(df, log).collect()}
+    assert {u: m for u, m in found.items() if m} == {"http://[2001:db8::1]/a": ["[2001:db8::1]"], "HTTP://Ex.COM.:8080": ["ex.com"], "http://user:p@ss@h.org/x": ["h.org/x"]}
+
+
+def test_rows_without_an_id_are_mixed_from_many_buckets(spark):
+    df = spark.createDataFrame([(None, "a b", "s")] * 3000 + [(None, "c " * 40, "t")] * 100, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert sum(r["taken"] for r in got if r["size"] == 2) == pytest.approx(next(r["target"] for r in got if r["size"] == 2), abs=2)
