@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shared import stored
+from ..shared import shared_dir, stored
 
 RESERVED = ("id", "x", "y", "text", "label", "neighbors")
 ORDERING = ("=", "!=", ">", "<", ">=", "<=", "IS NULL", "IS NOT NULL")
@@ -179,3 +181,31 @@ def export_csv(df: DataFrame, path: str, names: Mapping[str, str] | None = None,
     shown = df.select(*(columns or df.columns))
     texts = shown.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias((names or {}).get(c, c)) for c in shown.columns])
     texts.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+
+
+class PageIndex:
+    """Rows stored in the order of their pages, so that any page reads the one or two ranges that hold it.
+
+    Ranges are Parquet partitions of the shared folder; what is known of them is a count each.
+    """
+
+    def __init__(self, df: DataFrame, by: str, direction: str = "asc", tie: str = "row_index", ranges: int | None = None) -> None:
+        self.order = [F.col(by).desc_nulls_last() if direction == "desc" else F.col(by).asc_nulls_last(), F.col(tie).asc_nulls_last()]
+        n = (ranges,) if ranges else ()
+        ranged = df.repartitionByRange(*n, *self.order).withColumn("__range", F.spark_partition_id()).sortWithinPartitions(*self.order)
+        spark = df.sparkSession
+        self.path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+        ranged.write.partitionBy("__range").parquet(self.path)
+        self.spark, self.schema = spark, df.schema
+        counts = spark.read.schema(ranged.schema).parquet(self.path).groupBy("__range").count().orderBy("__range").collect()  # one a range
+        ends = list(accumulate(r["count"] for r in counts))
+        self.ranges = [(r["__range"], end - r["count"], end) for r, end in zip(counts, ends, strict=True)]
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """Page `number`, from 1, of the rows in order; past the last one it is empty."""
+        start = (number - 1) * size
+        held = [(r, begin) for r, begin, end in self.ranges if begin < start + size and end > start]
+        if not held:
+            return self.spark.createDataFrame([], self.schema)
+        some = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/__range={r}" for r, _ in held])
+        return some.orderBy(*self.order).offset(start - held[0][1]).limit(size)

@@ -15,6 +15,7 @@ from ..operators import augment, conversation, hierarchy, manifold, reduce, sear
 from ..operators import cluster as cl
 from ..shared import shared_dir
 from ..sources import normalize, readers
+from ..streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +45,13 @@ def page_orders(spark, d):
     return table.page(read(spark, d, "orders"), 3, 100, "o_totalprice", "desc", "o_orderkey", ["o_orderkey", "o_totalprice"])
 
 
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey * 8 + l_linenumber LIMIT 25 OFFSET (SELECT count(*) // 50 * 25 FROM lineitem)")
+def page_deep(spark, d):
+    rows = read(spark, d, "lineitem").withColumn("row_index", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    index = table.PageIndex(rows, "l_extendedprice", "desc")
+    return index.page(rows.count() // 50 + 1, 25).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
 def _filter(name: str, source: str, columns: list[str], rules: list[tuple], where: str) -> None:
     @query(f"SELECT {', '.join(columns)} FROM {source} WHERE {where}", name)
     def run(spark, d):
@@ -224,6 +232,18 @@ def normalize_messages(spark, d):
     return conversation.normalize_messages(read(spark, d, "conversations"), "conv_id", ["turn"], "role", "text")
 
 
+@query(ORACLE["normalize_messages"])
+def stream_turns(spark, d):
+    """The same turns from a stream of files, some conversations' turns in each."""
+    c = read(spark, d, "conversations").withColumn("part", F.floor(F.col("turn") / 3))
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for part in [r["part"] for r in c.select("part").distinct().orderBy("part").collect()]:
+        c.where(F.col("part") == part).coalesce(1).write.mode("append").json(f"{base}/in")
+    stream = ingest.turns(spark.readStream.schema("conv_id long, turn long, role string, text string").option("maxFilesPerTrigger", 1).json(f"{base}/in"), "conv_id", "turn", "role", "text")
+    ingest.append(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
 def _records(spark, d):
     c = read(spark, d, "conversations")
     return c.select(F.when(F.col("turn") % 5 != 4, F.concat_ws("_", "conv_id", "turn")).alias("id"), F.when(F.col("turn") % 3 == 0, F.lit("2024-01-01T00:00:00.1Z")).otherwise(F.lit("soon")).alias("timestamp"), F.when(F.col("role") != "system", F.col("text")).alias("user_input"), F.col("text").alias("agent_response"))
