@@ -65,10 +65,12 @@ def test_memory_of_near_copies_grows_in_proportion():
                 w[rng.randrange(300)] = f"x{rng.random()}"
             texts.append(" ".join(w).encode())
         texts = pa.array(texts, pa.binary())
-        x = phrases.Words(texts, 35, 8)
-        hashes, times = np.unique(phrases.sequence_hashes(x.words, 35, 2)[x.valid], return_counts=True)
+        x = phrases.Words(texts, 35)
+        at = np.flatnonzero(x.valid)
+        hashes, times = np.unique(x.hashes(at), return_counts=True)
+        found = x.text(np.unique(x.picks(8)[1][at]), 8)
         tracemalloc.start()
-        gone = phrases.covered(x, texts, hashes[times > 1], 35, 8)
+        gone = phrases.covered(x, hashes[times > 1], found, 8)
         most = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert gone.mean() > 0.5
@@ -77,6 +79,25 @@ def test_memory_of_near_copies_grows_in_proportion():
     assert peak(800) < 2.5 * peak(400)
 
 
+def test_only_what_the_automaton_finds_is_removed(monkeypatch):
+    rng = random.Random(4)
+    passages = [[f"p{k}_{i}" for i in range(8)] for k in range(3)]
+    texts = [" ".join([f"w{rng.random()}" for _ in range(5)] + p + [f"v{rng.random()}"]) for p in passages for _ in range(2)]
+    x = phrases.Words(pa.array([t.encode() for t in texts], pa.binary()), 6)
+    at = np.flatnonzero(x.valid)
+    hashes, times = np.unique(x.hashes(at), return_counts=True)
+    repeated, picked = hashes[times > 1], x.picks(2)[1]
+    words = [sorted({w for w in x.text(np.unique(picked[a : a + 3]), 2)}) for a in (5, 33, 61)]  # of the windows in each passage
+    assert sum(phrases.covered(x, repeated, [w for ws in words for w in ws], 2)) == 48
+    for k in range(3):
+        gone = phrases.covered(x, repeated, words[k], 2)
+        assert np.flatnonzero(gone).tolist() == [28 * k + a + i for a in (5, 19) for i in range(8)]
+    assert not phrases.covered(x, repeated, [" p0_0 p1_1 ", " nothing here "], 2).any() and not phrases.covered(x, repeated, [], 2).any()
+    assert not phrases.covered(x, np.sort(hashes[times == 1])[:0], words[0], 2).any()
+    monkeypatch.setattr(phrases, "_hits", lambda x, found: np.zeros(len(x.words), bool))
+    assert not phrases.covered(x, repeated, [w for ws in words for w in ws], 2).any()
+
+
 def test_repeated_passages_of_no_rows(spark):
     assert phrases.remove_repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
