@@ -32,6 +32,8 @@ from .table import with_row_index
 
 BUCKET = 1 << 18
 """Edges of a bucket, about; more only where so many edges are of one weight."""
+LISTED = 15
+"""Near neighbours that are known of each vertex, at least; they decide most of its least edges."""
 LEAST = 10.0**-DIGITS
 """Distances below it count as it where one is divided by them."""
 _EDGE = "component long, weight double, low long, high long"
@@ -47,7 +49,7 @@ def vertices(df: DataFrame, id: str, vector: str) -> tuple[DataFrame, DataFrame]
 
 
 def core_distances(found: DataFrame, near: DataFrame, min_samples: int) -> DataFrame:
-    """(rep, core): near is each vertex's min_samples nearest others. Infinite where there are too few rows."""
+    """(rep, core): near is each vertex's nearest others, min_samples or more. Infinite where there are too few rows."""
     lists = near.join(found.select(F.col("rep").alias("neighbor_id"), "copies"), "neighbor_id").groupBy(F.col("id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("distance", "copies"))).alias("near"))
     start = F.struct((F.col("copies") - 1).alias("n"), F.when(F.col("copies") > min_samples, 0.0).otherwise(float("inf")).alias("core"))
     step = lambda s, x: F.struct((s["n"] + x["copies"]).alias("n"), F.when(s["n"] >= min_samples, s["core"]).when(s["n"] + x["copies"] >= min_samples, x["distance"]).otherwise(float("inf")).alias("core"))
@@ -330,7 +332,7 @@ def hierarchical_clusters(df: DataFrame, id: str = "vec_id", vector: str = "embe
     ids = df.select(F.col(id).cast("long").alias("id")).where("id is not null").distinct()
     found, rows = vertices(df, id, vector)
     index = Index(found.select(F.col("rep").alias("id"), "v"), cosine, block)
-    near = stored(index.knn(min_samples), "near")
+    near = stored(index.knn(max(LISTED, 3 * min_samples)), "near")
     core = stored(core_distances(found, near, min_samples), "cores")
     tree = spanning_tree(index, near, core)
     falls, clusters = condensed(tree, found.select("rep", "copies").join(core, "rep"), min_size, single, bucket)

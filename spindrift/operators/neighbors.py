@@ -67,9 +67,15 @@ class Metric:
     def distances(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         if self.cosine:
             return np.round(1 - x @ y.T, DIGITS)
-        squares = np.zeros((len(x), len(y)))
-        for a, b in zip(x.T, y.T, strict=True):
-            squares += (a[:, None] - b[None, :]) ** 2
+        middle = x.mean(axis=0) if len(x) else 0.0
+        x, y = x - middle, y - middle
+        sizes = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+        squares = sizes - 2 * (x @ y.T)
+        # Where the products cancel out, the differences themselves are squared.
+        i, j = np.nonzero(squares < 1e-3 * sizes)
+        for s in range(0, len(i), 1 << 15):
+            at = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
+            squares[at] = ((x[at[0]] - y[at[1]]) ** 2).sum(axis=1)
         return np.round(np.sqrt(squares), DIGITS)
 
     def reach(self, distance: np.ndarray) -> np.ndarray:
