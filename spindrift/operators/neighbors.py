@@ -27,7 +27,9 @@ from ..shared import stored
 BLOCK = 1024
 """Rows of a block, at most."""
 TOGETHER = 3
-"""Blocks of a task are taken 2**TOGETHER at a time from either side."""
+"""2**TOGETHER blocks of rows that ask are a task's."""
+SLAB_BYTES = 96 << 20
+"""They meet other blocks of about so many bytes in one task, so that a row's results come from few tasks."""
 PIVOT_BYTES = 32 << 20
 DIGITS = 12
 """Decimal places of distances."""
@@ -183,7 +185,8 @@ class Index:
     def meet(self, pairs: DataFrame, asked: DataFrame, others: DataFrame, search: Callable[[dict, dict], dict[str, np.ndarray] | None], schema: str, merge: Callable[[dict], dict] | None = None) -> DataFrame:
         """The rows that search(block a, block b) makes of all pairs; merge: a table of all rows of a task made smaller."""
         names = [c.split()[0] for c in schema.split(", ")]
-        g = F.shiftright("a", TOGETHER).alias("ga"), F.shiftright("b", TOGETHER).alias("gb")
+        slabs = max(1, -(-self.n * self.metric.width * 8 // SLAB_BYTES))
+        g = F.shiftright("a", TOGETHER).alias("ga"), F.pmod(F.xxhash64("b"), F.lit(slabs)).alias("gb")
         left = pairs.select(*g, "a").distinct().join(asked, F.col("a") == F.col("block"))
         right = pairs.groupBy(*g, "b").agg(F.collect_list("a").alias("of")).join(others, F.col("b") == F.col("block")).withColumnsRenamed({"ga": "ra", "gb": "rb"})
 
