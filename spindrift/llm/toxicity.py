@@ -2,11 +2,14 @@
 
 Labelled training rows give terms (words, word beginnings, and beginnings that several words have) that occur with one
 label far more often than with the other. The terms are dealt into many voters: lexicon voters of words, pattern voters of
-beginnings, for either class, each of which votes for its class or abstains on a text. The given label is one more voter.
-A generative label model starts at the given labels and estimates by EM how often each voter, the given label too, votes
-under either class, and how far voters repeat each other within a class; voters that repeat each other count once. Its
-posterior probabilities, in which the voters can overrule a given label, are the labels that a linear classifier of the
-voters' terms is trained on.
+beginnings, for either class, each of which votes for its class or abstains on a text. Each training row is voted on with
+terms of the other rows only, in FOLDS parts, so that the votes don't repeat the row's own label.
+
+A generative label model estimates by EM, starting at the given labels, how often each voter votes under either class and
+how far voters repeat each other within a class; voters that repeat each other share their weight. The voters' joint
+evidence is brought to the scale of the labels, because many voters repeat each other in more than pairs. The given label
+is a voter of its own whose error rates by class are estimated against that evidence. The posterior probabilities, in which
+the voters can overrule a given label, are the labels that a linear classifier of the voters' terms is trained on.
 
 The training set is bounded: at most about SAMPLE rows of each label, chosen by a seeded hash of their ids, with texts of
 SAMPLE_BYTES at most. Everything else covers all rows.
@@ -35,8 +38,11 @@ SAMPLE = 2500
 SAMPLE_BYTES = 64 << 10
 LEAST = 3
 """Training rows that have a term at least, for it to count."""
-VOTERS = 40
+VOTERS = 10
 """Voters of each family."""
+FOLDS = 5
+GIVEN_ERROR, GIVEN_ROWS = 0.003, 500
+"""How often given labels are wrong, before there is evidence, and how many rows that assumption weighs as."""
 TERMS = 800
 """Most terms of a family."""
 REPEATING = 0.5
@@ -84,10 +90,12 @@ class Terms:
         return np.bincount(self.col, y[self.row], len(self.names))
 
 
-def lexicons(x: Terms, y: np.ndarray) -> list[np.ndarray]:
-    """The voters' terms: for toxic and for clean, families of words, of beginnings and of repeated beginnings."""
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    in1, in0 = x.sums(y), x.sums(1 - y)
+def lexicons(x: Terms, y: np.ndarray, rows: np.ndarray | None = None) -> list[np.ndarray]:
+    """The voters' terms, as they are in some rows: for toxic and for clean, families of words, of beginnings and of repeated
+    beginnings. A voter's place in the list is its part, the same whatever the rows; it may have no terms."""
+    on = np.ones(len(y)) if rows is None else rows.astype(float)
+    n1, n0 = max(1, int((y * on).sum())), max(1, int(((1 - y) * on).sum()))
+    in1, in0 = x.sums(y * on), x.sums((1 - y) * on)
     family = np.array([min(2, len(t) - len(t.rstrip("~"))) for t in x.names], np.int64)
     out = []
     for own, other, n, m in ((in1, in0, n1, n0), (in0, in1, n0, n1)):
@@ -95,10 +103,20 @@ def lexicons(x: Terms, y: np.ndarray) -> list[np.ndarray]:
             found = np.flatnonzero((family == f) & (own >= LEAST) & ((own + 0.5) / n >= 8 * (other + 0.5) / m))
             best = found[np.argsort(-own[found], kind="stable")][:TERMS]
             # Neighbours in rank go to different voters, so that each has strong and weak terms.
-            out += [best[i::VOTERS] for i in range(min(VOTERS, len(best)))]
+            out += [best[i::VOTERS] for i in range(VOTERS)]
     return out
 
 
+def fair_votes(x: Terms, y: np.ndarray, folds: int = FOLDS) -> np.ndarray:
+    """Votes on each row by voters whose terms were found in the other folds' rows, so that no row votes for its own label."""
+    fold = np.random.default_rng(0).permutation(len(y)) % folds
+    out: np.ndarray | None = None
+    for f in range(folds):
+        cast = votes(x, lexicons(x, y, fold != f))
+        out = cast if out is None else np.where((fold == f)[:, None], cast, out)
+    return out[:, out.any(axis=0)]
+
+
 def votes(x: Terms, voters: Sequence[np.ndarray]) -> np.ndarray:
     """Texts by voters: 1 where a voter finds one of its terms."""
     out = np.zeros((len(x.rows), len(voters)))
@@ -121,6 +139,12 @@ class LabelModel:
     repeats: np.ndarray
     posterior: np.ndarray
 
+    def evidence(self, v: np.ndarray, repeating: float = REPEATING) -> np.ndarray:
+        """The log-odds of label 1 that the votes give."""
+        weight = 1 / (1 + np.where(self.repeats > repeating, self.repeats, 0).sum(axis=1))
+        yes, no = weight * np.log(self.rates[1] / self.rates[0]), weight * np.log((1 - self.rates[1]) / (1 - self.rates[0]))
+        return v @ yes + (1 - v) @ no
+
     @property
     def accuracies(self) -> np.ndarray:
         """By voter, how often its class is right when it votes; its class is the one that it votes under more often."""
@@ -143,13 +167,38 @@ def label_model(v: np.ndarray, start: np.ndarray, rounds: int = 25, repeating: f
             spread = ((v - r) * w[:, None]).T @ (v - r) / max(1.0, w.sum())
             repeats += part * spread / np.sqrt(np.outer(r * (1 - r), r * (1 - r)))
         np.fill_diagonal(repeats, 0)
-        weight = 1 / (1 + np.where(repeats > repeating, repeats, 0).sum(axis=1))
-        yes, no = weight * np.log(rates[1] / rates[0]), weight * np.log((1 - rates[1]) / (1 - rates[0]))
-        odds = v @ yes + (1 - v) @ no + np.log(share / (1 - share))
-        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        found = LabelModel(share, rates, repeats, p)
+        p = _logistic(found.evidence(v, repeating) + np.log(share / (1 - share)))
     return LabelModel(share, rates, repeats, p)
 
 
+def _logistic(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
+def calibrated(evidence: np.ndarray, y: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Odds a * evidence + b that fit the labels best. What voters repeat of each other beyond their pairs makes a small."""
+    at = np.array([0.1, 0.0])
+    x = np.column_stack([evidence, np.ones(len(y))])
+    for _ in range(rounds):
+        p = _logistic(x @ at)
+        at -= np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - y))
+        at = np.clip(at, [0, -30], [10, 30])
+    return x @ at
+
+
+def with_given(odds: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors of label 1 from the voters' odds and the given label, and that one's error rates by class.
+
+    The given label is a voter too; its rates are estimated, from a prior of GIVEN_ERROR as of GIVEN_ROWS rows.
+    """
+    rates = np.array([GIVEN_ERROR, GIVEN_ERROR])
+    for _ in range(rounds):
+        p = _logistic(odds + np.where(y == 1, np.log((1 - rates[1]) / rates[0]), np.log(rates[1] / (1 - rates[0]))))
+        rates = np.array([(((1 - p) * y).sum() + GIVEN_ERROR * GIVEN_ROWS) / ((1 - p).sum() + GIVEN_ROWS), ((p * (1 - y)).sum() + GIVEN_ERROR * GIVEN_ROWS) / (p.sum() + GIVEN_ROWS)])
+    return p, rates
+
+
 def linear(x: Terms, posterior: np.ndarray, used: np.ndarray, l2: float = L2, rounds: int = ROUNDS) -> ToxicityModel:
     """Logistic regression on the used terms, by gradient steps that are scaled for each term."""
     n, m = max(1, len(x.rows)), len(used)
@@ -202,11 +251,17 @@ def train(labelled: DataFrame, id: str = "doc_id", text: str = "text", label: st
     if len(set(y.tolist())) < 2:
         return ToxicityModel(bias=float(np.log(counts[1] / counts[0])))
     x = Terms([r["text"] for r in taken])
-    voters = lexicons(x, y)
-    if not voters:
+    used = np.unique(np.concatenate(lexicons(x, y)))
+    if not len(used):
         return ToxicityModel(bias=float(np.log(counts[1] / counts[0])))
-    found = label_model(np.column_stack([votes(x, voters), y]), y)
-    return linear(x, found.posterior, np.unique(np.concatenate(voters)))
+    return linear(x, posterior(x, y), used)
+
+
+def posterior(x: Terms, y: np.ndarray) -> np.ndarray:
+    """The probability of label 1 of each training row, by all voters and the given label."""
+    v = fair_votes(x, y)
+    odds = calibrated(label_model(v, y).evidence(v), y) if v.shape[1] else np.full(len(y), np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3)))
+    return with_given(odds, y)[0]
 
 
 class Scorer:
