@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.errors import error_class
+from ..functions.templates import Prompt
 from ..functions.text import field, interpolate, lenient_json, schema_prompt, violations
 
 CONCURRENCY = 5
@@ -76,6 +77,13 @@ def answer(df: DataFrame, prompt: Column, provider: Provider, key: str = "row_in
     return asked.mapInPandas(apply, f"`{key}` {kind}, content string, error string")
 
 
+def filled_prompts(df: DataFrame, prompt: Prompt, out: str = "prompt") -> DataFrame:
+    """df with the prompt of a template document filled for each row; it is an error if a required variable has no column."""
+    if not prompt.valid:
+        raise ValueError(f"no column for {', '.join(v['name'] for v in prompt.unmapped)}")
+    return df.withColumn(out, interpolate(prompt.text, df.schema))
+
+
 def model_column(df: DataFrame, template: str, provider: Provider, key: str = "row_index", batch: int = CONCURRENCY) -> DataFrame:
     """(key, value, status, error, error_type) of each row; a failed cell has no value, its error is metadata."""
     out = answer(df, interpolate(template, df.schema), provider, key, batch)

@@ -121,6 +121,15 @@ def bulk_update(df: DataFrame, updates: DataFrame, column: str, key: str = "row_
     return joined.withColumn(column, F.when(F.col("__hit"), F.col("__value")).otherwise(F.col(column))).select(*df.columns)
 
 
+def edit_cells(df: DataFrame, edits: DataFrame, column: str, key: str = "row_index") -> tuple[DataFrame, DataFrame]:
+    """Cells of a column written by hand, from edits (key, value, at): df with the values, and the cells' metadata (key,
+    column_id, status, edited, original_value, last_edit_time) for the rows that there are."""
+    e = edits.select(key, F.col("at").alias("last_edit_time"))
+    cells = df.select(key, F.col(column).cast("string").alias("original_value")).join(e, key)
+    marks = F.lit(column).alias("column_id"), F.lit("success").alias("status"), F.lit(True).alias("edited")
+    return bulk_update(df, edits, column, key), cells.select(key, *marks, "original_value", "last_edit_time")
+
+
 def add_column(df: DataFrame, name: str, kind: str = "string", default=None) -> DataFrame:
     """df with a new column that holds the default in every row."""
     if name.lower() in [c.lower() for c in df.columns]:
