@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranges import read_rows
+
 FORMATS = ("message-centric", "langfuse", "langsmith", "arize", "turn-level")
 #: Keys under which a document's rows are looked for, in this order.
 ROW_KEYS = ("data", "items", "results", "records", "rows", "documents")
 DEPTH = {"message-centric": 4, "langfuse": 5, "langsmith": 5, "arize": 5, "turn-level": 1}
 MAX_ITEMS, MAX_CHARS = 1000, 10_000
+LARGE = 64 << 20
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -116,11 +119,16 @@ def _items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInArrow(_rows_of_texts, "item string, error string")
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
+def read_json(spark: SparkSession, path: str | list[str], large: int = LARGE) -> DataFrame:
     """(v) of each row of a JSON document: an array's items, the items of its first array of rows, else itself.
 
-    A file that isn't one JSON document, and a row beyond the size of a VARIANT, are errors.
+    A file that isn't one JSON document, and a row beyond the size of a VARIANT, are errors. Files of more than LARGE bytes
+    in all are read by ranges of bytes (ranges.read_rows), smaller ones each by one task.
     """
+    if stored_bytes(spark, path).first()["bytes"] > large:
+        items, whole = read_rows(spark, path, ROW_KEYS)
+        rows = items.select(F.parse_json("item").alias("v"))
+        return rows.unionByName(read_json(spark, whole, 2**63 - 1)) if whole else rows
     bad = F.raise_error(F.concat(F.lit(f"not a JSON document in {path}: "), F.col("error"))).cast("string")
     return _items(spark, path).select(F.parse_json(F.when(F.col("error").isNull(), F.col("item")).otherwise(bad)).alias("v"))
 
