@@ -5,8 +5,8 @@
 2. Documents are dealt to shards. In each shard the windows that pick a repeated phrase are counted by hash, once for each
    shard, and summed over all shards: the sums confirm the repeated windows. One shard that has a repeated phrase gives its
    words.
-3. Each shard gets the hashes of the confirmed windows that it counted, and the words of the phrases that they pick. It
-   compiles an Aho-Corasick automaton from these and streams its documents through it. Only windows around a hit are
+3. Each shard gets the hashes of the confirmed windows that it counted, and the words of the repeated phrases that its windows
+   pick. It compiles an Aho-Corasick automaton from these and streams its documents through it. Only windows around a hit are
    hashed and looked up; those whose hash is confirmed and whose words equal the shard's first window of that hash are
    cut out. Work and memory are linear in a shard's words.
 
@@ -119,38 +119,30 @@ def _phrases(window: int, seed: int):
     return apply
 
 
-_WINDOWS = "shard long, phrase long, hash long, n long, words string"
+_WINDOWS = "shard long, hash long, n long, phrase long, words string"
 
 
 def _windows(window: int, seed: int):
-    """(shard, phrase, hash, n) of the windows that pick a repeated phrase, and (shard, phrase, words) of those that the
-    shard is to give."""
+    """(shard, hash, n) of the windows that pick a repeated phrase, and (phrase, words) of those that the shard is to give."""
 
     def apply(docs: pa.Table, phrases: pa.Table) -> pa.Table:
         none = np.zeros(0, np.int64)
         if not docs.num_rows or not phrases.num_rows:
-            return _rows(shard=none, phrase=none, hash=none, n=none, words=pa.array([], pa.string()))
+            return _rows(shard=none, hash=none, n=none, phrase=none, words=pa.array([], pa.string()))
         docs = docs.combine_chunks()
         x = Words(docs.column("text").chunk(0), window)
         phrase, picked = x.picks(seed)
         at = np.flatnonzero(x.valid)
         at = at[np.isin(phrase[picked[at]], phrases.column("phrase").to_numpy().view(np.uint64))]
-        hashes, first, n = np.unique(x.hashes(at), return_index=True, return_counts=True)
-        own = phrase[picked[at[first]]]
+        hashes, n = np.unique(x.hashes(at), return_counts=True)
         wanted = phrases.filter(phrases.column("gives")).column("phrase").to_numpy().view(np.uint64)
         places = np.unique(picked[at])
         given, where = np.unique(phrase[places], return_index=True)
         where = np.sort(places[where[np.isin(given, wanted)]])
         words = x.text(where, seed)
-        shard, m = docs.column("shard")[0].as_py(), len(hashes) + len(words)
-        blank = pa.nulls(len(words), pa.int64())
-        return _rows(
-            shard=np.full(m, shard, np.int64),
-            phrase=np.concatenate([own, phrase[where]]).view(np.int64),
-            hash=pa.chunked_array([pa.array(hashes.view(np.int64)), blank]).combine_chunks(),
-            n=pa.chunked_array([pa.array(n.astype(np.int64)), blank]).combine_chunks(),
-            words=pa.array([None] * len(hashes) + words, pa.string()),
-        )
+        shard = np.full(len(hashes), docs.column("shard")[0].as_py(), np.int64)
+        counted = _rows(shard=shard, hash=hashes.view(np.int64), n=n.astype(np.int64))
+        return pa.concat_tables([counted, _rows(phrase=phrase[where].view(np.int64), words=pa.array(words, pa.string()))], promote_options="default")
 
     return apply
 
@@ -237,15 +229,15 @@ def remove_repeated(df: DataFrame, id: str = "doc_id", text: str = "text", windo
     picked = materialize(docs.select("text", "shard").mapInArrow(_phrases(window, seed), "phrase long, shard long, n long"), "picked")
     again = picked.groupBy("phrase").agg(F.sum("n").alias("all"), F.min("shard").alias("giver")).where("all > 1").select(F.col("phrase").alias("of"), "giver")
     phrases = picked.join(again, F.col("phrase") == F.col("of")).select("phrase", "shard", (F.col("shard") == F.col("giver")).alias("gives")).distinct()
+    phrases = materialize(phrases, "phrases")
 
-    windows = docs.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(_windows(window, seed), _WINDOWS)
-    windows = materialize(windows, "windows")
-    counted = windows.where("hash is not null").select("shard", "phrase", "hash", "n")
+    windows = materialize(docs.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(_windows(window, seed), _WINDOWS), "windows")
+    counted = windows.where("hash is not null").select("shard", "hash", "n")
     twice = counted.groupBy("hash").agg(F.sum("n").alias("all")).where("all > 1").select(F.col("hash").alias("of"))
-    confirmed = materialize(counted.join(twice, F.col("hash") == F.col("of"), "left_semi").select("shard", "phrase", "hash"), "confirmed")
+    confirmed = counted.join(twice, F.col("hash") == F.col("of"), "left_semi").select("shard", "hash", F.lit(None).cast("string").alias("words"))
     given = windows.where("words is not null").select(F.col("phrase").alias("of"), "words")
-    words = confirmed.select("shard", "phrase").distinct().join(given, F.col("phrase") == F.col("of")).select("shard", F.lit(None).cast("long").alias("hash"), "words")
-    repeated = confirmed.select("shard", "hash", F.lit(None).cast("string").alias("words")).unionByName(words).toDF("of", "hash", "words")
+    words = phrases.join(given, F.col("phrase") == F.col("of")).select("shard", F.lit(None).cast("long").alias("hash"), "words")
+    repeated = confirmed.unionByName(words).toDF("of", "hash", "words")
     schema = "id long, n_words long, n_removed long, kept_sha256 string, kept string"
     out = docs.groupBy("shard").cogroup(repeated.groupBy("of")).applyInArrow(_cut(window, seed), schema)
     out = own_ids(out, keys).withColumnRenamed("id", id)
