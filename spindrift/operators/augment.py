@@ -6,7 +6,7 @@ A provider is any picklable object with `complete(prompts) -> list` that gives,
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
@@ -182,6 +182,25 @@ def truncated(text: Column, count, most: int) -> Column:
     return F.pandas_udf(apply, "string")(text)
 
 
+def truncated_at(text: Column, starts: Callable[[str], Sequence[int]], most: int) -> Column:
+    """Texts of more than `most` tokens cut before the first token that doesn't fit with a suffix, by one tokenization each.
+
+    starts is a tokenizer's picklable text -> offsets at which its tokens start. The result is that of `truncated` wherever a
+    prefix that ends before a token has the tokens before it.
+    """
+
+    def apply(s: pd.Series) -> pd.Series:
+        room = max(0, most - len(starts(SUFFIX)))
+
+        def cut(x: str | None) -> str | None:
+            found = [] if x is None else starts(x)
+            return x if len(found) <= most else x[: found[room]] + SUFFIX
+
+        return s.map(cut)
+
+    return F.pandas_udf(apply, "string")(text)
+
+
 def token_limit(model: str, provider: str) -> int:
     return int(MODEL_MAX_TOKENS.get(model, 8000) * TOKENIZER_SCALE.get(provider.lower(), 0.8))
 

@@ -23,6 +23,39 @@ def literal_search(df: DataFrame, columns: Sequence[str], query: str, predicate:
     return (found.where(F.expr(predicate)) if predicate else found).orderBy(tie).limit(limit)
 
 
+def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for id, texts in zip(batch.column("id"), batch.column("texts").to_pylist(), strict=True):
+            found = sorted({t[i : i + 3] for t in texts for i in range(len(t) - 2)})
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([id.as_py()] * len(found), batch.schema.field("id").type)], ["trigram", "id"])
+
+
+class TrigramIndex:
+    """Rows by the runs of three characters in their lower-cased texts, so that a literal search reads few of them.
+
+    Postings are stored by ranges of trigrams; a search reads those of its own from their ranges. Ids are unique.
+    """
+
+    def __init__(self, df: DataFrame, columns: Sequence[str], id: str = "row_index") -> None:
+        self.df, self.columns, self.id = df, list(columns), id
+        texts = F.array(*[F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns])
+        found = df.select(F.col(id).alias("id"), texts.alias("texts")).mapInArrow(_trigrams, f"trigram string, id {dict(df.dtypes)[id]}")
+        self.postings = stored(found.repartitionByRange("trigram").sortWithinPartitions("trigram"), "trigrams")
+
+    def candidates(self, query: str) -> DataFrame | None:
+        """(id) of the rows that have all trigrams of the query; None if it has none."""
+        q = query.lower()
+        wanted = sorted({q[i : i + 3] for i in range(len(q) - 2)})
+        if not wanted:
+            return None
+        return self.postings.where(F.col("trigram").isin(wanted)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= len(wanted)).select(F.col("id").alias(self.id))
+
+    def search(self, query: str, predicate: str | None = None, limit: int = 100) -> DataFrame:
+        """The rows of literal_search; queries of less than three characters read all rows."""
+        some = self.candidates(query)
+        return literal_search(self.df if some is None else self.df.join(some, self.id, "left_semi"), self.columns, query, predicate, limit, self.id)
+
+
 def vector_search(df: DataFrame, query: Sequence[float], id: str = "vec_id", vector: str = "embedding", least: float = 0.5, limit: int = 100, predicate: str | None = None) -> DataFrame:
     """(id, similarity) of the rows most similar to a query vector, above a least similarity."""
     q = F.array(*[F.lit(float(x)) for x in query])

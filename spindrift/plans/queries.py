@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -401,6 +402,24 @@ def fts_with_predicate(spark, d):
     return search.literal_search(read(spark, d, "documents"), ["text", "source"], "TION", "lang = 'en'", tie="doc_id").select("doc_id")
 
 
+@query(ORACLE["fts_with_predicate"])
+def fts_indexed(spark, d):
+    return search.TrigramIndex(read(spark, d, "documents"), ["text", "source"], "doc_id").search("TION", "lang = 'en'").select("doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN len(w) <= 40 THEN text ELSE array_to_string(w[1:39], ' ') || '  [truncated...]' END AS text FROM (SELECT doc_id, text, regexp_extract_all(text, '[^ \\n]+') AS w FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents))")
+def truncate_tokens(spark, d):
+    """Texts cut to 40 words, the suffix counted."""
+    text = F.array_join(F.regexp_extract_all(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("([^ \\n]+)"), F.lit(1)), " ")
+    docs = read(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("whole"), text.alias("t"))
+    cut = augment.truncated_at(F.col("t"), _word_starts, 40)
+    return docs.select("doc_id", F.when(cut == F.col("t"), F.col("whole")).otherwise(cut).alias("text"))
+
+
+def _word_starts(x: str) -> list[int]:
+    return [m.start() for m in re.finditer(r"[^ ]+", x)]
+
+
 @query("SELECT conv_id, turn, 'Turn ' || turn || ' of ' || conv_id || ' by ' || coalesce(role, '(empty)') || ': ' || coalesce(text, '(empty)') || ' (empty)' AS prompt FROM conversations")
 def prompt_interpolate(spark, d):
     c = read(spark, d, "conversations")

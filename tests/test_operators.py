@@ -172,6 +172,26 @@ def test_truncation(spark):
     assert augment.token_limit("text-embedding-004", "google") == 1740
 
 
+def test_truncation_by_one_tokenization(spark):
+    def starts(x):
+        return [i for i, c in enumerate(x) if c != " " and (i == 0 or x[i - 1] == " ")]
+
+    rows = [("a b c d e f g",), ("a b",), (None,), ("",), ("  x  yy zzz  w v  u",), ("one " * 50,)]
+    df = spark.createDataFrame(rows, "t string")
+    for most in (1, 2, 4, 9):
+        got = df.select(augment.truncated_at(F.col("t"), starts, most), augment.truncated(F.col("t"), lambda x: len(x.split()), most)).collect()
+        assert [r[0] for r in got] == [r[1] for r in got]
+
+
+def test_indexed_search_reads_few_rows(spark):
+    texts = [f"row {i} {'needle' if i % 50 == 7 else 'nee dle'} %_x" for i in range(500)] + [None, "", "NEEDLE", "é%_X"]
+    df = spark.createDataFrame([(i, t, "b" if i % 2 else None) for i, t in enumerate(texts)], "row_index long, t string, u string")
+    index = search.TrigramIndex(df, ["t", "u"])
+    for q in ("Needle", "%_x", "zz", "b", "row 49", "nee dlex", ""):
+        assert index.search(q).collect() == search.literal_search(df, ["t", "u"], q).collect()
+    assert index.search("needle", "row_index < 100").count() == 2 and index.candidates("needle").count() == 11 and index.candidates("ab") is None
+
+
 def test_catalog_keeps_the_last_version(spark, tmp_path):
     c = catalog.Catalog(spark, str(tmp_path))
     c.upsert("files", spark.createDataFrame([("f", "one"), ("g", "two")], "id string, name string"))
