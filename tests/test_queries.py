@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from spindrift.plans.queries import ORACLE, QUERIES
@@ -38,3 +39,14 @@ def test_rows_equal_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_other_queries_have_rows(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_plane_coordinates_equal_a_decomposition(spark, duck):
+    """pca_2d against a decomposition of all vectors at once; an axis may point either way."""
+    rows = duck.sql("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
+    x = np.array([v for _, v in rows], float)
+    u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    flat = u[:, :2] * s[:2]
+    want = (flat - flat.min(axis=0)) / (flat.max(axis=0) - flat.min(axis=0)) * 100
+    got = np.array([tuple(r)[1:] for r in QUERIES["pca_2d"](spark, FOLDER).orderBy("vec_id").select("vec_id", "x", "y").collect()])
+    assert all(np.allclose(got[:, k], want[:, k], atol=1e-4) or np.allclose(got[:, k], 100 - want[:, k], atol=1e-4) for k in (0, 1))
