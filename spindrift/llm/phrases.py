@@ -32,9 +32,9 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import discard
 from .common import by_bytes, hashed_words, materialize, mix, own_ids, sequence_hashes, unique_ids, utf8
 
 WINDOW = 35
@@ -230,6 +230,7 @@ def remove_repeated(df: DataFrame, id: str = "doc_id", text: str = "text", windo
     again = picked.groupBy("phrase").agg(F.sum("n").alias("all"), F.min("shard").alias("giver")).where("all > 1").select(F.col("phrase").alias("of"), "giver")
     phrases = picked.join(again, F.col("phrase") == F.col("of")).select("phrase", "shard", (F.col("shard") == F.col("giver")).alias("gives")).distinct()
     phrases = materialize(phrases, "phrases")
+    discard(picked)
 
     windows = materialize(docs.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(_windows(window, seed), _WINDOWS), "windows")
     counted = windows.where("hash is not null").select("shard", "hash", "n")
