@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import doubles, norm
 from ..shared import stored
-from .search import cluster_label, knn, links_within
+from .graph import components
+from .neighbors import Index
+from .search import cluster_label, links_within
 
 MIN_SIZE = 10
 MIN_SAMPLES = 5
@@ -39,35 +41,29 @@ def density_clusters(df: DataFrame, id: str = "vec_id", vector: str = "embedding
 
     A row's core distance is that to its min_samples-th neighbour; two rows are linked if the larger of their distance
     and core distances is at most the given quantile of all core distances. Components of less than min_size rows are
-    noise. Equal vectors are one class with a count. Labels spread along links, with jumps, until none changes.
+    noise. Equal vectors are one class with a count. Neighbours and links come from pivot indexes (neighbors.Index).
     """
     every = df.select(F.col(id).cast("long").alias("id"), doubles(F.col(vector)).alias("v")).where("id is not null")
     ids = every.select("id").distinct()
     classes = every.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"))
     classes = stored(classes, "classes")
     rows = stored(every.join(classes, "v").select("id", "rep").distinct(), "rows")
-    near = knn(classes, min_samples, "rep", "v").join(classes.select(F.col("rep").alias("neighbor_id"), "copies"), "neighbor_id").select("rep", "distance", "copies")
-    # Copies are at distance 0 of each other, or 1 if they have no length; vectors that aren't finite are near nothing.
+    # Vectors that aren't finite are near nothing.
     length = norm(F.col("v"))
-    own = classes.where(~F.isnan(length) & (length < float("inf")) & (F.col("copies") > 1)).select("rep", F.when(length > 0, 0.0).otherwise(1.0).alias("distance"), (F.col("copies") - 1).alias("copies"))
+    finite = classes.where(~F.isnan(length) & (length < float("inf")))
+    near = Index(finite.select(F.col("rep").alias("id"), "v")).knn(min_samples).withColumnRenamed("id", "rep")
+    near = near.join(classes.select(F.col("rep").alias("neighbor_id"), "copies"), "neighbor_id").select("rep", "distance", "copies")
+    # Copies are at distance 0 of each other, or 1 if they have no length.
+    own = finite.where(F.col("copies") > 1).select("rep", F.when(length > 0, 0.0).otherwise(1.0).alias("distance"), (F.col("copies") - 1).alias("copies"))
     within = F.sum("copies").over(W.partitionBy("rep").orderBy("distance"))
     core = near.union(own).withColumn("within", within).where(F.col("within") >= min_samples).groupBy("rep").agg(F.min("distance").alias("core"))
     core = stored(core, "core")
     reach = rows.join(core, "rep").agg(F.percentile_approx("core", quantile, 10000)).first()[0]
     dense = core.where(F.col("core") <= F.lit(reach)).select(F.col("rep").alias("id"))
     met = classes.join(dense, F.col("rep") == F.col("id"), "left_semi")
-    links = links_within(met, -1.0 if reach is None else reach, "rep", "v").withColumnRenamed("rep", "id")
-    links = stored(links.select("id", "neighbor_id").union(links.select("neighbor_id", "id")).distinct(), "links")
-    label = stored(dense.withColumn("label", F.col("id")), "labels")
-    while True:
-        seen = links.join(label.withColumnRenamed("id", "neighbor_id"), "neighbor_id").groupBy("id").agg(F.min("label").alias("near"))
-        new = label.join(seen, "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("least"))
-        jump = new.select(F.col("id").alias("least"), F.col("least").alias("root"))
-        new = stored(new.join(jump, "least").select("id", F.col("root").alias("now"), "label"), "labels")
-        changed = new.where("now <> label").limit(1).count()
-        label = new.select("id", F.col("now").alias("label"))
-        if not changed:
-            break
+    links = links_within(met, -1.0 if reach is None else reach, "rep", "v")
+    parts = components(links.select(F.col("rep").alias("a"), F.col("neighbor_id").alias("b")))
+    label = dense.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
     label = rows.join(label.withColumnRenamed("id", "rep"), "rep").select("id", "label")
     sizes = label.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
     named = sizes.withColumn("cluster_id", F.row_number().over(W.orderBy(F.col("n").desc(), "label")) - 1)

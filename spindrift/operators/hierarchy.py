@@ -27,7 +27,7 @@ from ..functions.vector import doubles, norm
 from ..shared import discard, stored
 from .cluster import MIN_SAMPLES, MIN_SIZE
 from .graph import components
-from .neighbors import DIGITS, Index, _array, _batch
+from .neighbors import DIGITS, Asking, Index, Metric, _array, _batch
 from .table import with_row_index
 
 BUCKET = 1 << 18
@@ -75,6 +75,44 @@ def _packed(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.groupBy(F.col("block").alias("of")).agg(x.alias("x")).select("of", *[F.col(f"x.{n}").alias(n) for n in names])
 
 
+def least_edges(metric: Metric, blocks: list[dict]):
+    """For Index.meet: the least edge of each component of the blocks' rows to rows of others, by the blocks that they meet.
+
+    A component's bound falls to the least edge found so far.
+    """
+    asking = Asking(metric, blocks, component=np.int64, core=np.float64)
+    own, cores = asking.more["component"], asking.more["core"]
+    names, code = np.unique(own, return_inverse=True)
+    best = np.full(len(names), np.inf)
+    kept = [_columns(own[:0], cores[:0], own[:0], own[:0])]
+
+    def step(b: dict, of: list[int]) -> None:
+        rows = asking.rows(of)
+        if not len(rows):
+            return
+        ids, others, other_cores, y = _array(b["ids"], np.int64), np.array(b["component"], np.int64), np.array(b["core"], np.float64), _array(b["vectors"]).reshape(-1, metric.width)
+        # Rows of the component that most of the block is of meet only the others there.
+        found, n = np.unique(others, return_counts=True)
+        most = found[n.argmax()]
+        inside = own[rows] == most
+        for part, columns in ((rows[inside], np.flatnonzero(others != most)), (rows[~inside], np.arange(len(ids)))):
+            for row, column, d in asking.within(part, y[columns]):
+                column = columns[column]
+                w = np.maximum(d, np.maximum(cores[row], other_cores[column]))
+                ok = np.flatnonzero((own[row] != others[column]) & (w <= asking.bound[row]))
+                row, column, w = row[ok], column[ok], w[ok]
+                kept.append(_columns(own[row], w, np.minimum(asking.ids[row], ids[column]), np.maximum(asking.ids[row], ids[column])))
+                np.minimum.at(best, code[row], w)
+        np.minimum(asking.bound, best[code], out=asking.bound)
+        if sum(len(x["weight"]) for x in kept) > 1 << 18 and len(kept) > 64:
+            kept[:] = [end()]
+
+    def end() -> dict[str, np.ndarray]:
+        return _columns(*(np.concatenate([x[c] for x in kept]) for c in ("component", "weight", "low", "high")))
+
+    return step, end
+
+
 def spanning_tree(index: Index, near: DataFrame, core: DataFrame) -> DataFrame:
     """(weight, low, high), stored: a minimum spanning tree of the vertices (rep, core); near: (id, neighbor_id, distance, rank)."""
     metric, pivots, pivot_ids = index.metric, index.pivots, index.pivot_ids
@@ -128,24 +166,8 @@ def spanning_tree(index: Index, near: DataFrame, core: DataFrame) -> DataFrame:
         asked = index.blocks.join(held, F.col("block") == F.col("of")).drop("of").join(searching.mapInArrow(with_bound, "of long, bound binary"), F.col("block") == F.col("of"))
         asked = stored(asked.select("block", "ids", "vectors", "component", "core", "bound"), "asked")
 
-        def search(a: dict, b: dict) -> dict[str, np.ndarray] | None:
-            limit = _array(a["bound"])
-            on = np.flatnonzero(limit >= 0)
-            own, others = np.array(a["component"], np.int64)[on], np.array(b["component"], np.int64)
-            if not len(on) or (own == others[0]).all() and (others == others[0]).all():
-                return None
-            ids, other_ids = _array(a["ids"], np.int64)[on], _array(b["ids"], np.int64)
-            x, y = (_array(r["vectors"]).reshape(-1, metric.width) for r in (a, b))
-            w = np.maximum(metric.distances(x[on], y), np.maximum(np.array(a["core"])[on, None], np.array(b["core"])))
-            w[(own[:, None] == others) | (w > limit[on, None])] = np.inf
-            order = np.argsort(other_ids)
-            k = order[w[:, order].argmin(axis=1)]  # the smallest id of the least weight
-            weight = w[np.arange(len(on)), k]
-            ok = np.isfinite(weight)
-            return _columns(own[ok], weight[ok], np.minimum(ids, other_ids[k])[ok], np.maximum(ids, other_ids[k])[ok]) if ok.any() else None
-
         pairs = index.pairs(asked, True)
-        found = index.meet(pairs, asked, blocks, search, _EDGE, lambda x: _columns(*x.values()))
+        found = index.meet(pairs, asked, blocks, lambda a: least_edges(metric, a), _EDGE)
         chosen = stored(_least(upper.unionByName(found)), "chosen")
         tree.append(stored(chosen.select("weight", "low", "high").distinct(), "tree"))
         ends = tree[-1].join(a, "low").join(b, "high").select(F.col("component").alias("a"), F.col("other").alias("b"))

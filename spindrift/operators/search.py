@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -76,38 +75,6 @@ def ranked(df: DataFrame, query: Sequence[float], id: str = "vec_id", vector: st
     return df.select(id, cosine_similarity(doubles(F.col(vector)), q).alias("similarity")).where("similarity is not null").orderBy(F.col("similarity").desc(), id)
 
 
-def _by_blocks(df: DataFrame, id: str, vector: str, block: int, choose: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(id, neighbor_id, distance) of the pairs that choose(ids, other ids, cosine distances) takes of each pair of blocks.
-
-    choose returns places of rows and of columns; a row's distance to itself is infinite.
-    """
-    rows = df.select(F.col(id).cast("long").alias("id"), doubles(F.col(vector)).alias("v")).where("v is not null")
-    size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    blocks, width = max(1, -(-size["n"] // block)), size["d"] or 0
-    packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    left, right = packed.select(F.col("b").alias("b1"), F.col("rows").alias("r1")), packed.select(F.col("b").alias("b2"), F.col("rows").alias("r2"))
-    # Each block once for each other, by an equi-join on the other's number.
-    pairs = left.withColumn("b2", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("b2", F.col("b2").cast("long")).join(right, "b2").select("r1", "r2")
-
-    def unit(cells: list) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array([c["id"] for c in cells], np.int64)
-        order = np.argsort(ids, kind="stable")
-        m = np.array([cells[i]["v"] for i in order], np.float64).reshape(len(cells), width)
-        length = np.linalg.norm(m, axis=1, keepdims=True)
-        return ids[order], np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (a, x), (b, y) = (unit(batch.column(c)[i].as_py()) for c in ("r1", "r2"))
-                d = np.round(1 - x @ y.T, 12)
-                d[a[:, None] == b[None, :]] = np.inf
-                row, column = choose(a, b, d)
-                yield pa.RecordBatch.from_arrays([pa.array(a[row]), pa.array(b[column]), pa.array(d[row, column])], ["id", "neighbor_id", "distance"])
-
-    return pairs.mapInArrow(apply, "id long, neighbor_id long, distance double")
-
-
 def knn(df: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(id, neighbor_id, distance, rank): the k nearest other rows by cosine distance, ties by smaller id.
 
@@ -143,35 +110,12 @@ def knn(df: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding
 def links_within(df: DataFrame, reach: float, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(id, neighbor_id, distance): links that connect the same rows as all pairs at most reach apart do.
 
-    Of each pair of blocks, only links that join what its earlier ones leave apart are sent on, less than it has rows.
+    Ids differ; vectors that are null or not finite have no links.
     """
-
-    def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near = d <= reach
-        new_a, new_b = np.ones(len(a), bool), np.ones(len(b), bool)
-        rows, columns = [], []
-        if len(a) == len(b) and (a == b).all():
-            # A block with itself: rows and columns are the same rows, marked together.
-            new_b = new_a
-        for start in range(len(a)):
-            if not new_a[start]:
-                continue
-            new_a[start] = False
-            front, side = np.array([start]), 0
-            while len(front):
-                grid, open_ = (near, new_b) if side == 0 else (near.T, new_a)
-                after = []
-                for i in front.tolist():
-                    met = np.flatnonzero(grid[i] & open_)
-                    open_[met] = False
-                    after.append(met)
-                    same = np.full(len(met), i)
-                    rows.append(same if side == 0 else met)
-                    columns.append(met if side == 0 else same)
-                front, side = np.concatenate(after), 1 - side
-        return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    return _by_blocks(df, id, vector, block, forest)
+    length = norm(F.col("v"))
+    rows = df.select(F.col(id).cast("long").alias("id"), doubles(F.col(vector)).alias("v")).where("v is not null")
+    rows = stored(rows.where(~F.isnan(length) & (length < float("inf"))), "vectors")
+    return Index(rows, True, block).links(reach).withColumnRenamed("id", id)
 
 
 def points_view(points: DataFrame) -> DataFrame:

@@ -109,6 +109,23 @@ def test_labels_equal_a_hierarchy_from_the_top(spark, name, form):
         assert len(set(want) - {-1}) == 3 and len(set(want)) > len(flat)  # one cut for all doesn't tell them apart
 
 
+def test_rows_of_a_component_do_not_meet_each_other(monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 4))
+    own, core = np.where(np.arange(400) % 50 == 7, np.arange(400), 0), np.abs(rng.normal(size=400)) / 9
+    cells, within = [], hierarchy.Metric.within
+    monkeypatch.setattr(hierarchy.Metric, "within", lambda self, a, b, *more: cells.append(len(a) * len(b)) or within(self, a, b, *more))
+    blocks = [{"block": i, "ids": np.arange(i, i + 100).tobytes(), "vectors": x[i : i + 100].tobytes(), "bound": np.full(100, np.inf).tobytes(), "component": own[i : i + 100].tolist(), "core": core[i : i + 100].tolist()} for i in range(0, 400, 100)]
+    step, end = hierarchy.least_edges(hierarchy.Metric(False, 4, 10.0), blocks)
+    for b in blocks:
+        step(b, [0, 1, 2, 3])
+    w = np.maximum(np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), 12), np.maximum(core[:, None], core))
+    w[own[:, None] == own] = np.inf
+    got = end()
+    assert got["component"].tolist() == np.unique(own).tolist() and np.allclose(got["weight"], [w[own == c].min() for c in np.unique(own)])
+    assert sum(cells) < 400 * 400 / 10
+
+
 def test_nulls_repeats_and_one_vector(spark):
     x = [[1.0, 2.0]] * 12
     df = spark.createDataFrame([*enumerate(x), (3, [1.0, 2.0]), (50, None), (51, [float("nan"), 0.0]), (None, [1.0, 2.0])], "vec_id long, embedding array<double>")
