@@ -36,7 +36,8 @@ def sample(spark: SparkSession, path: str, most: int = 100, most_bytes: int = 1
 
 def read_jsonl(spark: SparkSession, path: str, some: bool = False) -> DataFrame:
     """(line, v) of each line that is JSON; others are left out. some: it is an error if there are lines and none is JSON."""
-    rows = lines(spark, path).withColumn("v", F.try_parse_json("line"))
+    # As a generator's output, v is parsed once; a filter on a column moves below it and parses again.
+    rows = lines(spark, path).select("line", F.explode_outer(F.array(F.try_parse_json("line"))).alias("v"))
     good = rows.where("v is not null")
     if some and good.isEmpty() and not rows.isEmpty():
         raise ValueError(f"no line of {path} is JSON")
@@ -279,7 +280,7 @@ def flatten(rows: DataFrame, depth: int = 5, column: str = "v") -> DataFrame:
     if not ddl.startswith("STRUCT<"):
         return rows.select(F.to_json(column).alias("value"))
     schema = rows.sparkSession.createDataFrame([], f"x {ddl}").schema["x"].dataType
-    typed = rows.select(F.from_json(F.to_json(column), schema).alias("x"))
+    typed = rows.select(F.try_variant_get(column, "$", ddl).alias("x"))
     return typed.select(*_columns(F.col("x"), schema, "", depth))
 
 

@@ -131,3 +131,13 @@ def test_suggestions_previews_and_samples(spark, tmp_path):
     detected = spark.createDataFrame([("langfuse", 0.5), ("arize", 0.1)], "format string, confidence double")
     assert [r[0] for r in readers.suggestions(detected).collect()] == [readers.LOW_CONFIDENCE.format("langfuse")]
     assert tuple(readers.stored_bytes(spark, str(tmp_path)).first())[1] >= 3
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    rows = ['{"a": {"b": 1, "c": [1, null]}, "d": "x"}', "no JSON", '{"a": {"b": 2.5, "c": null}}', "null", '{"a": null, "d": "\u00e9"}']
+    path = tmp_path / "once.jsonl"
+    path.write_text("\n".join(rows))
+    flat = readers.load(spark, str(path), "jsonl")
+    plan = flat._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") + plan.count("parse_json(") == 1 and "from_json" not in plan
+    assert {tuple(r) for r in flat.collect()} == {(1.0, "1", "x"), (2.5, None, None), (None, None, None), (None, None, "\u00e9")} and flat.count() == 4
