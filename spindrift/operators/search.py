@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +17,10 @@ from ..shared import stored
 from .neighbors import Index
 
 BLOCK = 2048
+BUCKETS = 64
+"""Buckets of trigrams."""
+CHARS = 4 << 20
+"""Characters of texts, about, of which a task collects the trigrams at once."""
 
 
 def literal_search(df: DataFrame, columns: Sequence[str], query: str, predicate: str | None = None, limit: int = 100, tie: str = "row_index") -> DataFrame:
@@ -23,23 +29,50 @@ def literal_search(df: DataFrame, columns: Sequence[str], query: str, predicate:
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(trigram, bucket, ids): a trigram's rows among about CHARS characters of texts."""
+
+    def packed(codes: list[np.ndarray], ids: list[pa.Array]) -> pa.RecordBatch:
+        code, row = np.concatenate(codes), np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        order = np.argsort(code, kind="stable")
+        code, row = code[order], row[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        points = np.stack([code[first] >> 42, code[first] >> 21 & 0x1FFFFF, code[first] & 0x1FFFFF], axis=1).astype("<u4")
+        text = points.tobytes().decode("utf-32-le")
+        found = [text[i : i + 3] for i in range(0, len(text), 3)]
+        every = pa.concat_arrays(ids).take(pa.array(row))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)], pa.int32()), every)
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([zlib.crc32(x.encode()) % BUCKETS for x in found], pa.int32()), lists], ["trigram", "bucket", "ids"])
+
+    codes, ids, n = [], [], 0
     for batch in batches:
-        for id, texts in zip(batch.column("id"), batch.column("texts").to_pylist(), strict=True):
-            found = sorted({t[i : i + 3] for t in texts for i in range(len(t) - 2)})
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([id.as_py()] * len(found), batch.schema.field("id").type)], ["trigram", "id"])
+        column = batch.column("id")
+        for i, texts in enumerate(batch.column("texts").to_pylist()):
+            points = [np.frombuffer(t.encode("utf-32-le"), "<u4").astype(np.int64) for t in texts]
+            code = [p[:-2] << 42 | p[1:-1] << 21 | p[2:] for p in points if len(p) > 2]
+            if code:
+                codes.append(np.unique(np.concatenate(code)))
+                ids.append(column.slice(i, 1))
+                n += sum(map(len, code))
+            if n >= CHARS:
+                yield packed(codes, ids)
+                codes, ids, n = [], [], 0
+    if codes:
+        yield packed(codes, ids)
 
 
 class TrigramIndex:
     """Rows by the runs of three characters in their lower-cased texts, so that a literal search reads few of them.
 
-    Postings are stored by ranges of trigrams; a search reads those of its own from their ranges. Ids are unique.
+    Tasks collect the rows of each trigram before these are dealt out. Postings are stored by buckets of trigrams; a search
+    reads the buckets of its own. Ids are unique.
     """
 
     def __init__(self, df: DataFrame, columns: Sequence[str], id: str = "row_index") -> None:
         self.df, self.columns, self.id = df, list(columns), id
         texts = F.array(*[F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns])
-        found = df.select(F.col(id).alias("id"), texts.alias("texts")).mapInArrow(_trigrams, f"trigram string, id {dict(df.dtypes)[id]}")
-        self.postings = stored(found.repartitionByRange("trigram").sortWithinPartitions("trigram"), "trigrams")
+        found = df.select(F.col(id).alias("id"), texts.alias("texts")).mapInArrow(_trigrams, f"trigram string, bucket int, ids array<{dict(df.dtypes)[id]}>")
+        # Rows are few and hold many ids, so Spark cuts large buckets and joins small ones by their bytes.
+        self.postings = stored(found.hint("rebalance", "bucket").sortWithinPartitions("bucket", "trigram"), "trigrams", "bucket")
 
     def candidates(self, query: str) -> DataFrame | None:
         """(id) of the rows that have all trigrams of the query; None if it has none."""
@@ -47,7 +80,9 @@ class TrigramIndex:
         wanted = sorted({q[i : i + 3] for i in range(len(q) - 2)})
         if not wanted:
             return None
-        return self.postings.where(F.col("trigram").isin(wanted)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= len(wanted)).select(F.col("id").alias(self.id))
+        buckets = sorted({zlib.crc32(x.encode()) % BUCKETS for x in wanted})
+        met = self.postings.where(F.col("bucket").isin(buckets) & F.col("trigram").isin(wanted)).select(F.explode("ids").alias("id"))
+        return met.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= len(wanted)).select(F.col("id").alias(self.id))
 
     def search(self, query: str, predicate: str | None = None, limit: int = 100) -> DataFrame:
         """The rows of literal_search; queries of less than three characters read all rows."""

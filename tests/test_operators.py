@@ -192,6 +192,19 @@ def test_indexed_search_reads_few_rows(spark):
     assert index.search("needle", "row_index < 100").count() == 2 and index.candidates("needle").count() == 11 and index.candidates("ab") is None
 
 
+def test_postings_are_collected_by_tasks(spark, monkeypatch):
+    texts = [f"Row {i} of \U0001f600\u00e9 needles" for i in range(300)] + ["", "ab", None]
+    df = spark.createDataFrame([(f"r{i:03d}", t) for i, t in enumerate(texts)], "row_index string, t string").repartition(3)
+    every = {(t[i : i + 3], n) for n, t in enumerate(x.lower() if x else "" for x in texts) for i in range(len(t) - 2)}
+    for chars in (search.CHARS, 50):
+        monkeypatch.setattr(search, "CHARS", chars)
+        index = search.TrigramIndex(df, ["t"])
+        got = [(r["trigram"], i) for r in index.postings.collect() for i in r["ids"]]
+        assert sorted(got) == sorted((t, f"r{n:03d}") for t, n in every)
+        assert index.postings.count() <= 3 * len({t for t, _ in every}) < len(every)
+        assert [r["row_index"] for r in index.search("\U0001f600\u00c9 n", limit=3).collect()] == ["r000", "r001", "r002"]
+
+
 def test_catalog_keeps_the_last_version(spark, tmp_path):
     c = catalog.Catalog(spark, str(tmp_path))
     c.upsert("files", spark.createDataFrame([("f", "one"), ("g", "two")], "id string, name string"))
