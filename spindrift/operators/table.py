@@ -22,7 +22,8 @@ SMALL_SET = 100
 
 def _parts(df: DataFrame, order: Sequence[str | Column] | None) -> DataFrame:
     """df, range-partitioned by order if there is one, stored with the number of each row's partition and its place there."""
-    ranged = df if order is None else df.repartitionByRange(*order).sortWithinPartitions(*order)
+    keys = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order or ()]
+    ranged = df if order is None else df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     kept = stored(ranged.withColumn("__id", F.monotonically_increasing_id()), "numbered")
     return kept.withColumn("__part", F.shiftright("__id", 33)).withColumn("__pos", F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id")
 
@@ -35,7 +36,7 @@ def _with_offsets(rows: DataFrame, size: Column) -> DataFrame:
 
 
 def with_row_index(df: DataFrame, order: Sequence[str | Column] | None = None, name: str = "row_index") -> DataFrame:
-    """Row numbers from 0 without gaps, in the order of the given columns or of the input.
+    """Row numbers from 0 without gaps, in the order of the given columns or of the input. Names sort nulls last, as the SQL does.
 
     The rows are stored once in the shared folder with their place in their partition, so that all that is made of them
     sees one partitioning; only the partitions' sizes are summed up.

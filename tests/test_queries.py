@@ -36,6 +36,20 @@ def test_rows_equal_sql(spark, duck, name):
     assert got == sorted(tuple(map(plain, r)) for r in sql)
 
 
+def test_row_index_of_nulls_equals_sql(spark, tmp_path):
+    """Nulls in each column of the order, over several files and ranges; no two rows are equal there."""
+    rows = [(None if i % 11 == 0 else i // 3, None if i % 13 == 0 else i, None if i % 7 == 0 else float(i % 5), i) for i in range(1, 1001)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_extendedprice double, l_shipdate int")
+    keys = ["l_extendedprice", "l_orderkey", "l_linenumber"]
+    df.dropDuplicates(keys).repartition(6).write.parquet(str(tmp_path / "lineitem.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    columns = ["row_index", *keys, "l_shipdate"]
+    got = QUERIES["row_index"](spark, str(tmp_path)).select(*columns).collect()
+    want = c.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE['row_index']})").fetchall()
+    assert len(got) > 900 and sorted(map(tuple, got), key=lambda r: r[0]) == sorted(want)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_other_queries_have_rows(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
